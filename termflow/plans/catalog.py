@@ -9,3 +9,4 @@ import termflow.plans.q_curve  # noqa: F401
 import termflow.plans.q_cross  # noqa: F401
 import termflow.plans.q_rv  # noqa: F401
 import termflow.plans.q_combine  # noqa: F401
+import termflow.plans.q_ingest  # noqa: F401
