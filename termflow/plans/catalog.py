@@ -10,3 +10,5 @@ import termflow.plans.q_cross  # noqa: F401
 import termflow.plans.q_rv  # noqa: F401
 import termflow.plans.q_combine  # noqa: F401
 import termflow.plans.q_ingest  # noqa: F401
+import termflow.plans.q_tables  # noqa: F401
+import termflow.plans.q_state  # noqa: F401

@@ -15,7 +15,7 @@ def build_session(cpus: int = 8, app: str = "termflow", **conf: str) -> SparkSes
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
     )
     for k, v in conf.items():
