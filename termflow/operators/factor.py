@@ -42,7 +42,7 @@ def loadings(x: DataFrame, k: int) -> DataFrame:
         val, vec = np.linalg.eigh(m.to_numpy())
         top = np.argsort(val)[::-1][:k]
         return pd.concat([pd.DataFrame({"k": i, "l": m.index, "g": vec[:, t]}) for i, t in enumerate(top)])
-    return second_moment(x).groupBy(F.lit(1)).applyInPandas(eig, "k int, l string, g double")
+    return second_moment(x).groupBy().applyInPandas(eig, "k int, l string, g double")
 
 
 def factors(x: DataFrame, gamma: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def anomaly_loading(res: DataFrame, zz: DataFrame) -> DataFrame:
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         g = _solve(pdf[["l", "m", "zz"]], pdf.groupby("l")["d"].first())
         return pd.DataFrame({"l": g.index, "gamma": g.to_numpy()})
-    return zb.join(db, "l").groupBy(F.lit(1)).applyInPandas(solve, "l string, gamma double")
+    return zb.join(db, "l").groupBy().applyInPandas(solve, "l string, gamma double")
 
 
 def bootstrap_alpha(res: DataFrame, zz: DataFrame, n_boot: int = 1000, seed: int = 0, per_task: int = 50) -> DataFrame:

@@ -123,7 +123,7 @@ def engle_granger(pairs: DataFrame, y: str, x: str, window: int = 252, step: int
             beta, *_ = np.linalg.lstsq(X, yv, rcond=None)
             tau = unit_root_tau(yv - X @ beta)
         except Exception:  # an unsolvable window is skipped
-            return pd.DataFrame({key: [], "date": [], "stat": [], "pvalue": []})
+            return pd.DataFrame(columns=[key, "date", "stat", "pvalue"], dtype=object)
         return pd.DataFrame({key: [pdf[key].iloc[0]], "date": [pdf["date"].iloc[-1]], "stat": [tau], "pvalue": [tau_pvalue(tau)]})
 
     return w.groupBy(key, "win").applyInPandas(test, f"{key} string, date date, stat double, pvalue double")

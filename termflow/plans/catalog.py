@@ -12,3 +12,6 @@ import termflow.plans.q_combine  # noqa: F401
 import termflow.plans.q_ingest  # noqa: F401
 import termflow.plans.q_tables  # noqa: F401
 import termflow.plans.q_state  # noqa: F401
+import termflow.plans.q_risk  # noqa: F401
+import termflow.plans.q_book  # noqa: F401
+import termflow.plans.q_stats  # noqa: F401

@@ -105,9 +105,9 @@ def _(spark, d):
     return rounded(factor.managed_portfolios(chars(spark, d)))
 
 
-@query("characteristic_products", "G44", "select a.date, a.l, b.l as m, round(sum(a.z*b.z),6) as zz from char_w a join char_w b on a.asset=b.asset and a.date=b.date group by all")
+@query("characteristic_products", "G44", "select a.date, a.l, b.l as m, round(sum(a.z*b.z),11) as zz from char_w a join char_w b on a.asset=b.asset and a.date=b.date group by all")
 def _(spark, d):
-    return rounded(factor.characteristic_products(chars(spark, d)))
+    return rounded(factor.characteristic_products(chars(spark, d)), 11)
 
 
 # First eigenvector by 300 power steps on the 4 x 4 second moment.
