@@ -15,3 +15,4 @@ import termflow.plans.q_state  # noqa: F401
 import termflow.plans.q_risk  # noqa: F401
 import termflow.plans.q_book  # noqa: F401
 import termflow.plans.q_stats  # noqa: F401
+import termflow.plans.q_stream  # noqa: F401
