@@ -33,27 +33,33 @@ cte("bk_c", "select w.*, p.pr, w.w*p.pr as contribution, abs(w.w-lag(w.w) over (
 cte("bk_pnl", """select book, point, date, sum(contribution) as gross, coalesce(sum(tr),0) as turnover, case point when 'taxed' then 0.002 else 0 end*coalesce(sum(tr),0) as penalty, coalesce(sum(tr*cost_bps/10000),0) as cost from bk_c c left join cost_w k on k.asset=c.asset group by 1,2,3""")
 
 
-def alphas(spark, d):
-    return mk.sig_w(spark, d).select(F.col("sector").alias("book"), "asset", "date", F.col("signal").alias("alpha"))
+def base(spark, d):
+    """The signal panel, written once: alphas, variances and returns all read it."""
+    return materialize(mk.sig_w(spark, d).select("asset", "sector", "date", "ret", "vol", "signal"), "signal-panel")
 
 
-def diagonal(spark, d):
+def alphas(p):
+    return p.select(F.col("sector").alias("book"), "asset", "date", F.col("signal").alias("alpha"))
+
+
+def diagonal(p):
     """Within-sector pair table with variances on the diagonal."""
-    v = mk.vol_w(spark, d).where("vol is not null").select("sector", F.col("date").alias("rebalance_date"), F.col("asset").alias("i"), (F.col("vol") * F.col("vol") / 52).alias("v"))
+    v = p.where("vol is not null").select("sector", F.col("date").alias("rebalance_date"), F.col("asset").alias("i"), (F.col("vol") * F.col("vol") / 52).alias("v"))
     j = v.select("sector", "rebalance_date", F.col("i").alias("j"))
     return v.join(j, ["sector", "rebalance_date"]).select("rebalance_date", "i", "j", F.when(F.col("i") == F.col("j"), F.col("v")).otherwise(0.0).alias("cov"))
 
 
-def inputs(spark, d):
-    return op.book_inputs(alphas(spark, d), diagonal(spark, d), mk.ret_w(spark, d))
+def inputs(p):
+    return materialize(op.book_inputs(alphas(p), diagonal(p), p), "book-inputs")
 
 
 def walked(spark, d, points=POINTS):
-    """(inputs, points, weights, period returns); the walk is written once and reused."""
-    x = materialize(inputs(spark, d), "book-inputs")
+    """(panel, points, weights, period returns); the walk is written once and reused."""
+    p = base(spark, d)
+    x = inputs(p)
     pts = op.grid(x, points)
     w = materialize(op.run_books(x, pts), "book-weights")
-    return x, pts, w, op.period_returns(mk.ret_w(spark, d), x.select("book", "date"))
+    return p, pts, w, op.period_returns(p, x.select("book", "date"))
 
 
 def costs(spark, d):
@@ -62,15 +68,15 @@ def costs(spark, d):
 
 @query("period_returns_between_rebalances", "O5", "select book, date, asset, round(pr,6) as pr from bk_pr")
 def _(spark, d):
-    x = inputs(spark, d)
-    pr = op.period_returns(mk.ret_w(spark, d), x.select("book", "date"))
+    p = base(spark, d)
+    pr = op.period_returns(p, inputs(p).select("book", "date"))
     mine = dv.assets(spark, d).select(F.col("sector").alias("book"), "asset").distinct()
     return rounded(pr.join(mine, ["book", "asset"], "left_semi").select("book", "date", "asset", "pr"))
 
 
 @query("book_walk_weights", "O1 O2 O3 O4", "select book, point, date, asset, round(w,6) as w, round(scale,5) as scale, cap_bound from bk_w")
 def _(spark, d):
-    x = inputs(spark, d)
+    x = inputs(base(spark, d))
     return rounded(op.run_books(x, op.grid(x, POINTS)), 6, scale=5)
 
 
@@ -88,8 +94,8 @@ cte("bk_mark", """select g.book, g.point, g.date, coalesce(sum(g.h*r.ret),0)-coa
 
 @query("daily_marked_weight_path", "O7 T6", "select book, point, date, round(pnl,6) as pnl from bk_mark")
 def _(spark, d):
-    _, _, w, _ = walked(spark, d)
-    return rounded(op.daily_mark(w, mk.ret_w(spark, d), cost_bps=costs(spark, d)))
+    panel, _, w, _ = walked(spark, d)
+    return rounded(op.daily_mark(w, panel, cost_bps=costs(spark, d)))
 
 
 @query("allocator_combined_pnl", "O8 J16", "select point, date, round(sum(case book when 'ASIA' then 0.5 else 1 end*(gross-penalty-cost)),6) as pnl from bk_pnl group by point, date")
@@ -101,10 +107,11 @@ def _(spark, d):
 @query("allocator_with_regime", "O8 J15")
 def _(spark, d):
     acts = regime_acts(spark, d).withColumn("date", F.date_sub("date", 1))
-    a = asof.apply_regime(alphas(spark, d), acts)
-    x = op.book_inputs(a, diagonal(spark, d), mk.ret_w(spark, d))
+    p = base(spark, d)
+    a = asof.apply_regime(alphas(p), acts)
+    x = materialize(op.book_inputs(a, diagonal(p), p), "book-inputs")
     w = op.run_books(x, op.grid(x, POINTS[:1]))
-    return op.allocate(op.book_pnl(w, op.period_returns(mk.ret_w(spark, d), x.select("book", "date"))))
+    return op.allocate(op.book_pnl(w, op.period_returns(p, x.select("book", "date"))))
 
 
 @query("asset_contributions", "O6 O11", "select book, point, date, asset, round(contribution,6) as contribution from bk_c")
@@ -155,25 +162,25 @@ def _(spark, d):
 @query("book_grid_sharpe_by_split", "T10 B12", f"""with t as (select *, {SPLIT} as split from bk_mark), k as (select *, row_number() over (partition by book, point, split order by date) as k from t)
 select book, point, {SPLITS_SQL} from k where split='train' or k>1 or (split='validation' and exists (select 1 from pnl_w where date=date '1999-12-31')) or (split='test' and exists (select 1 from pnl_w where date=date '2000-12-31')) group by book, point""")
 def _(spark, d):
-    _, _, w, _ = walked(spark, d)
-    m = op.daily_mark(w, mk.ret_w(spark, d), cost_bps=costs(spark, d))
+    panel, _, w, _ = walked(spark, d)
+    m = op.daily_mark(w, panel, cost_bps=costs(spark, d))
     return rounded(bt.sharpe_by_split(bt.split_tag(m, "1999-12-31", "2000-12-31", ("book", "point")), ["book", "point"], ppy=52), 5)
 
 
 @query("book_garch_target", "O4 V7")
 def _(spark, d):
-    x = inputs(spark, d)
+    x = inputs(base(spark, d))
     return op.run_books(x, op.grid(x, [dict(BASE, point="garch", garch=True)]))
 
 
 @query("book_covariance_swap", "O10")
 def _(spark, d):
     """The same alphas under three covariance estimators, the estimator being part of the book key."""
-    r = mk.ret_w(spark, d)
+    r = base(spark, d)
     est = {"sample": cv.sample_covariance, "shrunk": cv.shrunk_covariance, "comovement": cv.gerber_covariance}
     out = None
     for name, f in est.items():
-        x = op.book_inputs(alphas(spark, d), f(r, window=52, freq="weekly", min_frac=0.3), r)
+        x = op.book_inputs(alphas(r), f(r, window=52, freq="weekly", min_frac=0.3), r)
         x = x.withColumn("book", F.concat_ws("|", F.lit(name), "book"))
         out = x if out is None else out.unionByName(x)
     x = materialize(out, "swap-inputs")
@@ -183,7 +190,7 @@ def _(spark, d):
 
 @query("adopted_book_inputs", "O9 K5", """select book, date, len(a) as n_assets, round(list_sum(a),5) as alpha_sum from bk_rows where book in (select book from bk_rows group by book having count(*)>=20)""")
 def _(spark, d):
-    x = inputs(spark, d)
+    x = inputs(base(spark, d))
     return rounded(x.select("book", "date", F.size("a").cast("long").alias("n_assets"), F.aggregate("a", F.lit(0.0), lambda s, v: s + v).alias("alpha_sum")), 5)
 
 

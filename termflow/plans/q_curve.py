@@ -5,6 +5,7 @@ from termflow.functions.calendar import week_end
 from termflow.functions.cols import rounded
 from termflow.operators import curve as op
 from termflow.plans.registry import cte, query
+from termflow.session import materialize
 from termflow.sources import driver_views as dv, market as mk
 
 cte("contracts", """select asset, sector, date, root || code || lpad(cast(ey%100 as varchar),2,'0') as contract_symbol, root, ey as expiry_year, code as expiry_code,
@@ -28,8 +29,10 @@ cte("real_d", """select s.asset, s.date, s.close/nullif(c.close,0)*365/((far_m-n
   left join contracts c on s.asset=c.asset and s.date=c.date and s.near_contract_symbol=c.contract_symbol""")
 
 
-def same_root(spark, d):
-    return dv.spreads(spark, d).where("near_root = far_root")
+def curve_inputs(spark, d):
+    """(contracts, same-product quotes, nearest front): contracts are written once, the rest derives from them."""
+    c = materialize(dv.contracts(spark, d), "contracts")
+    return c, dv.spreads(c).where("near_root = far_root"), dv.nearest_front(c)
 
 
 @query("contract_bars", "S7", "select asset, date, contract_symbol, root, expiry_year, expiry_code, open, high, low, close, volume from contracts")
@@ -39,7 +42,7 @@ def _(spark, d):
 
 @query("same_root_spreads", "F8", """select asset, date, spread_symbol, round(close,4) as close, volume from quotes where near_root=far_root""")
 def _(spark, d):
-    return rounded(same_root(spark, d).select("asset", "date", "spread_symbol", "close", "volume"), 4)
+    return rounded(dv.spreads(dv.contracts(spark, d)).where("near_root = far_root").select("asset", "date", "spread_symbol", "close", "volume"), 4)
 
 
 @query("contract_chain", "C1", "select asset, contract_symbol, m, row_number() over (partition by asset order by m) as chain_idx from (select distinct asset, contract_symbol, m from contracts)")
@@ -69,12 +72,12 @@ cte("curve_x", """select r.asset, r.date, r.front_contract_symbol, n.open, n.hig
 
 @query("front_contract_assignment", "C2", "select asset, date, front_contract_symbol from front_x")
 def _(spark, d):
-    return op.assign_front(dv.contracts(spark, d)).select("asset", "date", "front_contract_symbol")
+    return op.assign_front(curve_inputs(spark, d)[0]).select("asset", "date", "front_contract_symbol")
 
 
 @query("front_contract_bars", "J4", "select asset, date, front_contract_symbol, open, high, low, close, volume from curve_x")
 def _(spark, d):
-    c = dv.contracts(spark, d)
+    c = curve_inputs(spark, d)[0]
     return op.front_bars(op.assign_front(c).drop("status"), c)
 
 
@@ -82,25 +85,28 @@ def _(spark, d):
   round(ln(close) + coalesce(sum(ln(ratio)) over (partition by asset order by date rows between 1 following and unbounded following),0),6) as log_adj_close,
   round(ln(high) + coalesce(sum(ln(ratio)) over (partition by asset order by date rows between 1 following and unbounded following),0),6) as log_adj_high from curve_x""")
 def _(spark, d):
-    return rounded(op.continuous_curve(dv.contracts(spark, d)).select(
+    return rounded(op.continuous_curve(curve_inputs(spark, d)[0]).select(
         "asset", "date", "front_contract_symbol", "is_roll_date", "raw_close", "volume",
         F.ln("adj_close").alias("log_adj_close"), F.ln("adj_high").alias("log_adj_high")), 6, raw_close=4)
 
 
 @query("front_calendar_spread", "J5", "select asset, date, near_contract_symbol, far_contract_symbol, round(close,4) as close from fspread")
 def _(spark, d):
-    return rounded(op.front_spread(dv.nearest_front(spark, d), same_root(spark, d)).select(
+    c, q, f = curve_inputs(spark, d)
+    return rounded(op.front_spread(f, q).select(
         "asset", "date", "near_contract_symbol", "far_contract_symbol", "close"), 4)
 
 
 @query("quoted_carry", "J6", "select asset, date, round(carry,6) as carry from real_d")
 def _(spark, d):
-    return rounded(op.real_carry(dv.nearest_front(spark, d), same_root(spark, d), dv.contracts(spark, d)))
+    c, q, f = curve_inputs(spark, d)
+    return rounded(op.real_carry(f, q, c))
 
 
 @query("proxy_carry", "J7", "select asset, date, round(carry,6) as carry from proxy_d")
 def _(spark, d):
-    return rounded(op.proxy_carry(dv.nearest_front(spark, d), dv.contracts(spark, d)))
+    c, _, f = curve_inputs(spark, d)
+    return rounded(op.proxy_carry(f, c))
 
 
 PROXY = "asset in ('NATION_0','NATION_5','NATION_11')"
@@ -113,27 +119,31 @@ def proxies(spark, d):
 @query("carry_panel", "J8", f"""select asset, date, round(carry,6) as carry, false as is_proxy from real_d where not ({PROXY})
  union all select asset, date, round(carry,6), true from proxy_d where {PROXY}""")
 def _(spark, d):
-    return rounded(op.carry_panel(dv.nearest_front(spark, d), same_root(spark, d), dv.contracts(spark, d), proxies(spark, d)))
+    c, q, f = curve_inputs(spark, d)
+    return rounded(op.carry_panel(f, q, c, proxies(spark, d)))
 
 
 @query("rescaled_quote_carry", "J9", "select asset, date, round(carry*case when asset='NATION_3' then 0.01 else 1 end,6) as carry from real_d")
 def _(spark, d):
     scale = dv.table(spark, d, "nation").where("n_name = 'NATION_3'").select(F.col("n_name").alias("asset"), F.lit(0.01).alias("scale"))
-    return rounded(op.real_carry(dv.nearest_front(spark, d), same_root(spark, d), dv.contracts(spark, d), scale))
+    c, q, f = curve_inputs(spark, d)
+    return rounded(op.real_carry(f, q, c, scale))
 
 
 @query("quote_vs_proxy_error", "J10", """select s.asset, s.date, round(abs(n.close-f.close-s.close)/abs(n.close),6) as error from fspread s
  join contracts n on n.asset=s.asset and n.date=s.date and n.contract_symbol=near_contract_symbol
  join contracts f on f.asset=s.asset and f.date=s.date and f.contract_symbol=far_contract_symbol""")
 def _(spark, d):
-    return rounded(op.quote_error(dv.nearest_front(spark, d), same_root(spark, d), dv.contracts(spark, d)))
+    c, q, f = curve_inputs(spark, d)
+    return rounded(op.quote_error(f, q, c))
 
 
 @query("spread_carry_and_synthetic", "J22", """select q.asset, q.date, q.spread_symbol, round(q.close,4) as spread_close, round(q.close/n.close*365/((far_m-near_m)*30.44)*100,5) as carry_pct,
  round(n.close-f.close,4) as synthetic_spread from quotes q join contracts n on n.asset=q.asset and n.date=q.date and n.contract_symbol=near_contract_symbol
  join contracts f on f.asset=q.asset and f.date=q.date and f.contract_symbol=far_contract_symbol""")
 def _(spark, d):
-    return rounded(op.spread_carry_table(dv.spreads(spark, d), dv.contracts(spark, d)), 4, carry_pct=5)
+    c = curve_inputs(spark, d)[0]
+    return rounded(op.spread_carry_table(dv.spreads(c), c), 4, carry_pct=5)
 
 
 AS_OF = "2001-06-29"
@@ -174,7 +184,7 @@ def _(spark, d):
 
 @query("combos_by_volume", "C10", """select near_contract_symbol || ' / ' || far_contract_symbol as legs, asset, sum(volume) as volume from quotes group by 1, 2 order by volume desc, legs limit 50""")
 def _(spark, d):
-    s = dv.spreads(spark, d).groupBy(F.concat_ws(" / ", "near_contract_symbol", "far_contract_symbol").alias("legs"), "asset").agg(F.sum("volume").alias("volume"))
+    s = dv.spreads(dv.contracts(spark, d)).groupBy(F.concat_ws(" / ", "near_contract_symbol", "far_contract_symbol").alias("legs"), "asset").agg(F.sum("volume").alias("volume"))
     return s.orderBy(F.desc("volume"), "legs").limit(50)
 
 
@@ -182,7 +192,7 @@ def _(spark, d):
 select l.asset, l.spread_symbol, n_obs, case when n_obs>=20 then round(avg(case when close<=latest then 100.0 else 0 end),4) end as percentile,
  case when n_obs>=20 and s>0 then round((latest-mu)/s,5) end as zscore from quotes q join l on q.asset=l.asset and q.spread_symbol=l.spread_symbol group by l.asset, l.spread_symbol, n_obs, latest, mu, s""")
 def _(spark, d):
-    return rounded(op.richness(dv.spreads(spark, d), ["asset", "spread_symbol"], "close"), 5, percentile=4)
+    return rounded(op.richness(materialize(dv.spreads(dv.contracts(spark, d)), "quotes"), ["asset", "spread_symbol"], "close"), 5, percentile=4)
 
 
 cte("carry_w", """select p.asset, p.sector, p.date, p.close, c.carry from panel_w p left join (select asset, date + cast((12-dayofweek(date))%7 as integer) as week,
@@ -191,7 +201,8 @@ cte("carry_w", """select p.asset, p.sector, p.date, p.close, c.carry from panel_
 
 def carry_w(spark, d):
     """Weekly panel with the last proxy carry of each week."""
-    c = op.proxy_carry(dv.nearest_front(spark, d), dv.contracts(spark, d))
+    c, _, f = curve_inputs(spark, d)
+    c = op.proxy_carry(f, c)
     wk = c.groupBy("asset", week_end("date").alias("date")).agg(F.max_by("carry", "date").alias("carry"))
     return mk.panel_w(spark, d).select("asset", "sector", "date", "close").join(wk, ["asset", "date"], "left")
 

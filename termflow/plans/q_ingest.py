@@ -5,6 +5,7 @@ from termflow.functions.calendar import month_code
 from termflow.functions.cols import rounded
 from termflow.operators import combos, ingest as op
 from termflow.plans.registry import cte, query
+from termflow.session import materialize
 from termflow.sources import driver_views as dv
 
 # Raw rows: instrument = part, one bar per (part, day), prices in 1e-9 units; some bars carry the
@@ -156,7 +157,7 @@ def _(spark, d):
 
 @query("combo_legs_resolved", "R2 R3 R4 R5 J3", """select asset, raw_symbol, maturity_year, maturity_month, reject_reason, case when reject_reason is null then array_to_string(syms, ' / ') end as legs from ckey""")
 def _(spark, d):
-    k = combos.resolve_keys(clean(spark, d).where("kind = 'combo'"), roots(spark, d))
+    k = combos.resolve_keys(materialize(clean(spark, d).where("kind = 'combo'").select(*combos.KEYS).distinct(), "keys"), roots(spark, d))
     return k.select("asset", "raw_symbol", "maturity_year", "maturity_month", "reject_reason",
                     F.concat_ws(" / ", "out.contract_symbol").alias("l")).select(
         "asset", "raw_symbol", "maturity_year", "maturity_month", "reject_reason", F.when(F.col("reject_reason").isNull(), F.col("l")).alias("legs"))
@@ -166,7 +167,7 @@ CROWS = """from clean c join ckey k on c.asset=k.asset and c.raw_symbol=k.raw_sy
 
 
 def combo_rows(spark, d):
-    return combos.resolve_rows(clean(spark, d).where("kind = 'combo'"), roots(spark, d))
+    return combos.resolve_rows(materialize(clean(spark, d).where("kind = 'combo'"), "combo-rows"), roots(spark, d))
 
 
 @query("combo_reject_row_counts", "R6", f"select c.asset, reject_reason, count(*) as row_count {CROWS} and reject_reason is not null group by c.asset, reject_reason")
@@ -215,7 +216,7 @@ def _(spark, d):
 @query("transform_all_tables", "R7", f"""select 'term_structure' as target, count(*) as row_count from clean where kind='outright' union all
  select case when combo_type in ('plain','labeled','crack') then 'spread' when combo_type like 'butterfly%' then 'butterfly' when combo_type like 'condor%' then 'condor' else combo_type end, count(*) {CROWS} and reject_reason is null group by 1""")
 def _(spark, d):
-    t = combos.transform(clean(spark, d).withColumn("exchange", F.lit("X")), roots(spark, d))
+    t = combos.transform(materialize(clean(spark, d).withColumn("exchange", F.lit("X")), "clean"), roots(spark, d))
     out = None
     for n, x in t.items():
         if n != "rejects":

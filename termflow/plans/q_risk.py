@@ -72,21 +72,25 @@ def _(spark, d):
     return rounded(op.implied_correlations(shrunk(spark, d)))
 
 
-def estimators(spark, d):
-    return (sample(spark, d).withColumn("estimator", F.lit("sample")).unionByName(shrunk(spark, d).withColumn("estimator", F.lit("shrunk")))
-            .unionByName(op.gerber_covariance(mk.ret_w(spark, d), window=WIN).withColumn("estimator", F.lit("comovement"))))
+def estimators(r):
+    return (op.sample_covariance(r, window=WIN, min_frac=FRAC).withColumn("estimator", F.lit("sample"))
+            .unionByName(op.shrunk_covariance(r, window=WIN, min_frac=FRAC).withColumn("estimator", F.lit("shrunk")))
+            .unionByName(op.gerber_covariance(r, window=WIN).withColumn("estimator", F.lit("comovement"))))
+
+
+def min_variance_scores(spark, d):
+    r = materialize(mk.ret_w(spark, d).select("asset", "date", "ret"), "returns")
+    return op.forecast_accuracy(materialize(op.min_variance(estimators(r)), "minvar"), r)
 
 
 @query("min_variance_forecast_test", "P14")
 def _(spark, d):
-    w = materialize(op.min_variance(estimators(spark, d)), "minvar")
-    return op.forecast_accuracy(w, mk.ret_w(spark, d))
+    return min_variance_scores(spark, d)
 
 
 @query("covariance_league_table", "P16")
 def _(spark, d):
-    w = materialize(op.min_variance(estimators(spark, d)), "minvar")
-    return op.league_table(op.forecast_accuracy(w, mk.ret_w(spark, d)))
+    return op.league_table(materialize(min_variance_scores(spark, d), "scores"))
 
 
 # ---- streams: one damped return series per sector

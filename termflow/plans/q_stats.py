@@ -7,6 +7,7 @@ from termflow.operators.signals import relative_value as rv
 from termflow.plans.q_backtest import SPLIT, SPLITS_SQL, sector_streams, sh, spec_positions
 from termflow.plans.q_rv import spreads
 from termflow.plans.registry import cte, query
+from termflow.session import materialize
 from termflow.sources import driver_views as dv, market as mk
 
 cte("cfg", """select s.spec || '|' || n.sector as config, s.date, coalesce(sum(pos*ret),0) as pnl from spec_pos s join (select distinct asset as a, sector from sup) n on n.a=s.asset group by 1,2""")
@@ -18,8 +19,9 @@ cte("sides", """select combo, date, side from (select combo, date, case when tr
 
 def configs(spark, d):
     """Twelve or more configurations: each momentum look-back in each sector."""
-    return spec_positions(spark, d).groupBy(F.concat_ws("|", "spec", "sector").alias("config"), "date").agg(
+    p = spec_positions(spark, d).groupBy(F.concat_ws("|", "spec", "sector").alias("config"), "date").agg(
         F.coalesce(F.sum(F.col("pos") * F.col("ret")), F.lit(0.0)).alias("pnl"))
+    return materialize(p, "configs")
 
 
 @query("date_blocks", "T1", "select date, g, h, m from blk")

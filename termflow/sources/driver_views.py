@@ -9,11 +9,27 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from termflow.functions.calendar import code_month, month_code, week_end
 
-TIE = 100_000_000
+# An order key and a price in cents packed in one long, so "first price of the day" is a plain minimum
+# in a hash aggregate. Holds order keys below 2^40 and prices below 2^24 cents; beyond that the
+# multiplication fails loudly instead of wrapping.
+PRICE_SPAN, KEY_SHIFT = 1 << 24, 1 << 39
+
+
+# Declared layouts of the driver tables: no footer-inference job per read.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{d}/{name}.parquet")
 
 
 def cents(x: str) -> Column:
@@ -33,36 +49,31 @@ def _cells() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("n"), F.sum("px").alias("cents"),
         F.max("px").alias("hi"), F.min("px").alias("lo"),
-        F.min(F.col("l_orderkey").cast("decimal(19,0)") * F.lit(TIE) + F.col("px")).alias("first_key"),
+        F.min((F.col("l_orderkey") - KEY_SHIFT) * PRICE_SPAN + F.col("px")).alias("first_key"),
         F.sum("l_quantity").alias("volume"),
     ]
 
 
-def _roll_cells() -> list[Column]:
-    return [
-        F.sum("n").alias("n"), F.sum("cents").alias("cents"), F.max("hi").alias("hi"),
-        F.min("lo").alias("lo"), F.min("first_key").alias("first_key"), F.sum("volume").alias("volume"),
-    ]
+def _lines(spark: SparkSession, d: str, *extra: str) -> DataFrame:
+    li = table(spark, d, "lineitem").select(
+        "l_suppkey", "l_orderkey", "l_quantity", *extra, F.to_date("l_shipdate").alias("date"), cents("l_extendedprice").alias("px"))
+    return li.join(assets(spark, d), F.col("l_suppkey") == F.col("s_suppkey"))
 
 
 def _bar_cols() -> list[Column]:
     return [
-        (F.pmod(F.col("first_key"), F.lit(TIE)).cast("double") / 100).alias("open"),
+        (F.pmod(F.col("first_key"), F.lit(PRICE_SPAN)) / F.lit(100.0)).alias("open"),
         (F.col("hi") / F.lit(100.0)).alias("high"), (F.col("lo") / F.lit(100.0)).alias("low"),
         (F.col("cents") / F.lit(100.0) / F.col("n")).alias("close"), F.col("volume"),
     ]
 
 
 def bars_d(spark: SparkSession, d: str) -> DataFrame:
-    """Daily bars. Rows collapse to (supplier, day) before the join, so a hot supplier is at most one
-    row per calendar day by the time it is shuffled."""
-    li = table(spark, d, "lineitem").select(
-        "l_suppkey", "l_orderkey", "l_quantity", F.to_date("l_shipdate").alias("date"),
-        cents("l_extendedprice").alias("px"))
+    """Daily bars. The supplier dimension is broadcast while the planner measures it small, else it is a
+    sort-merge join whose hot suppliers adaptive execution splits; rows then collapse map-side to one
+    cell per (asset, day) before the only full shuffle."""
     return (
-        li.groupBy("l_suppkey", "date").agg(*_cells())
-        .join(assets(spark, d), F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy("asset", "sector", "date").agg(*_roll_cells())
+        _lines(spark, d).groupBy("asset", "sector", "date").agg(*_cells())
         .select("asset", "sector", "date", *_bar_cols(), "n", "cents")
     )
 
@@ -80,16 +91,8 @@ def bars_w(spark: SparkSession, d: str) -> DataFrame:
 
 def contracts(spark: SparkSession, d: str) -> DataFrame:
     """Per-contract daily bars: delivery month = ship month + line number."""
-    li = table(spark, d, "lineitem").select(
-        "l_suppkey", "l_orderkey", "l_quantity", "l_linenumber", F.to_date("l_shipdate").alias("date"),
-        cents("l_extendedprice").alias("px"))
-    exp = F.add_months(F.trunc("date", "MM"), F.col("l_linenumber"))
-    c = (
-        li.groupBy("l_suppkey", "date", "l_linenumber").agg(*_cells())
-        .join(assets(spark, d), F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy("asset", "sector", "date", "l_linenumber").agg(*_roll_cells())
-        .withColumn("expiry", exp)
-    )
+    c = _lines(spark, d, "l_linenumber").groupBy("asset", "sector", "date", "l_linenumber").agg(*_cells()).withColumn(
+        "expiry", F.add_months(F.trunc("date", "MM"), F.col("l_linenumber")))
     code = month_code(F.month("expiry"))
     return c.select(
         "asset", "sector", "date",
@@ -104,13 +107,13 @@ def root_of(asset: str) -> Column:
     return F.concat(F.substring(asset, 1, 1), F.element_at(F.split(asset, "_"), -1))
 
 
-def spreads(spark: SparkSession, d: str) -> DataFrame:
+def spreads(c: DataFrame) -> DataFrame:
     """Quoted calendar spreads between the legs priced on a day: each leg against the next two.
 
     The quote is the difference of closes plus a volume-driven offset, so quotes and
     back-differenced values disagree; odd near volumes are re-rooted as cross-product quotes.
     """
-    c = contracts(spark, d).withColumn("m", F.col("expiry_year") * 12 + code_month("expiry_code"))
+    c = c.withColumn("m", F.col("expiry_year") * 12 + code_month("expiry_code"))
     w = W.partitionBy("asset", "date").orderBy("m")
     leg = F.struct("root", "contract_symbol", "expiry_year", "expiry_code", "close", "volume")
     c = c.withColumn("f1", F.lead(leg, 1).over(w)).withColumn("f2", F.lead(leg, 2).over(w))
@@ -126,9 +129,9 @@ def spreads(spark: SparkSession, d: str) -> DataFrame:
         (F.col("volume") + F.col("far.volume")).alias("volume"))
 
 
-def nearest_front(spark: SparkSession, d: str) -> DataFrame:
+def nearest_front(c: DataFrame) -> DataFrame:
     """(asset, date, front_contract_symbol): the nearest listed month priced that day."""
-    return contracts(spark, d).groupBy("asset", "date").agg(
+    return c.groupBy("asset", "date").agg(
         F.min_by("contract_symbol", F.col("expiry_year") * 12 + code_month("expiry_code")).alias("front_contract_symbol"))
 
 

@@ -8,15 +8,18 @@ from termflow.operators.panel import densify, simple_return
 from termflow.operators.signals.trend import raw_momentum_rows
 from termflow.operators.vol import realized_vol
 from termflow.operators.xs import vol_targeted_sign
+from termflow.session import materialize
 from termflow.sources import driver_views as dv
 
 
 def panel_w(spark: SparkSession, d: str) -> DataFrame:
-    return densify(dv.bars_w(spark, d), dims=("sector",))
+    """Dense weekly panel. Bars are written once and read back, so the raw rows are scanned once although
+    the calendar, the asset list and the cells all derive from them."""
+    return densify(materialize(dv.bars_w(spark, d), "bars-w"), dims=("sector",))
 
 
 def panel_d(spark: SparkSession, d: str) -> DataFrame:
-    return densify(dv.bars_d(spark, d).drop("n", "cents"), dims=("sector",))
+    return densify(materialize(dv.bars_d(spark, d).drop("n", "cents"), "bars-d"), dims=("sector",))
 
 
 def ret_w(spark: SparkSession, d: str) -> DataFrame:
