@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from termflow.functions.cols import div, gated, keys, running, seq, trailing
+from termflow.functions.cols import div, gated, keys, running, seq
 from termflow.operators.panel import period_last, resample_ffill, spread_to_panel
 
 
@@ -125,8 +125,12 @@ def split_tag(df: DataFrame, train_end: str, val_end: str, by: tuple[str, ...] =
     firsts = t.groupBy(*by).agg(
         F.max(F.when(d == te, True)).alias("__te"), F.max(F.when(d == ve, True)).alias("__ve"),
         F.min(F.when((d > te) & (d <= ve), d)).alias("__v0"), F.min(F.when(d > ve, d)).alias("__t0"))
-    j = t.join(firsts, list(by)) if by else t.select("*", *[
-        firsts.select(c).scalar().alias(c) for c in ("__te", "__ve", "__v0", "__t0")])
+    cols = ("__te", "__ve", "__v0", "__t0")
+    if by:
+        j = t.join(firsts, list(by))
+    else:
+        one = firsts.select(F.struct(*cols).alias("b")).scalar()
+        j = t.select("*", *[one[c].alias(c) for c in cols])
     lose = ((F.col("split") == "validation") & F.col("__te").isNull() & (d == F.col("__v0"))) | (
         (F.col("split") == "test") & F.col("__ve").isNull() & (d == F.col("__t0")))
     return j.where(~F.coalesce(lose, F.lit(False))).drop("__te", "__ve", "__v0", "__t0")

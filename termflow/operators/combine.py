@@ -27,7 +27,7 @@ def spearman_ic(long: DataFrame, x="signal", y="fwd", by=("spec", "date")) -> Da
     return r.groupBy(*by).agg(F.when((F.count(F.lit(1)) >= 2) & (sd > 0), div(F.covar_samp("__a", "__b"), sd)).alias("ic"))
 
 
-def _normalized(w: DataFrame, raw: str, n_signals: int, null_falls_back: bool) -> DataFrame:
+def _normalized(w: DataFrame, raw: str, n_signals: int) -> DataFrame:
     """Weights summing to one per date; equal weights where the sum is about zero."""
     d = W.partitionBy("date")
     tot = F.coalesce(F.sum(raw).over(d), F.lit(0.0))
@@ -39,13 +39,13 @@ def ic_weights(ic: DataFrame, calendar: DataFrame, n_signals: int, lookback=252,
     x = calendar.join(ic, ["spec", "date"], "left")
     m = gated(F.avg("ic"), "ic", prior(lookback, "spec"), min_obs)
     x = x.withColumn("__w", F.when(m.isNotNull(), F.greatest(m, F.lit(0.0))))
-    return _normalized(x, "__w", n_signals, True).select("spec", "date", "weight")
+    return _normalized(x, "__w", n_signals).select("spec", "date", "weight")
 
 
 def inverse_vol_weights(pnl: DataFrame, n_signals: int, lookback=252, min_obs=20, r="pnl") -> DataFrame:
     sd = gated(F.stddev_samp(r), r, prior(lookback, "spec"), min_obs)
     x = pnl.withColumn("__w", F.when(sd > 0, 1.0 / sd))
-    return _normalized(x, "__w", n_signals, True).select("spec", "date", "weight")
+    return _normalized(x, "__w", n_signals).select("spec", "date", "weight")
 
 
 def weighted_blend(long: DataFrame, weights: DataFrame, n_signals: int, x="signal", out="alpha") -> DataFrame:

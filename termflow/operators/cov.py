@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from termflow.functions.calendar import period_label
 from termflow.functions.cols import div
@@ -101,7 +101,7 @@ def nearest_psd(g: np.ndarray, eps: float = 1e-8) -> np.ndarray:
     return m
 
 
-def drop_until_complete(names: list[str], m: np.ndarray) -> tuple[list[str], np.ndarray]:
+def eliminate_incomplete(names: list[str], m: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Remove the asset with most missing cells until none is left."""
     names = list(names)
     while len(names) and np.isnan(m).any():
@@ -137,7 +137,7 @@ def gerber_covariance(panel: DataFrame, ret="ret", window=252, freq="monthly", m
         x = _covered(x, int(window * min_frac))
         if x.shape[1] < 2:
             return None
-        names, g = drop_until_complete(list(x.columns), co_movement(x, c))
+        names, g = eliminate_incomplete(list(x.columns), co_movement(x, c))
         if len(names) < 2:
             return None
         s = x[names].std(ddof=1).to_numpy()
@@ -159,7 +159,7 @@ def complete_submatrix(cov: DataFrame) -> DataFrame:
     """Per-date elimination on the pair table itself."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m = pdf.pivot(index="i", columns="j", values="cov")
-        names, v = drop_until_complete(list(m.index), m.to_numpy())
+        names, v = eliminate_incomplete(list(m.index), m.to_numpy())
         return _long(pdf["rebalance_date"].iloc[0], np.asarray(names, dtype=object), v)
     return cov.groupBy("rebalance_date").applyInPandas(run, PAIRS)
 

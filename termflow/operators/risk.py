@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from termflow.functions.cols import div, gated, running, seq, trailing
+from termflow.functions.cols import div, running, trailing
 
 
 def combine_static(streams: DataFrame, weights: dict[str, float], x: str = "pnl") -> DataFrame:

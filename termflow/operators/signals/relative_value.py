@@ -1,6 +1,8 @@
 """Pair spreads, hedge ratios, z-scores, error correction; keyed by pair."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from termflow.functions.cols import div, gated, safe_log, seq, trailing
@@ -112,7 +114,6 @@ def _ecm_lambda(agg) -> tuple[Column, Column]:
 
 
 def _half_life(lam: Column) -> Column:
-    import math
     return F.when(lam < 0, -math.log(2.0) / lam)
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql.types import DoubleType
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from termflow.functions.cols import avg_rank, div, keys
+from termflow.functions.cols import avg_rank, keys
 
 
 @F.pandas_udf(DoubleType())
@@ -28,14 +28,9 @@ def combinations(spark: SparkSession, n: int, k: int) -> DataFrame:
     return spark.range(2 ** n).where(F.bit_count("id") == k).select(F.col("id").alias("combo"))
 
 
-def _bit(mask: Column, i: Column) -> Column:
-    return F.shiftright(mask, i).bitwiseAND(F.lit(1)) == 1
-
-
 def train_rule(n: int, purge: int, embargo: int) -> tuple[Column, Column]:
     """(is_train_block, keep) for columns combo, g, h, m: the head is trimmed after a test block, the tail
     before one; a block that would vanish keeps nothing."""
-    mask, g = F.col("combo"), F.col("g")
     train = F.expr("(shiftright(combo, g) & 1) = 1")
     head = F.when(F.expr("g > 0 and (shiftright(combo, g - 1) & 1) = 0"), purge + embargo).otherwise(0)
     tail = F.when(F.expr(f"g < {n - 1} and (shiftright(combo, g + 1) & 1) = 0"), purge).otherwise(0)

@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from termflow.functions.cols import col, div, gated, keys, safe_log, seq, trailing
+from termflow.functions.cols import col, div, gated, safe_log, seq, trailing
 
 
 def realized_vol(ret: str, window: int = 63, ppy: int = 252, key="asset", min_frac: float = 0.5) -> Column:

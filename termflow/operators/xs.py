@@ -64,7 +64,7 @@ def apply_multiplier(pos: DataFrame, mult: DataFrame, x: str = "pos") -> DataFra
     return pos.join(mult.select("date", "mult"), "date", "left").withColumn(x, F.col(x) * F.col("mult"))
 
 
-def train_scaled(df: DataFrame, x: str, train_end: str, by=()) -> DataFrame:
+def train_scaled(df: DataFrame, x: str, train_end: str) -> DataFrame:
     """x over its pooled training-period standard deviation (1.0 when unusable)."""
     sd = df.where(F.col("date") <= F.to_date(F.lit(train_end))).agg(F.stddev_samp(x).alias("sd")).scalar()
     return df.withColumn("scaled", F.col(x) / F.coalesce(F.when(sd > 0, sd), F.lit(1.0)))

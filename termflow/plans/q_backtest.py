@@ -3,7 +3,6 @@ from pyspark.sql import Window as W, functions as F
 
 from termflow.functions.cols import rounded, trailing
 from termflow.operators import backtest as bt
-from termflow.operators import panel as pn
 from termflow.operators.signals import trend
 from termflow.operators.xs import apply_multiplier, size_multiplier
 from termflow.plans.registry import cte, query
@@ -87,7 +86,6 @@ def _(spark, d):
     return rounded(x.withColumn("pos", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("sharpe"), "asset")).cast("long")), 5)
 
 
-cte("sec_pnl", "select sector, date, coalesce(sum(pos*ret),0) as pnl from (select p.*, n.sector as sector from pos_w p join (select distinct asset as a, sector from sup) n on p.asset=n.a) group by all")
 cte("sec_w", """select *, greatest(-0.9, least(0.9, pnl/10)) as r from (select s.sector, date, coalesce(sum(pos*ret),0) as pnl
   from pos_w join (select distinct asset as a, sector from sup) s on asset=s.a group by s.sector, date)""")
 cte("dd_w", """select *, exp(lw - max(lw) over (partition by sector order by date))-1 as dd from

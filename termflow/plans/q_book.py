@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from termflow.functions.cols import rounded
-from termflow.operators import asof, backtest as bt, book as op, cov as cv, universe
+from termflow.operators import asof, backtest as bt, book as op, cov as cv
 from termflow.plans.q_backtest import SPLIT, SPLITS_SQL
 from termflow.plans.q_tables import regime_acts
 from termflow.plans.registry import cte, query

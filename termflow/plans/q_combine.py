@@ -3,11 +3,9 @@ from pyspark.sql import functions as F
 
 from termflow.functions.cols import rounded
 from termflow.operators import backtest as bt, combine as op
-from termflow.operators.panel import simple_return
 from termflow.plans.q_backtest import spec_positions
 from termflow.plans.q_xs import arank
 from termflow.plans.registry import cte, query
-from termflow.sources import market as mk
 
 cte("spec_f", "select *, lead(ret) over (partition by spec, asset order by date) as fwd from spec_raw")
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from termflow.functions.cols import rounded
 from termflow.operators import cov as op, garch, risk
 from termflow.operators import backtest as bt
-from termflow.plans.q_backtest import SPLIT, SPLITS_SQL, sector_streams, sh
+from termflow.plans.q_backtest import SPLIT, SPLITS_SQL, sector_streams
 from termflow.plans.registry import cte, query
 from termflow.session import materialize
 from termflow.sources import driver_views as dv, market as mk

@@ -89,8 +89,8 @@ def _(spark, d):
     return rounded(b.select("asset", "date", "basis", op.zscore("basis", 26, "asset").alias("z")), 6, z=5)
 
 
-cte("ecm_rows", """select *, d-0 as dy from (select *, lag(d) over (partition by pair order by date) as d1 from (select pair, date, spread, lag(spread) over w as l, spread-lag(spread) over w as d,
-  row_number() over w as rn from spread_w where spread is not null window w as (partition by pair order by date)))""")
+cte("ecm_rows", """select *, lag(d) over (partition by pair order by date) as d1 from (select pair, date, spread, lag(spread) over w as l, spread-lag(spread) over w as d,
+  row_number() over w as rn from spread_w where spread is not null window w as (partition by pair order by date))""")
 
 
 def ecm(over):

@@ -1,5 +1,4 @@
 """Path-dependent estimators: EWMA, GARCH, Donchian, Kalman, cointegration, factor model."""
-from pyspark.sql import functions as F
 
 from termflow.functions.cols import rounded
 from termflow.operators import factor, garch, state as op

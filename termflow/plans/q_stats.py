@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 from termflow.functions.cols import rounded
 from termflow.operators import backtest as bt, stats as op
 from termflow.operators.signals import relative_value as rv
-from termflow.plans.q_backtest import SPLIT, SPLITS_SQL, sector_streams, sh, spec_positions
+from termflow.plans.q_backtest import SPLIT, SPLITS_SQL, sector_streams, spec_positions
 from termflow.plans.q_rv import spreads
 from termflow.plans.registry import cte, query
 from termflow.session import materialize
-from termflow.sources import driver_views as dv, market as mk
+from termflow.sources import driver_views as dv
 
 cte("cfg", """select s.spec || '|' || n.sector as config, s.date, coalesce(sum(pos*ret),0) as pnl from spec_pos s join (select distinct asset as a, sector from sup) n on n.a=s.asset group by 1,2""")
 cte("blk", "select date, g, row_number() over (partition by g order by date) as h, count(*) over (partition by g) as m from (select date, ntile(6) over (order by date)-1 as g from (select distinct date from cfg))")

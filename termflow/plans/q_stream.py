@@ -7,9 +7,6 @@ from termflow.session import scratch_path
 from termflow.sources import driver_views as dv, market as mk
 from termflow.streaming import ingest as st
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def land(df, name, parts, order):
     """Write a table as `parts` consecutive time slices, so the file source replays it in order."""
     path = scratch_path(df.sparkSession, name)
@@ -35,7 +32,8 @@ BARS = """select cast(ts as date) as date, event_type, arg_min(value, event_id)
 
 @query("streaming_daily_bars", "W2", BARS)
 def _(spark, d):
-    out = st.run_available(st.daily_bars(replay_events(spark, d)), spark, name="bars")
+    with st.state_layout(spark):
+        out = st.run_available(st.daily_bars(replay_events(spark, d)), spark, name="bars")
     return spark.read.parquet(out).where("event_type <> 'end'")
 
 
@@ -58,13 +56,6 @@ def _(spark, d):
 def _(spark, d):
     p = mk.panel_w(spark, d).select("asset", "date", "close")
     path = land(p, "panel", 4, "date")
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    try:
+    with st.state_layout(spark, rocks=True):
         out = st.run_available(st.streaming_ewma(st.events(spark, path, p.schema), 12), spark, name="ewma")
-    finally:
-        if old:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
-        else:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     return rounded(spark.read.parquet(out).select("asset", "date", F.sqrt(F.col("ewma_var") * 52).alias("ewma_vol")))

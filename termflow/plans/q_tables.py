@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from termflow.functions.cols import rounded
 from termflow.operators import asof, monitor, universe as op
-from termflow.operators.panel import simple_return
 from termflow.plans.registry import cte, query
 from termflow.session import scratch_path
 from termflow.sources import driver_views as dv, market as mk, readers, sinks
@@ -106,10 +105,9 @@ def _(spark, d):
 
 OB = "case dayofweek(make_date(y,{m},{d})) when 6 then make_date(y,{m},{d})-1 when 0 then make_date(y,{m},{d})+1 else make_date(y,{m},{d}) end"
 NTH = "make_date(y,{m},1)+cast(({w}-dayofweek(make_date(y,{m},1))+7)%7+7*({n}-1) as integer)"
-from termflow.plans.registry import CTES  # noqa: E402
-CTES["hol"] = "select unnest([" + ", ".join(
+cte("hol", "select unnest([" + ", ".join(
     [OB.format(m=1, d=1), NTH.format(m=1, w=1, n=3), NTH.format(m=2, w=1, n=3), "make_date(y,5,31)-cast((dayofweek(make_date(y,5,31))+6)%7 as integer)",
-     OB.format(m=7, d=4), NTH.format(m=9, w=1, n=1), NTH.format(m=10, w=1, n=2), OB.format(m=11, d=11), NTH.format(m=11, w=4, n=4), OB.format(m=12, d=25)]) + "]) as h from (select unnest(range(1990,2012)) as y)"
+     OB.format(m=7, d=4), NTH.format(m=9, w=1, n=1), NTH.format(m=10, w=1, n=2), OB.format(m=11, d=11), NTH.format(m=11, w=4, n=4), OB.format(m=12, d=25)]) + "]) as h from (select unnest(range(1990,2012)) as y)")
 cte("bday", """select date, b, sum(b) over (order by date) as k from (select cast(r as date) as date, case when dayofweek(r) in (0,6) or cast(r as date) in (select h from hol) then 0 else 1 end as b
   from (select unnest(generate_series(timestamp '1990-01-01', timestamp '2010-12-31', interval 1 day)) as r))""")
 cte("pubd", """select m.series, m.date as ref_date, m.value, t.date as publish_date from macro m join bday s on s.date=m.date join bday t on t.b=1 and t.k=s.k+1""")

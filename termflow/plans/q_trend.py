@@ -53,8 +53,7 @@ b as (select asset, lookback, hold, label, avg(x.v) as v from (select m.asset, m
 p as (select q.asset, q.date, q.ret, q.lookback, h.hold, last_value(b.v ignore nulls) over (partition by q.asset, q.lookback, h.hold order by q.date) as held
    from grid_w q cross join h left join b on b.asset=q.asset and b.lookback=q.lookback and b.hold=h.hold and b.label=q.date),
 l as (select *, lag(held) over (partition by asset, lookback, hold order by date) as w from p),
-s as (select lookback, hold, date, coalesce(sum(ret*w)/nullif(sum(abs(w)),0),0) as dummy,
-   coalesce(sum(ret*w/nullif(gg,0)),0) as pnl from (select *, sum(abs(w)) over (partition by lookback, hold, date) as gg from l) group by all)
+s as (select lookback, hold, date, coalesce(sum(ret*w/nullif(gg,0)),0) as pnl from (select *, sum(abs(w)) over (partition by lookback, hold, date) as gg from l) group by all)
 select lookback, round(max(case when hold=1 then sh end),5) as hold_1, round(max(case when hold=2 then sh end),5) as hold_2,
  round(max(case when hold=3 then sh end),5) as hold_3
 from (select lookback, hold, avg(pnl)/stddev_samp(pnl)*sqrt(52) as sh from s group by lookback, hold) group by lookback""")

@@ -1,7 +1,7 @@
 """Volatility and forecast evaluation."""
 from pyspark.sql import functions as F
 
-from termflow.functions.cols import rounded, safe_log, trailing
+from termflow.functions.cols import rounded, safe_log
 from termflow.operators import vol as op
 from termflow.plans.registry import cte, query
 from termflow.sources import market as mk
@@ -62,8 +62,8 @@ cte("est_w", """select asset, sector, date, vol as rv26,
   window w13 as (partition by asset order by date rows between 12 preceding and current row),
   f4 as (partition by asset order by date rows between 1 following and 4 following),
   f8 as (partition by asset order by date rows between 1 following and 8 following)""")
-cte("loss_w", """select asset, sector, date, h, estimator, ln_x - 0 as dummy, x, case when x>0 then x-ln(x)-1 end as qlike, se from (
-  select asset, sector, date, h, estimator, 0 as ln_x, case when fv>0 then rv/fv end as x, (sqrt(fv)-sqrt(rv))**2 as se from (
+cte("loss_w", """select asset, sector, date, h, estimator, case when x>0 then x-ln(x)-1 end as qlike, se from (
+  select asset, sector, date, h, estimator, case when fv>0 then rv/fv end as x, (sqrt(fv)-sqrt(rv))**2 as se from (
    select asset, sector, date, 4 as h, 'rv13' as estimator, rv13*rv13 as fv, fwd4 as rv from est_w union all
    select asset, sector, date, 4, 'rv26', rv26*rv26, fwd4 from est_w union all
    select asset, sector, date, 8, 'rv13', rv13*rv13, fwd8 from est_w union all

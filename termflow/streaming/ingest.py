@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,7 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from termflow.session import scratch_path
-from termflow.sources.sinks import last_wins
 
 
 def refresh_window(last_date, overlap_days: int, today):
@@ -42,6 +42,25 @@ def enrich(stream: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     return stream.join(dim, key, "left")
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_layout(spark: SparkSession, rocks: bool = False):
+    """State partitions no more than the cluster's task slots, and the RocksDB store where it is needed."""
+    want = {"spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))}
+    if rocks:
+        want["spark.sql.streaming.stateStore.providerClass"] = ROCKS
+    old = {k: spark.conf.get(k, None) for k in want}
+    for k, v in want.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class UpsertSink:
     """foreachBatch target: folds each micro-batch to its last row per key, then writes it as an
     idempotent part named by batch id. A replayed batch overwrites its own part and changes nothing."""

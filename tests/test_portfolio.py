@@ -109,7 +109,7 @@ def test_comovement_matrix_is_symmetric_bounded_and_psd(spark):
 def test_elimination_drops_the_worst_asset():
     m = np.eye(3)
     m[0, 1] = m[1, 0] = m[1, 2] = m[2, 1] = np.nan
-    names, v = cov.drop_until_complete(["a", "b", "c"], m)
+    names, v = cov.eliminate_incomplete(["a", "b", "c"], m)
     assert names == ["a", "c"] and not np.isnan(v).any()
 
 

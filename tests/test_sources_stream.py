@@ -1,11 +1,8 @@
 import datetime as dt
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
 
-from tests.helpers import long, noise, same, wide
-from termflow.operators import state
+from tests.helpers import long, wide
 from termflow.session import scratch_path
 from termflow.sources import readers, sinks
 from termflow.streaming import ingest as st
