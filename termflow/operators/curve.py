@@ -92,10 +92,10 @@ def back_adjust(raw: DataFrame, contracts: DataFrame) -> DataFrame:
     """Ratio back-adjustment: every bar times the product of the roll ratios after it."""
     prev = F.lag("front_contract_symbol").over(seq())
     x = raw.withColumn("__old", prev).withColumn("is_roll_date", F.coalesce(F.col("front_contract_symbol") != prev, F.lit(False)))
-    # The new contract's close is the raw close; only roll days look the old contract up.
+    # The new contract's close is the raw close; only the old contract's is looked up, and the front rows
+    # are read once so the roll fold above them runs once.
     old = contracts.select("asset", "date", F.col("contract_symbol").alias("__old"), F.col("close").alias("__oc"))
-    rolls = x.where("is_roll_date").select("asset", "date", "__old").join(old, ["asset", "date", "__old"]).drop("__old")
-    x = x.join(rolls, ["asset", "date"], "left")
+    x = x.withColumn("__old", F.when(F.col("is_roll_date"), F.col("__old"))).join(old, ["asset", "date", "__old"], "left")
     ok = F.col("is_roll_date") & (F.col("__oc") > 0) & (F.col("close") > 0)
     x = x.withColumn("__g", F.when(ok, F.ln(F.col("close") / F.col("__oc"))).otherwise(0.0))
     later = W.partitionBy("asset").orderBy(F.desc("date")).rowsBetween(W.unboundedPreceding, -1)

@@ -43,7 +43,7 @@ def crack_level(panel: DataFrame, gas: str, oil: str, crude: str, price="close")
     """Three-two-one refining margin per date from one conditional aggregate."""
     def leg(a):
         return F.max(F.when(F.col("asset") == a, F.col(price)))
-    return panel.where(F.col("asset").isin(gas, oil, crude)).groupBy("date").agg(
+    return panel.groupBy("date").agg(
         ((2.0 * leg(gas) * GALLONS_PER_BARREL + leg(oil) * GALLONS_PER_BARREL) / 3.0 - leg(crude)).alias("spread"))
 
 

@@ -128,26 +128,27 @@ def macro_long(spark, d):
     return dv.macro(spark, d).withColumnRenamed("ref_date", "date")
 
 
-def bond_value(spark, d):
-    return op.yield_change_value(mk.panel_w(spark, d), macro_long(spark, d), series_map(spark, d, BOND), 12, "last_trading_day")
+def bond_value(spark, d, p):
+    return op.yield_change_value(p, macro_long(spark, d), series_map(spark, d, BOND), 12, "last_trading_day")
 
 
-def fx_value(spark, d):
-    return op.relative_price_value(mk.panel_w(spark, d), macro_long(spark, d), series_map(spark, d, FX), "1-URGENT", end=24, window=6, lag=12, align="last_trading_day")
+def fx_value(spark, d, p):
+    return op.relative_price_value(p, macro_long(spark, d), series_map(spark, d, FX), "1-URGENT", end=24, window=6, lag=12, align="last_trading_day")
 
 
 def value_all(spark, d):
-    return op.value_panel(op.long_run_value(mk.panel_w(spark, d), end=24, window=6, align="last_trading_day"), bond_value(spark, d), fx_value(spark, d))
+    p = mk.panel_w(spark, d)
+    return op.value_panel(op.long_run_value(p, end=24, window=6, align="last_trading_day"), bond_value(spark, d, p), fx_value(spark, d, p))
 
 
 @query("bond_yield_change_value", "G21", "select asset, date, round(raw,4) as raw from bond_w")
 def _(spark, d):
-    return rounded(bond_value(spark, d).select("asset", "date", "raw"), 4)
+    return rounded(bond_value(spark, d, mk.panel_w(spark, d)).select("asset", "date", "raw"), 4)
 
 
 @query("currency_relative_price_value", "G22", "select asset, date, round(raw,6) as raw from fx_w")
 def _(spark, d):
-    return rounded(fx_value(spark, d).select("asset", "date", "raw"))
+    return rounded(fx_value(spark, d, mk.panel_w(spark, d)).select("asset", "date", "raw"))
 
 
 @query("value_signal", "G23", f"select asset, date, {srank('raw')} as signal from valp_w")

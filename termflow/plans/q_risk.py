@@ -58,7 +58,7 @@ def _(spark, d):
 @query("complete_matrix_dates", "F16", """select rd as rebalance_date, i, j, round(cov,4) as cov from lw_x where i in ('NATION_1','NATION_2','NATION_3') and j in ('NATION_1','NATION_2','NATION_3')""")
 def _(spark, d):
     a = dv.table(spark, d, "nation").select(F.col("n_name").alias("asset")).where("asset in ('NATION_1','NATION_2','NATION_3')")
-    return rounded(op.complete_dates(shrunk(spark, d), a), 4)
+    return rounded(op.complete_dates(materialize(shrunk(spark, d), "cov"), a), 4)
 
 
 @query("complete_submatrix_elimination", "F17")
@@ -69,7 +69,7 @@ def _(spark, d):
 
 @query("implied_pair_correlation", "P15", "select c.rd as rebalance_date, c.i, c.j, round(c.cov/sqrt(a.cov*b.cov),6) as corr from lw_x c join lw_x a on a.rd=c.rd and a.i=c.i and a.j=c.i join lw_x b on b.rd=c.rd and b.i=c.j and b.j=c.j where c.i<c.j")
 def _(spark, d):
-    return rounded(op.implied_correlations(shrunk(spark, d)))
+    return rounded(op.implied_correlations(materialize(shrunk(spark, d), "cov")))
 
 
 def estimators(r):

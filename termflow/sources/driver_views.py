@@ -55,9 +55,17 @@ def _cells() -> list[Column]:
 
 
 def _lines(spark: SparkSession, d: str, *extra: str) -> DataFrame:
+    """Priced lines keyed by the supplier's nation number."""
     li = table(spark, d, "lineitem").select(
         "l_suppkey", "l_orderkey", "l_quantity", *extra, F.to_date("l_shipdate").alias("date"), cents("l_extendedprice").alias("px"))
-    return li.join(assets(spark, d), F.col("l_suppkey") == F.col("s_suppkey"))
+    sup = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    return li.join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
+
+
+def _named(spark: SparkSession, d: str, cells: DataFrame) -> DataFrame:
+    """Asset and sector names, attached to cells rather than to lines."""
+    return cells.join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(
+        table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumnsRenamed({"n_name": "asset", "r_name": "sector"})
 
 
 def _bar_cols() -> list[Column]:
@@ -72,10 +80,8 @@ def bars_d(spark: SparkSession, d: str) -> DataFrame:
     """Daily bars. The supplier dimension is broadcast while the planner measures it small, else it is a
     sort-merge join whose hot suppliers adaptive execution splits; rows then collapse map-side to one
     cell per (asset, day) before the only full shuffle."""
-    return (
-        _lines(spark, d).groupBy("asset", "sector", "date").agg(*_cells())
-        .select("asset", "sector", "date", *_bar_cols(), "n", "cents")
-    )
+    cells = _lines(spark, d).groupBy("s_nationkey", "date").agg(*_cells())
+    return _named(spark, d, cells).select("asset", "sector", "date", *_bar_cols(), "n", "cents")
 
 
 def bars_w(spark: SparkSession, d: str) -> DataFrame:
@@ -91,8 +97,8 @@ def bars_w(spark: SparkSession, d: str) -> DataFrame:
 
 def contracts(spark: SparkSession, d: str) -> DataFrame:
     """Per-contract daily bars: delivery month = ship month + line number."""
-    c = _lines(spark, d, "l_linenumber").groupBy("asset", "sector", "date", "l_linenumber").agg(*_cells()).withColumn(
-        "expiry", F.add_months(F.trunc("date", "MM"), F.col("l_linenumber")))
+    cells = _lines(spark, d, "l_linenumber").groupBy("s_nationkey", "date", "l_linenumber").agg(*_cells())
+    c = _named(spark, d, cells).withColumn("expiry", F.add_months(F.trunc("date", "MM"), F.col("l_linenumber")))
     code = month_code(F.month("expiry"))
     return c.select(
         "asset", "sector", "date",
