@@ -40,9 +40,9 @@ def _(spark, d):
     return dv.contracts(spark, d).drop("sector")
 
 
-@query("same_root_spreads", "F8", """select asset, date, spread_symbol, round(close,4) as close, volume from quotes where near_root=far_root""")
+@query("same_root_spreads", "F8", """select asset, date, spread_symbol, round(close,6) as close, volume from quotes where near_root=far_root""")
 def _(spark, d):
-    return rounded(dv.spreads(dv.contracts(spark, d)).where("near_root = far_root").select("asset", "date", "spread_symbol", "close", "volume"), 4)
+    return rounded(dv.spreads(dv.contracts(spark, d)).where("near_root = far_root").select("asset", "date", "spread_symbol", "close", "volume"))
 
 
 @query("contract_chain", "C1", "select asset, contract_symbol, m, row_number() over (partition by asset order by m) as chain_idx from (select distinct asset, contract_symbol, m from contracts)")
@@ -90,11 +90,11 @@ def _(spark, d):
         F.ln("adj_close").alias("log_adj_close"), F.ln("adj_high").alias("log_adj_high")), 6, raw_close=4)
 
 
-@query("front_calendar_spread", "J5", "select asset, date, near_contract_symbol, far_contract_symbol, round(close,4) as close from fspread")
+@query("front_calendar_spread", "J5", "select asset, date, near_contract_symbol, far_contract_symbol, round(close,6) as close from fspread")
 def _(spark, d):
     c, q, f = curve_inputs(spark, d)
     return rounded(op.front_spread(f, q).select(
-        "asset", "date", "near_contract_symbol", "far_contract_symbol", "close"), 4)
+        "asset", "date", "near_contract_symbol", "far_contract_symbol", "close"))
 
 
 @query("quoted_carry", "J6", "select asset, date, round(carry,6) as carry from real_d")
@@ -138,12 +138,12 @@ def _(spark, d):
     return rounded(op.quote_error(f, q, c))
 
 
-@query("spread_carry_and_synthetic", "J22", """select q.asset, q.date, q.spread_symbol, round(q.close,4) as spread_close, round(q.close/n.close*365/((far_m-near_m)*30.44)*100,5) as carry_pct,
- round(n.close-f.close,4) as synthetic_spread from quotes q join contracts n on n.asset=q.asset and n.date=q.date and n.contract_symbol=near_contract_symbol
+@query("spread_carry_and_synthetic", "J22", """select q.asset, q.date, q.spread_symbol, round(q.close,6) as spread_close, round(q.close/n.close*365/((far_m-near_m)*30.44)*100,5) as carry_pct,
+ round(n.close-f.close,6) as synthetic_spread from quotes q join contracts n on n.asset=q.asset and n.date=q.date and n.contract_symbol=near_contract_symbol
  join contracts f on f.asset=q.asset and f.date=q.date and f.contract_symbol=far_contract_symbol""")
 def _(spark, d):
     c = curve_inputs(spark, d)[0]
-    return rounded(op.spread_carry_table(dv.spreads(c), c), 4, carry_pct=5)
+    return rounded(op.spread_carry_table(dv.spreads(c), c), 6, carry_pct=5)
 
 
 AS_OF = "2001-06-29"
@@ -169,10 +169,10 @@ def _(spark, d):
     return op.shape_history(dv.contracts(spark, d)).withColumn("steepness_pct", F.round("steepness_pct", 4))
 
 
-@query("curve_rank_history", "C8", """select asset, date, rank, contract_symbol, close, round(close-fc,4) as close_minus_front from (select *, row_number() over w - 1 as rank, first_value(close) over w as fc
+@query("curve_rank_history", "C8", """select asset, date, rank, contract_symbol, close, round(close-fc,6) as close_minus_front from (select *, row_number() over w - 1 as rank, first_value(close) over w as fc
  from contracts where volume>0 window w as (partition by asset, date order by m)) where rank<10""")
 def _(spark, d):
-    return op.rank_history(dv.contracts(spark, d)).withColumn("close_minus_front", F.round("close_minus_front", 4))
+    return op.rank_history(dv.contracts(spark, d)).withColumn("close_minus_front", F.round("close_minus_front", 6))
 
 
 @query("contango_share", "C9", """select asset, round(avg(case when b>f then 1.0 else 0.0 end),6) as share from (select asset, date, arg_max(close,m) as b, arg_min(close,m) as f
