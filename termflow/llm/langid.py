@@ -135,21 +135,26 @@ class Model:
         return [self.languages[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], score, letters & (gain >= self.threshold)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", order: int = ORDER, max_grams: int = MAX_GRAMS) -> Model:
-    """Model of every language in `lang`; rows without text or language teach nothing."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    counts = materialize(count_grams(docs, "text", "lang", order), "langid-counts")
-    parts = masses(counts, order)
+def language_tables(counts: DataFrame, order: int, max_grams: int = MAX_GRAMS) -> tuple[list[str], dict[int, tuple[np.ndarray, ...]]]:
+    """Languages and, per order, the arrays that Model takes: at most max_grams n-grams of each order reach the driver."""
+    counts = materialize(counts, "char-counts")
     languages = sorted(r[0] for r in counts.select("grp").distinct().collect())
     code = {g: i for i, g in enumerate(languages)}
     tables = {}
-    for m, (a, ctx) in parts.items():
+    for m, (a, ctx) in masses(counts, order).items():
         kept = a.orderBy(F.desc("n"), "grp", "key").limit(max_grams).drop("n")
-        ta, tc = kept.toArrow(), ctx.toArrow()
-        num = lambda t, c: t.column(c).to_numpy()
-        tables[m] = (np.array([code[g] for g in ta.column("grp").to_pylist()], np.int64), num(ta, "key").astype(np.int64).view(np.uint64), num(ta, "a").astype(np.float64),
-                     np.array([code[g] for g in tc.column("grp").to_pylist()], np.int64), num(tc, "ctx").astype(np.int64).view(np.uint64), num(tc, "lam").astype(np.float64))
-    model = Model(languages, tables, order)
+        known = ctx.join(kept.select("grp", F.shiftrightunsigned("key", 16).alias("ctx")).distinct(), ["grp", "ctx"], "left_semi")
+        ta, tc = kept.toArrow(), known.toArrow()
+        num = lambda t, c, kind: t.column(c).to_numpy().astype(kind)
+        who = lambda t: np.array([code[g] for g in t.column("grp").to_pylist()], np.int64)
+        tables[m] = (who(ta), num(ta, "key", np.int64).view(np.uint64), num(ta, "a", np.float64), who(tc), num(tc, "ctx", np.int64).view(np.uint64), num(tc, "lam", np.float64))
+    return languages, tables
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", order: int = ORDER) -> Model:
+    """Model of every language in `lang`; rows without text or language teach nothing."""
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
+    model = Model(*language_tables(count_grams(docs, "text", "lang", order), order), order)
     calibrate(model, docs)
     return model
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termflow.llm import langid, pii, resample
+from termflow.llm import langid, packing, pii, pivot_search, resample, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,16 @@ def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(docs, "text", "doc_id", "is_target").select("doc_id", "log_weight", "n_features", "gumbel_key", "selected")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of a document: the sequence it is in and where."""
+    return packing.pack(packing.items_of(table(spark, sf_dir, "documents"))).drop("cluster")
+
+
+def op6_pivot_distance_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return pivot_search.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its values replaced, and how many of each kind were."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,9 +48,30 @@ def op9_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op10_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = langid.held_out("doc_id", 5, 0)
+    scorer = toxicity.fit(docs, labels.where(~held))
+    return toxicity.score(docs.select("doc_id", "text"), scorer).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     "op5_importance_resampling": op5_importance_resampling,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_pivot_distance_search": op6_pivot_distance_search,
     "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
     "op9_kneser_ney_language": op9_kneser_ney_language,
+    "op10_noisy_channel_toxicity": op10_noisy_channel_toxicity,
+}
+
+ORACLES: dict[str, str] = {
+    "op6_pivot_distance_search": """
+WITH v AS (
+  SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
 }
-ORACLES: dict[str, str] = {}

@@ -82,7 +82,7 @@ def prefixes(t: dict[str, np.ndarray], size: int) -> tuple[np.ndarray, np.ndarra
     """Indexes of the words of at least `size` bytes, and the hash of their first `size` bytes."""
     at = np.flatnonzero(t["end"] - t["start"] >= size)
     s = t["start"][at]
-    return at, mix(((t["sums"][s + size] - t["sums"][s]) * t["inverse"][s]) + np.uint64(size) * _MULT)
+    return at, mix(((t["sums"][s + size] - t["sums"][s]) * t["inverse"][s]) + np.uint64(size * int(_MULT) & 0xFFFFFFFFFFFFFFFF))
 
 
 def shingles(word: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
