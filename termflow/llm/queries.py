@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termflow.llm import langid, packing, pii, pivot_search, resample, toxicity
+from termflow.llm import decontam, langid, packing, pii, pivot_search, resample, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,13 @@ def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(docs, "text", "doc_id", "is_target").select("doc_id", "log_weight", "n_features", "gumbel_key", "selected")
 
 
+def op1_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and test item that it holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.flag(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.inline("bench_hits")).select("doc_id", "item_id", "distance", F.col("end").alias("match_end"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per piece of a document: the sequence it is in and where."""
     return packing.pack(packing.items_of(table(spark, sf_dir, "documents"))).drop("cluster")
@@ -57,6 +64,7 @@ def op10_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op5_importance_resampling": op5_importance_resampling,
+    "op1_pigeonhole_decontamination": op1_pigeonhole_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_pivot_distance_search": op6_pivot_distance_search,
     "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
