@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termflow.llm import decontam, langid, packing, pii, pivot_search, resample, toxicity
+from termflow.llm import decontam, langid, near_dup, packing, pii, pivot_search, resample, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,14 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its log-weight and whether it is in the sample of half the rows."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    good = labels.groupBy("doc_id").agg((F.max("quality") == 1).alias("is_target"))
-    docs = docs.select("doc_id", "text").join(good, "doc_id", "left")
-    return resample.resample(docs, "text", "doc_id", "is_target").select("doc_id", "log_weight", "n_features", "gumbel_key", "selected")
-
-
 def op1_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and test item that it holds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -35,6 +27,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.items_of(table(spark, sf_dir, "documents"))).drop("cluster")
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its log-weight and whether it is in the sample of half the rows."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    good = labels.groupBy("doc_id").agg((F.max("quality") == 1).alias("is_target"))
+    docs = docs.select("doc_id", "text").join(good, "doc_id", "left")
+    return resample.resample(docs, "text", "doc_id", "is_target").select("doc_id", "log_weight", "n_features", "gumbel_key", "selected")
+
+
 def op6_pivot_distance_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return pivot_search.top_k(vectors, vectors.where("vec_id % 100 = 0"))
@@ -47,6 +47,11 @@ def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.size("pii_spans").alias("n_values"), F.array_join(F.array_sort(F.array_distinct("pii_spans.kind")), ",").alias("kinds"))
 
 
+def op8_weighted_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with its class."""
+    return near_dup.classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = langid.held_out("doc_id", 4, 2)
@@ -63,11 +68,12 @@ def op10_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "op5_importance_resampling": op5_importance_resampling,
     "op1_pigeonhole_decontamination": op1_pigeonhole_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_importance_resampling": op5_importance_resampling,
     "op6_pivot_distance_search": op6_pivot_distance_search,
     "op7_feistel_pseudonyms": op7_feistel_pseudonyms,
+    "op8_weighted_minhash_classes": op8_weighted_minhash_classes,
     "op9_kneser_ney_language": op9_kneser_ney_language,
     "op10_noisy_channel_toxicity": op10_noisy_channel_toxicity,
 }
