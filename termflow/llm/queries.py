@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termflow.llm import decontam, langid, near_dup, packing, pii, pivot_search, resample, suffix_dedup, toxicity
+from termflow.llm import decontam, html_extract, langid, near_dup, packing, pii, pivot_search, resample, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,11 @@ def op1_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", F.inline("bench_hits")).select("doc_id", "item_id", "distance", F.col("end").alias("match_end"))
 
 
+def op2_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages, html_extract.train())
+
+
 def op3_suffix_interval_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -74,6 +79,7 @@ def op10_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_pigeonhole_decontamination": op1_pigeonhole_decontamination,
+    "op2_crf_extraction": op2_crf_extraction,
     "op3_suffix_interval_dedup": op3_suffix_interval_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_importance_resampling": op5_importance_resampling,
