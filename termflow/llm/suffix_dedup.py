@@ -154,8 +154,10 @@ def repeat_groups(contexts: list[tuple[bytes, int, int]], least_doc: np.ndarray,
     word = np.zeros(len(text) - 7, np.uint64)
     for j in range(8):
         word = (word << np.uint64(8)) | text[j:len(text) - 7 + j]
-    keys = [word[pos + 8 * j] for j in range(words)]
-    order = np.lexsort(keys[::-1])
+    # bytes past the context count as the smallest, and of equal suffixes the shorter stands first: it parts no longer ones
+    masks = np.array([((1 << 64) - 1) ^ ((1 << 8 * (8 - v)) - 1) for v in range(9)], np.uint64)
+    keys = [word[pos + 8 * j] & masks[np.clip(room - 8 * j, 0, 8)] for j in range(words)]
+    order = np.lexsort([room, *keys[::-1]])
     same, lcp = np.ones(len(order) - 1, bool), np.zeros(len(order) - 1, np.int64)
     for k in keys:
         diff = k[order[1:]] ^ k[order[:-1]]
