@@ -15,7 +15,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models accept; models learn from the rows that have a language."""
     model = langid.train(docs)
-    return langid.identify(docs, model).where("lang_accepted").select(*docs.columns)
+    return langid.identify(docs, model, names=("_lang", "_score", "_accepted")).where("_accepted").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item."""
-    found = decontam.flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("bench_hits") == 0).select(*docs.columns)
+    found = decontam.flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), hits="_hits")
+    return found.where(F.size("_hits") == 0).select(*docs.columns)
 
 
 def personal_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,6 +130,7 @@ _ARROW_HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32
 def flag(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, hits: str = "bench_hits") -> DataFrame:
     """docs with an array of the test items found in each. Items are searched in blocks of BLOCK_CHARS."""
     own = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("t")).where("item is not null and t is not null")
+    docs = docs.drop(hits)
     size = own.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_CHARS))
     out = docs.withColumn(hits, F.lit(None).cast(HITS)) if not size else docs

@@ -316,7 +316,7 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[tuple[str, list[str]
             for _ in range(r.choice([1, 1, 2, 3, 5, 8, 12])):
                 x = r.random()
                 if x < 0.78:
-                    parts.append(keep("p", r.choice([prose(), prose(8), sentence(1, 3)])))
+                    parts.append(keep("p", r.choice([prose(), prose(8), prose(60), sentence(1, 3)])))
                 elif x < 0.85:
                     parts.append(keep(r.choice(["h2", "h3"]), few(2, 6)))
                 elif x < 0.89:
@@ -332,10 +332,11 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[tuple[str, list[str]
                 else:
                     parts.append(r.choice([f'<div class="share">{few(1, 3)}</div>', f'<ul class="social">{links(3)}</ul>', form()]))
             body = "".join(parts)
-            return r.choice([f"<article>{body}</article>"] * 4 + [f"<main>{body}</main>", f"<main><article>{body}</article></main>", f'<div class="post-content">{body}</div>', f'<div id="content" class="entry">{body}</div>', f"<section>{body}</section>", f'<div class="story-body">{body}</div>', f"<div>{body}</div>"])
+            return r.choice([f"<article>{body}</article>"] * 4 + [f"<main>{body}</main>", f"<main><article>{body}</article></main>", f'<div class="post-content">{body}</div>', f'<div id="content" class="entry">{body}</div>', f"<section>{body}</section>", f'<div class="story-body">{body}</div>', f"<div>{body}</div>", body])
 
         before = [head(), *[r.choice([advert, notice, side, form])() for _ in range(r.randint(0, 3))]]
-        page = before + [story()] + [r.choice([side, advert, comments, comments, form, notice])() for _ in range(r.randint(0, 3))] + ([foot()] if r.random() < 0.9 else [])
+        bare = r.random() < 0.12
+        page = [story()] if bare else before + [story()] + [r.choice([side, advert, comments, comments, form, notice])() for _ in range(r.randint(0, 3))] + ([foot()] if r.random() < 0.9 else [])
         title = f"<head><meta charset='utf-8'><title>{few(2, 6)}</title><style>p{{margin:0}}</style></head>" if r.random() < 0.9 else ""
         out.append((f"<!DOCTYPE html><html>{title}<body>{''.join(page)}</body></html>", kept))
     return out
@@ -365,7 +366,7 @@ def main_text(page: str | None, model: Crf) -> str:
 def extract(pages: DataFrame, model: Crf, html: str = "html", text: str = "text") -> DataFrame:
     """pages with the main text in place of the html and its length in code points, n_chars."""
     shared, at = pages.sparkSession.sparkContext.broadcast(model), pages.columns.index(html)
-    rest = [i for i, f in enumerate(pages.schema.fields) if i != at and f.name not in (text, "n_chars")]
+    rest = [i for i, f in enumerate(pages.schema.fields) if i != at and f.name.lower() not in (text.lower(), "n_chars")]
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -87,6 +87,8 @@ class Model:
 
     def _logp(self, m: int, key: np.ndarray) -> np.ndarray:
         index, p = self.levels[m]
+        if not len(p):
+            return np.full((len(key), len(self.languages)), self.floor, np.float32)
         at = index.find(mix(key))
         miss = np.flatnonzero(at < 0)
         out = p[at]
@@ -122,10 +124,10 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether it is accepted."""
-        ce, plain, size = self.entropies(texts)
-        letters = np.array([has_letter(t) for t in texts], bool)
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        ce, plain, size = self.entropies(texts)
+        letters = np.array([has_letter(t) for t in texts], bool)
         best = np.argmin(ce, axis=1)
         gain = plain - ce[np.arange(len(texts)), best]
         z = -(ce - ce.min(axis=1, keepdims=True)) * np.minimum(size, SHARPEN)[:, None]
@@ -178,8 +180,9 @@ def calibrate(model: Model, docs: DataFrame, rows: int = CALIBRATION_ROWS) -> No
         model.scale = max(0.02, float(g[1] - model.threshold) / 6)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred, lang_score and lang_accepted."""
+def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_accepted")) -> DataFrame:
+    """docs with the language, its score and whether it is accepted; columns of these names are replaced."""
+    docs = docs.drop(*names)
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text)
@@ -187,9 +190,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang, score, ok = shared.value.predict(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(ok)], [*b.schema.names, "lang_pred", "lang_score", "lang_accepted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(ok)], [*b.schema.names, *names])
 
-    out = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_accepted", T.BooleanType())])
+    out = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))])
     return docs.mapInArrow(job, out)
 
 

@@ -1,7 +1,7 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is its bag of five-word shingles. A shingle's weight is its count in the text times a damped inverse document frequency:
-1 + DAMP for shingles in fewer than COMMON of all documents, falling to 1 for one in every document. The document counts of the
+1 + DAMP for shingles in fewer than COMMON of all documents (or in one), falling to 1 for one in every document. The document counts of the
 common ones are exact: tasks nominate shingles that are common in what they read, a second pass counts the nominees in all
 texts. Weighted samples (Ioffe's scheme) are banded; texts that share a band's samples are compared by weighted Jaccard
 similarity; links of 0.8 or more make the classes.
@@ -87,12 +87,17 @@ def bags(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, n
         yield first, end, row[at], h[at], np.diff(np.append(at, len(h)))
 
 
+def least_common(rows: int) -> float:
+    """Documents from which a shingle counts as common; two at least."""
+    return max(2.0, COMMON * rows)
+
+
 class Weights:
     """TF-IDF weights; a rare shingle that stands once has weight 1."""
 
     def __init__(self, common: np.ndarray, df: np.ndarray, rows: int):
         self.index = HashIndex(common)
-        idf = np.log(rows / np.maximum(df, 1)) / np.log(1 / COMMON) if rows else df.astype(float)
+        idf = np.log(rows / np.maximum(df, 1)) / max(1e-9, np.log(max(rows, 1) / least_common(rows)))
         self.factor = np.append((1 + DAMP * np.clip(idf, 0, 1)) / (1 + DAMP), 1.0)
 
     def of(self, h: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -148,7 +153,7 @@ def common_shingles(docs: DataFrame, text: str, rows: int) -> tuple[np.ndarray,
         at = np.flatnonzero(total[1:])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[1:][at])], ["at", "n"])
 
-    t = docs.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON * rows).toArrow()
+    t = docs.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= least_common(rows)).toArrow()
     at, n = t.column("at").to_numpy().astype(np.int64), t.column("n").to_numpy().astype(np.int64)
     order = np.argsort(at)
     return nominees[at[order]], n[order]

@@ -264,6 +264,7 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", spans: str | None = "pii_spans", inverse: bool = False) -> DataFrame:
     """docs with the text replaced and, if `spans` names a column, where each pseudonym stands."""
+    docs = docs.drop(spans) if spans else docs
     at, names = docs.columns.index(text), docs.columns
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

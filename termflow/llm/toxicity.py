@@ -237,7 +237,8 @@ class Scorer:
 def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS, bits: int = CELL_BITS) -> Scorer:
     """docs: every text, for the character model. labelled: (id, label) of the rows to learn from."""
     spark = docs.sparkSession
-    channel = Model(*language_tables(count_grams(docs.select(text, F.lit("all").alias("grp")), text, "grp", 3), 3), 3)
+    _, tables = language_tables(count_grams(docs.select(text, F.lit("all").alias("grp")), text, "grp", 3), 3)
+    channel = Model(["all"], tables, 3)
     some = labelled.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("y"))
     some = some.orderBy(F.xxhash64(id_col, F.lit(10)), id_col).limit(rows)  # so many ids at most
     train = docs.select(id_col, text).join(F.broadcast(some), id_col).select(text, "y", (F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(2))).cast("int").alias("fold"))
@@ -294,7 +295,8 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text: str
 
 
 def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
-    """docs with score and predicted."""
+    """docs with score and predicted; columns of these names are replaced."""
+    docs = docs.drop("score", "predicted")
     shared, at = docs.sparkSession.sparkContext.broadcast(scorer), docs.columns.index(text)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
