@@ -40,9 +40,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its log-weight and whether it is in the sample of half the rows."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    good = labels.groupBy("doc_id").agg((F.max("quality") == 1).alias("is_target"))
-    docs = docs.select("doc_id", "text").join(good, "doc_id", "left")
-    return resample.resample(docs, "text", "doc_id", "is_target").select("doc_id", "log_weight", "n_features", "gumbel_key", "selected")
+    return resample.resample(docs.select("doc_id", "text"), labels.where("quality = 1"))
 
 
 def op6_pivot_distance_search(spark: SparkSession, sf_dir: str) -> DataFrame:

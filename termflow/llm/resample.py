@@ -23,6 +23,8 @@ from termflow.session import materialize
 
 #: Hash cells of the n-gram models.
 CELLS = 1 << 14
+#: Labelled rows the target model is fitted on, drawn by hash (all, if fewer): so many ids go to every task. The raw model has all rows.
+TARGET_ROWS = 24_000
 #: Share of the rows kept.
 KEEP = 0.5
 SEED = 20
@@ -69,7 +71,8 @@ def log_ratio(good: np.ndarray, raw: np.ndarray, smooth: float = 1.0) -> np.ndar
 
 
 def weigh(docs: DataFrame, text: str, ratio: np.ndarray) -> DataFrame:
-    """docs with log_weight and n_features."""
+    """docs with log_weight and n_features; columns of these names are replaced."""
+    docs = docs.drop("log_weight", "n_features")
     shared, at, cells = docs.sparkSession.sparkContext.broadcast(ratio), docs.columns.index(text), len(ratio)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,9 +118,10 @@ def top_k(df: DataFrame, key: str, tie: str, k: int, cells: int = 4096, alone: i
     return df.where(~inside).withColumn("selected", F.col(key) > high).unionByName(ranked)
 
 
-def resample(docs: DataFrame, text: str, id_col: str, target: str, keep: float = KEEP, seed: int = SEED) -> DataFrame:
-    """docs (target: boolean column) without the text, with log_weight, n_features, gumbel_key and selected; round(keep x rows) are selected."""
-    good, raw = cell_counts(docs, text, target)
-    scored = weigh(docs, text, log_ratio(good, raw)).drop(text)
+def resample(docs: DataFrame, targets: DataFrame, text: str = "text", id_col: str = "doc_id", keep: float = KEEP, seed: int = SEED) -> DataFrame:
+    """docs without the text, with log_weight, n_features, gumbel_key and selected; round(keep x rows) are selected. targets: ids of good texts."""
+    good = targets.select(id_col).distinct().orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(TARGET_ROWS).withColumn("is_target", F.lit(True))
+    counts = cell_counts(docs.select(id_col, text).join(F.broadcast(good), id_col, "left"), text, "is_target")
+    scored = weigh(docs, text, log_ratio(*counts)).drop(text)
     scored = materialize(with_gumbel(scored, id_col, seed), "resample")
     return top_k(scored, "gumbel_key", id_col, round(keep * scored.count()))
