@@ -6,9 +6,9 @@ common ones are exact: tasks nominate shingles that are common in what they read
 texts. Weighted samples (Ioffe's scheme) are banded; texts that share a band's samples are compared by weighted Jaccard
 similarity; links of 0.8 or more make the classes.
 
-Within a band's bucket every text is compared with the bucket's first one. If the bucket is then not of one class, its texts of
-different classes are compared, but for those that the triangle inequality of the Jaccard distance rules out. So no link between
-candidates is lost and buckets of copies cost one comparison a text.
+Within a band's bucket every text is compared with the bucket's first one. If the others are then not of one class, the texts
+outside the largest class are indexed by shingle in blocks and all texts of the bucket run past the index. So no link between
+candidates is lost, no pairs are listed, and buckets of copies cost one comparison a text.
 
 Cases: equal texts are one class and enter once; a null text or one without a word is a class of its own; fewer than five words are one
 shingle; the class id is the least id in the class; repeated rows have one class; an empty table gives an empty result; other columns take no part.
@@ -33,6 +33,8 @@ BANDS, ROWS = 16, 4
 COMMON, DAMP = 0.002, 0.25
 #: Pairs compared with one text in one task's group.
 GROUP = 500
+#: Texts in one index, and texts that run past it in one stream.
+BLOCK, STREAM = 500, 2000
 #: Shingles gathered before a task looks for common ones.
 CHUNK = 2_000_000
 _TABLE_BITS = 18
@@ -191,6 +193,74 @@ def compare(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
     return rows.mapInArrow(job, "a long, b long, sim double")
 
 
+def across(inside: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
+    """(a, b): links between texts of one bucket (band, key) that are not of one class (root), one at least for each text and other class.
+
+    Only the texts outside a bucket's largest class are looked up: BLOCK of them form an index of shingles, and the bucket's texts
+    run past it in streams of STREAM. No pair is a row; buckets of one class cost nothing.
+    """
+    sizes = inside.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band", "key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("others"), F.sum("n").alias("all")).where("others > 0")
+    mixed = mixed.select("band", "key", "main", F.ceil(F.col("others") / BLOCK).alias("blocks"), F.ceil(F.col("all") / STREAM).alias("streams"))
+    rows = materialize(inside.join(mixed, ["band", "key"]), "neardup-mixed")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    place = ["band", "key", "block", "stream"]
+    index = rows.where("root <> main").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("stream", each("streams")).select(*place, F.lit(0).alias("kind"), "id", "root")
+    run = rows.withColumn("stream", F.pmod(F.xxhash64("id"), F.col("streams"))).withColumn("block", each("blocks")).select(*place, F.lit(1).alias("kind"), "id", "root")
+    dealt = index.unionByName(run).join(texts.select("id", "text"), "id").select(*place, "kind", "id", "root", "text")
+    dealt = dealt.repartition(*place).sortWithinPartitions(*place, "kind")
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, table = None, [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+            kind, ids, roots = (batch.column(i).to_numpy() for i in (4, 5, 6))
+            a, b = [], []
+            for first, end, row, h, count in bags(batch.column(7)):
+                w = shared.value.of(h, count)
+                at = np.searchsorted(row, np.arange(end - first + 1))
+                for i in range(first, end):
+                    s = slice(at[i - first], at[i - first + 1])
+                    if keys[i] != group:
+                        group, held, table = keys[i], [], None
+                    if kind[i] == 0:
+                        held.append((ids[i], roots[i], h[s], w[s]))
+                        continue
+                    if table is None:
+                        table = Lookup(held)
+                    for x in table.links(ids[i], roots[i], h[s], w[s]):
+                        a.append(min(x, int(ids[i])))
+                        b.append(max(x, int(ids[i])))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(job, "a long, b long").distinct()
+
+
+class Lookup:
+    """Index of the shingles of some texts (id, root, shingles, weights)."""
+
+    def __init__(self, held: list[tuple[int, int, np.ndarray, np.ndarray]]):
+        self.ids, self.roots = np.array([x[0] for x in held]), np.array([x[1] for x in held])
+        h, w = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+        own = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
+        order = np.argsort(h, kind="stable")
+        self.h, self.w, self.own = h[order], w[order], own[order]
+        self.total = np.bincount(own, weights=w, minlength=len(held))
+        self.done: set[tuple[int, int]] = set()
+
+    def links(self, id_: int, root: int, h: np.ndarray, w: np.ndarray) -> list[int]:
+        """Ids of the texts of other roots that are linked to this one; each text counts once for a root."""
+        lo = np.searchsorted(self.h, h)
+        n = np.searchsorted(self.h, h, "right") - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(self.own[at], weights=np.minimum(self.w[at], np.repeat(w, n)), minlength=len(self.ids))
+        hit = np.flatnonzero((both >= SIMILARITY * (self.total + w.sum() - both)) & (self.roots != root))
+        new = [int(self.ids[i]) for i in hit if (i, root) not in self.done]
+        self.done.update((i, root) for i in hit)
+        return new
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, class_id): one row per different id."""
     spark = docs.sparkSession
@@ -226,20 +296,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     links = star.where(F.col("sim") >= SIMILARITY).select("a", "b")
     comp = materialize(components(links), "neardup-star-classes")
 
-    # buckets that are not of one class: compare across classes what the distance to the head doesn't rule out
-    placed = members.join(comp, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band", "key")
-    inside = placed.join(mixed, ["band", "key"])
-    inside = inside.join(star.select(F.col("a").alias("head"), F.col("b").alias("id"), "sim"), ["head", "id"], "left").where("id <> head")
-    inside = materialize(inside.select("band", "key", "id", "root", (1 - F.col("sim")).alias("d")), "neardup-mixed")
-    largest = inside.groupBy("band", "key", "root").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    minor = inside.join(largest, ["band", "key"]).where("root <> main").select("band", "key", F.col("id").alias("i2"), F.col("root").alias("r2"), F.col("d").alias("d2"))
-    cross = inside.join(minor, ["band", "key"]).where((F.col("root") != F.col("r2")) & (F.abs(F.col("d") - F.col("d2")) <= 1 - SIMILARITY + 1e-9))
-    cross = cross.select(F.least("id", "i2").alias("a"), F.greatest("id", "i2").alias("b")).distinct()
-    cross = materialize(cross.join(star.select("a", "b"), ["a", "b"], "left_anti"), "neardup-cross")
-    if cross.take(1):
-        more = compare(cross, texts, weights).where(F.col("sim") >= SIMILARITY).select("a", "b")
-        comp = materialize(components(materialize(links.union(more), "neardup-links")), "neardup-classes")
+    inside = members.where("id <> head").join(comp, "id", "left").select("band", "key", "id", F.coalesce("root", "id").alias("root"))
+    more = materialize(across(inside, texts, weights), "neardup-across")
+    if more.take(1):
+        comp = materialize(components(links.unionByName(more)), "neardup-classes")
     out = alone.join(comp.select(F.col("id").alias("rep"), "root"), "rep", "left")
     return out.select("id", F.coalesce("root", "rep").alias("class_id"))
 
