@@ -308,7 +308,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     """docs without those whose class has a smaller id; of rows with the same id one stays. Rows with a null id stay."""
     found = materialize(classes(docs, id_col, text).where("id <> class_id").select(F.col("id").alias(id_col)), "neardup-dropped")
     many = materialize(docs.groupBy(id_col).agg(F.count("*").alias("n")).where(f"n > 1 and {id_col} is not null").select(id_col), "neardup-repeated")
-    kept = docs.join(found, id_col, "left_anti")
+    kept = docs.join(found.hint("merge"), id_col, "left_anti")  # one plan at every size
     if not many.take(1):
         return kept
     return kept.join(many, id_col, "left_anti").unionByName(kept.join(many, id_col, "left_semi").dropDuplicates([id_col]))
