@@ -86,12 +86,27 @@ def anchored(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple[n
         size = np.diff(np.append(at, len(anchor)))
         keep = ok[at]
         at, size = at[keep], size[keep]
-        out.append((row[at], start[at], size, h[anchor[at]]))
+        out.append((row[at], start[at], size, h[anchor[at]] >> np.uint64(16)))  # 48 bits: a chance meeting costs a comparison only
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def context_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, length: int) -> np.ndarray:
+    """Hash of each context: its bytes, the byte before, its number of windows."""
+    power, inverse = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], out=sums[1:])
+    body = (sums[start + size + length - 1] - sums[start]) * inverse[start]
+    return mix(body + mix(left.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64)))
+
+
+def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of many ranges, one after the other."""
+    end = np.cumsum(size)
+    return data[np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
+
+
 class Contexts:
     """The windows of a block that stand at repeated anchors, with their bytes."""
 
@@ -109,11 +124,7 @@ class Contexts:
             start, size = np.concatenate([start[~is_hot], each]), np.concatenate([size[~is_hot], np.ones(len(each), np.int64)])
         self.row, self.start, self.size, self.key = row, start, size, anchor
         self.left = np.where(start > off[row], data[np.maximum(start - 1, 0)].astype(np.int16), np.int16(-1))
-        power, inverse = powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], out=sums[1:])
-        body = (sums[start + size + length - 1] - sums[start]) * inverse[start]
-        self.hash = mix(body + mix(self.left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64)))
+        self.hash = context_hashes(data, start, size, self.left, length)
 
 
 def intervals(lcp: list[int], left: list[int], least: int) -> Iterator[tuple[int, int, int, bool]]:
@@ -138,18 +149,26 @@ def intervals(lcp: list[int], left: list[int], least: int) -> Iterator[tuple[int
                 stack.append([now, first, seen])
 
 
-def repeat_groups(contexts: list[tuple[bytes, int, int]], least_doc: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def repeat_groups(data: np.ndarray, base: np.ndarray, sizes: np.ndarray, before: np.ndarray, least_doc: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """(context, offset, bytes, first document, group hash) of each occurrence of a maximal repeat group among different contexts.
 
-    contexts: (bytes, byte before or -1, windows). least_doc: least id of the documents that have each.
+    Context i has sizes[i] windows from data[base[i]] on, `before` is the byte before it or -1, least_doc the least id of
+    the documents that have it. Windows that stand once are no repeats and don't enter the suffix array.
     """
-    sizes = np.array([c[2] for c in contexts], np.int64)
-    lengths = np.array([len(c[0]) for c in contexts], np.int64)
-    base = np.cumsum(lengths) - lengths
+    lengths = sizes + length - 1
     words = -(-int(lengths.max()) // 8)
-    text = np.frombuffer(b"".join(c[0] for c in contexts) + b"\0" * (8 * words + 8), np.uint8)
-    who = np.repeat(np.arange(len(contexts)), sizes)
+    who = np.repeat(np.arange(len(sizes)), sizes)
     step = np.arange(len(who)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    window = gram_hashes(data, length)[base[who] + step]
+    by = np.argsort(window, kind="stable")
+    same = window[by][1:] == window[by][:-1]
+    twice = np.zeros(len(window), bool)
+    twice[by[1:]] |= same
+    twice[by[:-1]] |= same
+    who, step = who[twice], step[twice]
+    if not len(who):
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    text = np.concatenate([data, np.zeros(8 * words + 8, np.uint8)])
     pos, room = base[who] + step, lengths[who] - step
     word = np.zeros(len(text) - 7, np.uint64)
     for j in range(8):
@@ -165,7 +184,7 @@ def repeat_groups(contexts: list[tuple[bytes, int, int]], least_doc: np.ndarray,
             lcp += same & (diff < np.uint64(1 << 8 * byte))
         same &= diff == 0
     lcp = np.minimum(lcp, np.minimum(room[order[1:]], room[order[:-1]]))
-    left = np.where(step[order] > 0, text[np.maximum(pos[order] - 1, 0)].astype(np.int64), np.array([c[1] for c in contexts], np.int64)[who[order]])
+    left = np.where(step[order] > 0, text[np.maximum(pos[order] - 1, 0)].astype(np.int64), before[who[order]].astype(np.int64))
     out: list[tuple[np.ndarray, ...]] = []
     edge = np.flatnonzero(lcp < length)
     firsts, lasts = np.append(0, edge + 1), np.append(edge, len(order) - 1)
@@ -190,7 +209,40 @@ def _prime(n: int) -> int:
     return n
 
 
+def _different(key: np.ndarray, hash_: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First position, least and largest id of each different context."""
+    if not len(key):
+        return np.zeros(0, np.int64), lo, hi
+    order = np.lexsort((hash_, key))
+    k, x = key[order], hash_[order]
+    at = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (x[1:] != x[:-1])))
+    return order[at], np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at)
+
+
+def _chunks(key: np.ndarray, size: np.ndarray, most: int) -> list[int]:
+    """Cuts between sorted keys, so that each chunk but those of one key has about `most` windows."""
+    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+    total, cuts = np.cumsum(size), [0]
+    while cuts[-1] < len(key):
+        want = (total[cuts[-1] - 1] if cuts[-1] else 0) + most
+        i = int(np.searchsorted(total[ends - 1], want, "right")) - 1
+        nxt = ends[max(i, int(np.searchsorted(ends, cuts[-1], "right")))]
+        cuts.append(int(nxt))
+    return cuts
+
+
+def _by_value(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(value, positions) of each value."""
+    if not len(values):
+        return
+    order = np.argsort(values, kind="stable")
+    at = np.flatnonzero(np.append(True, values[order][1:] != values[order][:-1]))
+    for a, b in zip(at, np.append(at[1:], len(values)), strict=True):
+        yield int(values[order[a]]), order[a:b]
+
+
 ITEM = (np.uint64, np.int64)
+META = (np.uint64, np.int64, np.int64, np.int16, np.int16)
 FOUND = (np.uint64, np.uint64, np.int16, np.int16, np.int64, np.int64)
 
 
@@ -219,7 +271,7 @@ def _plan(docs: DataFrame, id_col: str, text: str, length: int) -> tuple[DataFra
             n = np.diff(np.append(at, len(h)))
             one_h, one_d = h[at], np.where(n == 1, doc[at], -1)
             out_kind, out_to, out_blob = [], [], []
-            to = (one_h >> np.uint64(32)).astype(np.int64) % shards
+            to = (one_h >> np.uint64(16)).astype(np.int64) % shards
             by = np.argsort(to, kind="stable")
             cut = np.searchsorted(to[by], np.arange(shards + 1))
             for s in range(shards):
@@ -271,79 +323,68 @@ def _plan(docs: DataFrame, id_col: str, text: str, length: int) -> tuple[DataFra
     texts = known.withColumn("shard", F.pmod("id", F.lit(shards))).select("shard", "id", "text")
 
     def contexts(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """The shard's different contexts, each with the least and the largest id of the documents that have it."""
-        held: dict[tuple[int, int], list] = {}
+        """The shard's different contexts, each with the least and the largest id of the documents that have it, packed by part."""
+        parts, texts_, at = [], [], 0
         for _, ids, data, c in _windows(left, right, length):
-            low = ids[c.row]
-            order = np.lexsort((c.hash, c.key))
-            k, x, d, start, size, lf = c.key[order], c.hash[order], low[order], c.start[order], c.size[order], c.left[order]
-            if not len(k):
-                continue
-            at = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (x[1:] != x[:-1])))
-            lo, hi = np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)
-            for key, hash_, a, b, s, n, before in zip(k[at].view(np.int64).tolist(), x[at].view(np.int64).tolist(), lo.tolist(), hi.tolist(), start[at].tolist(), size[at].tolist(), lf[at].tolist(), strict=True):
-                got = held.get((key, hash_))
-                if got is None:
-                    held[key, hash_] = [data[s:s + n + length - 1].tobytes(), before, n, a, b]
-                else:
-                    got[3], got[4] = min(got[3], a), max(got[4], b)
-        flat = [(keys[0], k, x, *v) for (k, x), v in held.items()]
-        return pd.DataFrame(flat, columns=["shard", "key", "hash", "ctx", "before", "windows", "lo", "hi"])
-
-    own = texts.groupBy("shard").cogroup(flags.groupBy("shard")).applyInPandas(contexts, "shard long, key long, hash long, ctx binary, before int, windows int, lo long, hi long")
-    own = own.repartition("key").sortWithinPartitions("key", "hash")
-
-    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-
-        def flush(pdf: pd.DataFrame) -> pd.DataFrame:
-            new = np.append(True, (pdf["key"].to_numpy()[1:] != pdf["key"].to_numpy()[:-1]) | (pdf["hash"].to_numpy()[1:] != pdf["hash"].to_numpy()[:-1]))
-            at = np.flatnonzero(new)
-            which = np.cumsum(new) - 1
-            first = pdf.iloc[at]
-            lo = np.minimum.reduceat(pdf["lo"].to_numpy(), at)
-            hi = np.maximum.reduceat(pdf["hi"].to_numpy(), at)
-            ctx = list(zip(first["ctx"], first["before"].tolist(), first["windows"].tolist(), strict=True))
-            c, off, n, doc, g = repeat_groups(ctx, lo, length)
-            whole = np.flatnonzero(lo < hi)  # equal contexts in several documents are a group by themselves
-            c = np.concatenate([c, whole])
-            off, doc = np.concatenate([off, np.zeros(len(whole), np.int64)]), np.concatenate([doc, lo[whole]])
-            n = np.concatenate([n, [len(ctx[i][0]) for i in whole]]).astype(np.int64)
-            g = np.concatenate([g, first["hash"].to_numpy()[whole]])
-            order = np.argsort(c, kind="stable")
-            c, off, n, doc, g = c[order], off[order], n[order], doc[order], g[order]
-            a, b = np.searchsorted(c, which), np.searchsorted(c, which, "right")
-            useful = b > a
-            rows, a, b = np.flatnonzero(useful), a[useful], b[useful]
-            take = np.repeat(a, b - a) + np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
-            line = np.repeat(rows, b - a)
-            keep = doc[take] <= pdf["hi"].to_numpy()[line]
+            d = ids[c.row]
+            first, lo, hi = _different(c.key, c.hash, d, d)
+            size = c.size[first]
+            texts_.append(gather(data, c.start[first], size + length - 1))
+            end = np.cumsum(size + length - 1)
+            parts.append((c.key[first], c.hash[first], lo, hi, size, c.left[first], at + end - (size + length - 1)))
+            at += len(texts_[-1])
+        if not at:
+            return pd.DataFrame([], columns=["shard", "dest", "meta", "ctx"])
+        key, hash_, lo, hi, size, before, base = (np.concatenate(x) for x in zip(*parts, strict=True))
+        first, lo, hi = _different(key, hash_, lo, hi)
+        key, size, before, base, data = key[first], size[first], before[first], base[first], np.concatenate(texts_)
+        dest = (key % np.uint64(shards)).astype(np.int64)
+        by = np.argsort(dest, kind="stable")
+        cut, out = np.searchsorted(dest[by], np.arange(shards + 1)), []
+        for p in range(shards):
+            i = by[cut[p]:cut[p + 1]]
+            if len(i):
+                meta = pack(key[i], lo[i], hi[i] - lo[i], size[i].astype(np.int16), before[i])
+                out.append((keys[0], p, meta, zstandard.ZstdCompressor(level=3).compress(gather(data, base[i], size[i] + length - 1).tobytes())))
+        return pd.DataFrame(out, columns=["shard", "dest", "meta", "ctx"])
+
+    own = texts.groupBy("shard").cogroup(flags.groupBy("shard")).applyInPandas(contexts, "shard long, dest long, meta binary, ctx binary")
+
+    def groups(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """kind 3: for each shard the groups that its contexts of this part are in."""
+        metas = [unpack(m, *META) for m in pdf["meta"]]
+        key, lo, hi, size, before = (np.concatenate(x) for x in zip(*metas, strict=True))
+        size, shard = size.astype(np.int64), np.repeat(pdf["shard"].to_numpy(), [len(m[0]) for m in metas])
+        hi = lo + hi
+        data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(c) for c in pdf["ctx"]), np.uint8)
+        base = np.cumsum(size + length - 1) - (size + length - 1)
+        hash_ = np.concatenate([context_hashes(data[base[a]:base[b - 1] + size[b - 1] + length - 1], base[a:b] - base[a], size[a:b], before[a:b], length) for a, b in ((i, min(i + 100_000, len(size))) for i in range(0, len(size), 100_000))])
+        order = np.lexsort((hash_, key))
+        shard, key, lo, hi, size, before, base, hash_ = (x[order] for x in (shard, key, lo, hi, size, before, base, hash_))
+        cuts = _chunks(key, size, CHUNK)
+        out: dict[int, list] = {}
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            new = np.append(True, (key[a + 1:b] != key[a:b - 1]) | (hash_[a + 1:b] != hash_[a:b - 1]))
+            at, which = a + np.flatnonzero(new), np.cumsum(new) - 1
+            low, high = np.minimum.reduceat(lo[a:b], at - a), np.maximum.reduceat(hi[a:b], at - a)
+            n = size[at]
+            part = gather(data, base[at], n + length - 1)
+            c, off, m, doc, g = repeat_groups(part, np.cumsum(n + length - 1) - (n + length - 1), n, before[at], low, length)
+            whole = np.flatnonzero(low < high)  # equal contexts in several documents are a group by themselves
+            c, off, m, doc, g = (np.concatenate(x) for x in ((c, whole), (off, np.zeros(len(whole), np.int64)), (m, n[whole] + length - 1), (doc, low[whole]), (g, hash_[at][whole].view(np.int64))))
+            by = np.argsort(c, kind="stable")
+            c, off, m, doc, g = c[by], off[by], m[by], doc[by], g[by]
+            x, y = np.searchsorted(c, which), np.searchsorted(c, which, "right")
+            count = y - x
+            take = np.repeat(x - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            line = a + np.repeat(np.arange(b - a), count)
+            keep = doc[take] <= hi[line]
             take, line = take[keep], line[keep]
-            shard = pdf["shard"].to_numpy()[line]
-            out = []
-            by = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[by], np.arange(shards + 1))
-            for s in range(shards):
-                p = by[cut[s]:cut[s + 1]]
-                if len(p):
-                    key, hash_ = (pdf[x].to_numpy()[line[p]].view(np.uint64) for x in ("key", "hash"))
-                    out.append((3, s, pack(key, hash_, off[take[p]].astype(np.int16), n[take[p]].astype(np.int16), doc[take[p]], g[take[p]])))
-            return pd.DataFrame(out, columns=["kind", "shard", "blob"])
-
-        for b in batches:
-            held.append(b)
-            size += int(b["windows"].sum())
-            if size >= CHUNK:
-                pdf = pd.concat(held, ignore_index=True)
-                last = pdf["key"].to_numpy() == pdf["key"].iloc[-1]  # the last key may go on
-                if not last.all():
-                    yield flush(pdf[~last].reset_index(drop=True))
-                    pdf = pdf[last]
-                held, size = [pdf], int(pdf["windows"].sum())
-        if held and sum(map(len, held)):
-            yield flush(pd.concat(held, ignore_index=True))
-
-    found = materialize(own.mapInPandas(groups, "kind int, shard long, blob binary"), "suffix-groups")
+            for s, i in _by_value(shard[line]):
+                out.setdefault(s, []).append((key[line[i]], hash_[line[i]], off[take[i]].astype(np.int16), m[take[i]].astype(np.int16), doc[take[i]], g[take[i]]))
+        return pd.DataFrame([(3, s, pack(*(np.concatenate(x) for x in zip(*v, strict=True)))) for s, v in out.items()], columns=["kind", "shard", "blob"])
+
+    found = materialize(own.groupBy("dest").applyInPandas(groups, "kind int, shard long, blob binary"), "suffix-groups")
     return texts, flags.unionByName(found), shards
 
 

@@ -30,7 +30,9 @@ def add_business_days(df: DataFrame, date: str, n: int, out: str, cal: DataFrame
     """n business days on; from a non-business day the next business day counts as one."""
     at = cal.select(F.col("date").alias(date), (F.col("bday_no") + n).alias("__k"))
     to = cal.where("is_bday").select(F.col("bday_no").alias("__k"), F.col("date").alias(out))
-    return df.join(at, date).join(to, "__k").drop("__k")
+    j = df.join(at, date, "left").join(to, "__k", "left").drop("__k")
+    gone = F.raise_error(F.concat(F.lit("the calendar does not cover "), F.col(date).cast("string"))).cast("date")
+    return j.withColumn(out, F.when(F.col(out).isNotNull() | F.col(date).isNull(), F.col(out)).otherwise(gone))
 
 
 def publish(df: DataFrame, ref: str, rule: str, cal: DataFrame, n: int = 0, out: str = "publish_date") -> DataFrame:
@@ -46,10 +48,17 @@ def publish(df: DataFrame, ref: str, rule: str, cal: DataFrame, n: int = 0, out:
     raise ValueError(rule)
 
 
-def calendar_for(spark: SparkSession, first_year: int = 1980, last_year: int = 2040) -> DataFrame:
+def calendar_for(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
     return business_days(spark, first_year, last_year)
 
 
+def calendar_of(dates: DataFrame, date: str, slack_years: int = 1) -> DataFrame:
+    """Business days of all years that the dates are in, and slack_years around them: one scalar aggregate."""
+    lo, hi = dates.agg(F.year(F.min(date)), F.year(F.max(date))).first()
+    lo, hi = (1970, 1970) if lo is None else (lo, hi)
+    return business_days(dates.sparkSession, lo - slack_years, hi + slack_years)
+
+
 def regime_actions(dates: DataFrame, regimes: DataFrame, actions: DataFrame, books: DataFrame, default: float = 1.0) -> DataFrame:
     """(date, book, active, alpha_multiplier): latest regime on or before each date, then the
     action table; unknown or missing regimes are neutral. dates and books are dimension tables."""

@@ -87,15 +87,30 @@ def sharpe(r: str = "pnl", ppy: int = 252, min_obs: int = 20) -> Column:
     return F.when((F.count(r) >= min_obs) & (sd > 0), div(F.avg(r), sd) * math.sqrt(ppy))
 
 
+def wealth(r: str, key, order="date") -> Column:
+    """Running product of 1 + r; a loss of all or more makes it zero or turns its sign. NULL returns change nothing."""
+    g, w = 1 + F.col(r), running(key, order)
+    size = F.exp(F.coalesce(F.sum(F.when(g != 0, F.ln(F.abs(g)))).over(w), F.lit(0.0)))
+    turns = F.coalesce(F.sum((g < 0).cast("int")).over(w), F.lit(0))
+    return F.when(F.max((g == 0).cast("int")).over(w) == 1, 0.0).otherwise(size * (1 - 2 * F.pmod(turns, F.lit(2))))
+
+
 def wealth_log(r: str, key, order="date") -> Column:
-    return F.sum(F.log1p(r)).over(running(key, order))
+    """Log of the running wealth; NULL where nothing or less is left."""
+    w = wealth(r, key, order)
+    return F.when(w > 0, F.ln(w))
+
+
+def total_return(r: str) -> Column:
+    """Aggregate: product of 1 + r, minus one."""
+    return F.product(1 + F.col(r)) - 1
 
 
 def drawdown(df: DataFrame, r: str, key, out: str = "drawdown", order="date") -> DataFrame:
     """Wealth over its running peak, minus one. Wealth starts at the first return."""
     w = running(key, order)
-    return (df.withColumn("__w", F.sum(F.log1p(r)).over(w)).withColumn("__p", F.max("__w").over(w))
-            .withColumn(out, F.expm1(F.col("__w") - F.col("__p"))).drop("__w", "__p"))
+    return (df.withColumn("__w", wealth(r, key, order)).withColumn("__p", F.max("__w").over(w))
+            .withColumn(out, div("__w", "__p") - 1).drop("__w", "__p"))
 
 
 def performance(df: DataFrame, by: list[str], r: str = "pnl", ppy: int = 252, min_obs: int = 20) -> DataFrame:
@@ -103,10 +118,12 @@ def performance(df: DataFrame, by: list[str], r: str = "pnl", ppy: int = 252, mi
     x = drawdown(df.where(F.col(r).isNotNull()), r, by, "__dd")
     n = F.count(r)
     a = x.groupBy(*by).agg(
-        n.alias("n"), F.expm1(F.sum(F.log1p(r)) * F.lit(float(ppy)) / n).alias("ann_return"),
+        n.alias("n"), F.product(1 + F.col(r)).alias("__total"),
         (F.stddev_samp(r) * math.sqrt(ppy)).alias("ann_vol"),
         (F.stddev_samp(F.when(F.col(r) < 0, F.col(r))) * math.sqrt(ppy)).alias("__down"),
         F.min("__dd").alias("max_drawdown"), F.avg((F.col(r) > 0).cast("double")).alias("win_rate"))
+    # a negative product has no yearly rate
+    a = a.withColumn("ann_return", F.when(F.col("__total") >= 0, F.pow("__total", F.lit(float(ppy)) / F.col("n")) - 1))
     return a.where(F.col("n") >= min_obs).select(
         *by, "n", "ann_return", "ann_vol", div("ann_return", "ann_vol").alias("sharpe"),
         div("ann_return", "__down").alias("sortino"),

@@ -1,6 +1,8 @@
 """Multi-leg symbols to canonical legs, once per distinct key, as column expressions."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from termflow.functions.calendar import code_month, month_code
@@ -124,8 +126,17 @@ def resolve_keys(keys: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def resolve_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Every combo row with its key's outcome: resolve once per distinct key, join back by equality."""
-    return rows.join(resolve_keys(rows, roots), list(KEYS))
+    """Every combo row with its key's outcome: resolve once per distinct key, join back by equality.
+
+    A row whose key is incomplete can't be resolved; it is kept with the reason `incomplete_key`.
+    """
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in KEYS])
+    done = rows.where(whole).join(resolve_keys(rows.where(whole), roots), list(KEYS))
+    torn = rows.where(~whole)
+    for f in done.schema.fields:
+        if f.name not in torn.columns:
+            torn = torn.withColumn(f.name, F.lit("incomplete_key" if f.name == "reject_reason" else None).cast(f.dataType))
+    return done.unionByName(torn)
 
 
 def bucket_table(resolved: DataFrame, bucket: str) -> DataFrame:

@@ -215,7 +215,7 @@ def common_dates(scores: DataFrame, by: str = "estimator", date: str = "rebalanc
 def league_table(scores: DataFrame, loss: str = "qlike", by: str = "estimator", date: str = "rebalance_date") -> DataFrame:
     s = scores.where(F.col(loss).isNotNull())
     s = s.join(common_dates(s, by, date), date, "left_semi")
-    win = s.groupBy(date).agg(F.min_by(by, loss).alias("winner"))
+    win = s.groupBy(date).agg(F.min_by(by, F.struct(loss, by)).alias("winner"))
     m = s.groupBy(by).agg(F.avg(loss).alias("mean_loss"), F.count(F.lit(1)).alias("n"))
     c = win.groupBy(F.col("winner").alias(by)).agg(F.count(F.lit(1)).alias("wins"))
     return m.join(c, by, "left").select(by, "mean_loss", "n", (F.coalesce("wins", F.lit(0)) / F.col("n")).alias("win_rate"))

@@ -12,9 +12,10 @@ OHLC = ("open", "high", "low", "close")
 
 
 def dedup_definitions(defs: DataFrame, arrival: str = "arrival") -> DataFrame:
-    """First-arrived definition per (date, instrument_id): a map-side aggregate, no ranking of raw rows."""
+    """First-arrived definition per (date, instrument_id), one whole row of those that arrived together: the least."""
     rest = [c for c in defs.columns if c not in ("date", "instrument_id", arrival)]
-    return defs.groupBy("date", "instrument_id").agg(*[F.min_by(c, arrival).alias(c) for c in rest])
+    first = F.min(F.struct(arrival, *rest)).alias("__d")
+    return defs.groupBy("date", "instrument_id").agg(first).select("date", "instrument_id", *[F.col("__d")[c].alias(c) for c in rest])
 
 
 def define_bars(bars: DataFrame, defs: DataFrame, arrival: str = "arrival") -> DataFrame:

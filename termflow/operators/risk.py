@@ -129,17 +129,19 @@ def risk_parity(cov: DataFrame, budgets: DataFrame | None = None, by=("set_id",)
         b = pdf.groupby("i")["b"].first().reindex(m.index).to_numpy()
         b = b / b.sum()
         w = np.sqrt(b / np.diag(c))
+        converged = False
         for _ in range(2000):
             old = w.copy()
             for k in range(len(w)):
                 rest = c[k] @ w - c[k, k] * w[k]
                 w[k] = (-rest + math.sqrt(rest * rest + 4 * c[k, k] * b[k])) / (2 * c[k, k])
             if np.abs(w - old).max() < 1e-13 * w.max():
+                converged = True
                 break
         out = pdf[key].iloc[[0] * len(w)].reset_index(drop=True)
-        return out.assign(i=m.index.to_numpy(), w=w / w.sum())
+        return out.assign(i=m.index.to_numpy(), w=w / w.sum(), converged=converged)
 
     x = cov.join(budgets, [*key, "i"], "left") if budgets is not None else cov.withColumn("b", F.lit(1.0))
     x = x.withColumn("b", F.coalesce("b", F.lit(1.0))).select(*key, "i", "j", "cov", "b")
     types = ", ".join(f"{c} {t}" for c, t in x.dtypes if c in key)
-    return x.groupBy(*key).applyInPandas(solve, f"{types}, i string, w double")
+    return x.groupBy(*key).applyInPandas(solve, f"{types}, i string, w double, converged boolean")

@@ -53,7 +53,7 @@ def mask_untrusted(panel: DataFrame, since: DataFrame, fields: list[str]) -> Dat
     return j.withColumns({f: F.when(keep, F.col(f)) for f in fields}).drop("trusted_since")
 
 
-def active_assets(panel: DataFrame, alpha: str, ret: str, min_frac: float = 0.5) -> DataFrame:
+def active_assets(panel: DataFrame, alpha: str, ret: str, min_frac: float = 0.9) -> DataFrame:
     """Assets with some alpha and enough return coverage."""
     g = panel.groupBy("asset").agg(F.count(alpha).alias("n_alpha"), (F.count(ret) / F.count(F.lit(1))).alias("coverage"))
     return g.where((F.col("n_alpha") > 0) & (F.col("coverage") >= min_frac))

@@ -6,7 +6,7 @@ cte("sup", """select s_suppkey, n_name as asset, r_name as sector from supplier
 cte("li", """select asset, sector, cast(l_shipdate as date) as date, l_orderkey, l_linenumber, l_quantity,
   cast(floor(l_extendedprice*100+0.5) as bigint) as px from lineitem join sup on l_suppkey=s_suppkey""")
 cte("bars_d", """select asset, sector, date,
-  cast(min(cast(l_orderkey as hugeint)*100000000+px) % 100000000 as double)/100 as open,
+  cast(arg_min(px, cast(l_orderkey as hugeint)*10000000000000000::hugeint+px) as double)/100 as open,
   max(px)/100.0::double as high, min(px)/100.0::double as low,
   cast(sum(px) as double)/100.0::double/count(*) as close, sum(l_quantity) as volume, count(*) as n,
   cast(sum(px) as bigint) as cents from li group by asset, sector, date""")

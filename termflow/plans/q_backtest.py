@@ -86,29 +86,30 @@ def _(spark, d):
     return rounded(x.withColumn("pos", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("sharpe"), "asset")).cast("long")), 5)
 
 
-cte("sec_w", """select *, greatest(-0.9, least(0.9, pnl/10)) as r from (select s.sector, date, coalesce(sum(pos*ret),0) as pnl
+cte("sec_w", """select *, pnl/10 as r from (select s.sector, date, coalesce(sum(pos*ret),0) as pnl
   from pos_w join (select distinct asset as a, sector from sup) s on asset=s.a group by s.sector, date)""")
-cte("dd_w", """select *, exp(lw - max(lw) over (partition by sector order by date))-1 as dd from
-  (select *, sum(ln(1+r)) over (partition by sector order by date) as lw from sec_w)""")
+cte("dd_w", """select *, wl/nullif(max(wl) over (partition by sector order by date),0)-1 as dd from
+  (select *, product(1+r) over (partition by sector order by date) as wl from sec_w)""")
 
 
 def sector_streams(spark, d):
-    """One damped return stream per sector: (sector, date, r)."""
+    """One return stream per sector, a tenth of its P&L: (sector, date, r)."""
     s = mk.pos_w(spark, d).groupBy("sector", "date").agg(F.coalesce(F.sum(F.col("pos") * F.col("ret")), F.lit(0.0)).alias("pnl"))
-    return s.withColumn("r", F.greatest(F.lit(-0.9), F.least(F.lit(0.9), F.col("pnl") / 10)))
+    return s.withColumn("r", F.col("pnl") / 10)
 
 
 @query("tear_sheet", "B7", """select sector, n, round(ar,5) as ann_return, round(av,5) as ann_vol, round(ar/nullif(av,0),5) as sharpe,
  round(ar/nullif(dv,0),5) as sortino, case when mdd<0 then round(ar/abs(mdd),5) end as calmar, round(mdd,5) as max_drawdown, round(wr,5) as win_rate
- from (select sector, count(*) as n, exp(sum(ln(1+r))*52.0/count(*))-1 as ar, stddev_samp(r)*sqrt(52) as av,
+ from (select sector, count(*) as n, case when product(1+r)>=0 then pow(product(1+r),52.0/count(*))-1 end as ar, stddev_samp(r)*sqrt(52) as av,
   stddev_samp(case when r<0 then r end)*sqrt(52) as dv, min(dd) as mdd, avg(case when r>0 then 1.0 else 0.0 end) as wr from dd_w group by sector)""")
 def _(spark, d):
     return rounded(bt.performance(sector_streams(spark, d), ["sector"], "r", 52), 5)
 
 
-@query("equity_curve_log", "B8", "select sector, date, round(lw,5) as log_wealth from dd_w")
+@query("equity_curve_log", "B8", "select sector, date, case when wl>0 then round(ln(wl),5) end as log_wealth, round(wl,6) as wealth from dd_w")
 def _(spark, d):
-    return rounded(sector_streams(spark, d).select("sector", "date", bt.wealth_log("r", "sector").alias("log_wealth")), 5)
+    s = sector_streams(spark, d).select("sector", "date", bt.wealth_log("r", "sector").alias("log_wealth"), bt.wealth("r", "sector").alias("wealth"))
+    return rounded(s, 5, wealth=6)
 
 
 @query("drawdown_series", "B9", "select sector, date, round(dd,6) as drawdown from dd_w")
@@ -126,10 +127,10 @@ def _(spark, d):
 
 
 @query("monthly_return_matrix", "B11", "select sector, year(date)::int as year, " + ", ".join(
-    f"round(exp(sum(ln(1+r)) filter (where month(date)={m}))-1,5) as m{m}" for m in range(1, 13)) + " from sec_w group by all")
+    f"round(product(1+r) filter (where month(date)={m})-1,5) as m{m}" for m in range(1, 13)) + " from sec_w group by all")
 def _(spark, d):
     s = sector_streams(spark, d).withColumn("year", F.year("date")).withColumn("month", F.month("date"))
-    p = s.groupBy("sector", "year").pivot("month", list(range(1, 13))).agg(F.expm1(F.sum(F.log1p("r"))))
+    p = s.groupBy("sector", "year").pivot("month", list(range(1, 13))).agg(bt.total_return("r"))
     return rounded(p.select("sector", "year", *[F.col(str(m)).alias(f"m{m}") for m in range(1, 13)]), 5)
 
 

@@ -146,13 +146,13 @@ def _(spark, d):
     return rounded(op.net_by_sector(c, costs(spark, d)))
 
 
-@query("pnl_statistics", "O13", """with p as (select book, point, date, greatest(-0.9,least(0.9,(gross-penalty-cost)/10)) as r from bk_pnl), w as (select *, sum(ln(1+r)) over (partition by book, point order by date) as lw from p),
- dd as (select *, exp(lw-max(lw) over (partition by book, point order by date))-1 as dd from w), q as (select book, point, quantile_cont(r,0.05) as v from p group by 1,2)
+@query("pnl_statistics", "O13", """with p as (select book, point, date, (gross-penalty-cost)/10 as r from bk_pnl), w as (select *, product(1+r) over (partition by book, point order by date) as wl from p),
+ dd as (select *, wl/nullif(max(wl) over (partition by book, point order by date),0)-1 as dd from w), q as (select book, point, quantile_cont(r,0.05) as v from p group by 1,2)
 select d.book, d.point, count(*) as n, round(avg(r)/stddev_samp(r)*sqrt(52),5) as sharpe, round(min(dd),5) as max_drawdown, round(v,6) as "var", round(avg(r) filter (where r<=v),6) as es from dd d join q on q.book=d.book and q.point=d.point group by d.book, d.point, v""")
 def _(spark, d):
     from termflow.operators import risk
     _, pts, w, pr = walked(spark, d)
-    p = op.book_pnl(w, pr, pts, costs(spark, d)).select("book", "point", "date", F.greatest(F.lit(-0.9), F.least(F.lit(0.9), F.col("pnl") / 10)).alias("r"))
+    p = op.book_pnl(w, pr, pts, costs(spark, d)).select("book", "point", "date", (F.col("pnl") / 10).alias("r"))
     p = materialize(p, "book-pnl")
     k = ["book", "point"]
     s = bt.drawdown(p, "r", tuple(k)).groupBy(*k).agg(F.count("r").alias("n"), bt.sharpe("r", 52).alias("sharpe"), F.min("drawdown").alias("max_drawdown"))

@@ -182,10 +182,10 @@ def _(spark, d):
     return rounded(h.groupBy("asset").agg(F.avg((F.col("curve_shape") == "contango").cast("double")).alias("share")))
 
 
-@query("combos_by_volume", "C10", """select near_contract_symbol || ' / ' || far_contract_symbol as legs, asset, sum(volume) as volume from quotes group by 1, 2 order by volume desc, legs limit 50""")
+@query("combos_by_volume", "C10", """select near_contract_symbol || ' / ' || far_contract_symbol as legs, asset, sum(volume) as volume from quotes group by 1, 2""")
 def _(spark, d):
     s = dv.spreads(dv.contracts(spark, d)).groupBy(F.concat_ws(" / ", "near_contract_symbol", "far_contract_symbol").alias("legs"), "asset").agg(F.sum("volume").alias("volume"))
-    return s.orderBy(F.desc("volume"), "legs").limit(50)
+    return s.orderBy(F.desc("volume"), "legs", "asset")
 
 
 @query("price_richness", "C11", """with l as (select asset, spread_symbol, count(close) as n_obs, arg_max(close,date) as latest, avg(close) as mu, stddev_samp(close) as s from quotes group by all)

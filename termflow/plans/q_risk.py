@@ -192,7 +192,7 @@ def two_sets(spark, d):
 
 @query("risk_parity_two_sleeves", "P20", "select set_id, a as i, round(sb/(sa+sb),6) as w from twoset union all select set_id, b, round(sa/(sa+sb),6) from twoset")
 def _(spark, d):
-    return rounded(risk.risk_parity(two_sets(spark, d)))
+    return rounded(risk.risk_parity(two_sets(spark, d)).where("converged").drop("converged"))
 
 
 @query("risk_parity_contribution_shares", "P19 P20", "select 'all' as set_id, stream as i, 0.2::double as share from (select distinct stream from st)")

@@ -7,24 +7,19 @@ from termflow.session import scratch_path
 from termflow.sources import driver_views as dv, market as mk
 from termflow.streaming import ingest as st
 
-def land(df, name, parts, order):
-    """Write a table as `parts` consecutive time slices, so the file source replays it in order."""
-    path = scratch_path(df.sparkSession, name)
+def time_slices(df, parts, order):
+    """The table as consecutive time slices."""
     t = F.col(order).cast("timestamp").cast("double")
     lo, hi = df.agg(F.min(t), F.max(t)).first()
     width = (hi - lo) / parts
-    for i in range(parts):
-        last = F.lit(True) if i == parts - 1 else t < lo + (i + 1) * width
-        df.where((t >= lo + i * width) & last).sortWithinPartitions(order).write.mode("append").parquet(path)
-    return path
+    return [df.where((t >= lo + i * width) & (F.lit(True) if i == parts - 1 else t < lo + (i + 1) * width)) for i in range(parts)]
 
 
-def replay_events(spark, d):
+def event_slices(spark, d):
     # One closing row far ahead moves the watermark past the last real day.
     e = dv.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
     end = e.agg(F.max("event_id").alias("event_id"), (F.max("ts") + F.expr("interval 5 days")).alias("ts"), F.max("user_id").alias("user_id"), F.lit("end").alias("event_type"), F.lit(0.0).alias("value"))
-    path = land(e.unionByName(end), "events", 4, "ts")
-    return st.events(spark, path, e.schema)
+    return time_slices(e.unionByName(end), 4, "ts")
 
 
 BARS = """select cast(ts as date) as date, event_type, arg_min(value, event_id) as open, max(value) as high, min(value) as low, arg_max(value, event_id) as close, count(*) as n from events group by 1, 2"""
@@ -33,29 +28,28 @@ BARS = """select cast(ts as date) as date, event_type, arg_min(value, event_id)
 @query("streaming_daily_bars", "W2", BARS)
 def _(spark, d):
     with st.state_layout(spark):
-        out = st.run_available(st.daily_bars(replay_events(spark, d)), spark, name="bars")
+        out = st.run_slices(event_slices(spark, d), st.daily_bars, spark, name="bars")
     return spark.read.parquet(out).where("event_type <> 'end'")
 
 
 @query("streaming_upsert_ingest", "W1", "select user_id, event_type, cast(max(ts) as date) as last_date, arg_max(value, ts) as value from events group by 1, 2")
 def _(spark, d):
     sink = st.UpsertSink(scratch_path(spark, "upsert-stream"), ["user_id", "event_type"], "ts")
-    st.run_available(replay_events(spark, d).where("event_type <> 'end'"), spark, sink, "upsert")
+    st.run_slices(event_slices(spark, d), lambda e: e.where("event_type <> 'end'"), spark, sink, "upsert")
     return sink.table(spark).select("user_id", "event_type", F.to_date("ts").alias("last_date"), "value")
 
 
 @query("streaming_dimension_enrichment", "W4", "select n_name as asset, event_type, count(*) as n, round(sum(value),4) as total from events left join nation on user_id%25=n_nationkey group by 1, 2")
 def _(spark, d):
     dim = dv.table(spark, d, "nation").select((F.col("n_nationkey").cast("long")).alias("k"), F.col("n_name").alias("asset"))
-    s = st.enrich(replay_events(spark, d).where("event_type <> 'end'").withColumn("k", F.col("user_id") % 25), dim, "k")
-    out = st.run_available(s.select("asset", "event_type", "value"), spark, name="enrich")
+    make = lambda e: st.enrich(e.where("event_type <> 'end'").withColumn("k", F.col("user_id") % 25), dim, "k").select("asset", "event_type", "value")
+    out = st.run_slices(event_slices(spark, d), make, spark, name="enrich")
     return rounded(spark.read.parquet(out).groupBy("asset", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 4)
 
 
 @query("streaming_ewma_volatility", "W3", "select n.asset, n.date, round(sqrt(e.avg*52),6) as ewma_vol from ewma_x e join ret_n n on n.asset=e.asset and n.t=e.t")
 def _(spark, d):
     p = mk.panel_w(spark, d).select("asset", "date", "close")
-    path = land(p, "panel", 4, "date")
     with st.state_layout(spark, rocks=True):
-        out = st.run_available(st.streaming_ewma(st.events(spark, path, p.schema), 12), spark, name="ewma")
+        out = st.run_slices(time_slices(p, 4, "date"), lambda s: st.streaming_ewma(s, 12), spark, name="ewma")
     return rounded(spark.read.parquet(out).select("asset", "date", F.sqrt(F.col("ewma_var") * 52).alias("ewma_vol")))

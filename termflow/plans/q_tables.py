@@ -107,9 +107,9 @@ OB = "case dayofweek(make_date(y,{m},{d})) when 6 then make_date(y,{m},{d})-1 wh
 NTH = "make_date(y,{m},1)+cast(({w}-dayofweek(make_date(y,{m},1))+7)%7+7*({n}-1) as integer)"
 cte("hol", "select unnest([" + ", ".join(
     [OB.format(m=1, d=1), NTH.format(m=1, w=1, n=3), NTH.format(m=2, w=1, n=3), "make_date(y,5,31)-cast((dayofweek(make_date(y,5,31))+6)%7 as integer)",
-     OB.format(m=7, d=4), NTH.format(m=9, w=1, n=1), NTH.format(m=10, w=1, n=2), OB.format(m=11, d=11), NTH.format(m=11, w=4, n=4), OB.format(m=12, d=25)]) + "]) as h from (select unnest(range(1990,2012)) as y)")
+     OB.format(m=7, d=4), NTH.format(m=9, w=1, n=1), NTH.format(m=10, w=1, n=2), OB.format(m=11, d=11), NTH.format(m=11, w=4, n=4), OB.format(m=12, d=25)]) + "]) as h from (select unnest(range((select year(min(date))-1 from macro)::bigint, (select year(max(date))+3 from macro)::bigint)) as y)")
 cte("bday", """select date, b, sum(b) over (order by date) as k from (select cast(r as date) as date, case when dayofweek(r) in (0,6) or cast(r as date) in (select h from hol) then 0 else 1 end as b
-  from (select unnest(generate_series(timestamp '1990-01-01', timestamp '2010-12-31', interval 1 day)) as r))""")
+  from (select unnest(generate_series((select date_trunc('year',min(date))-interval 1 year from macro)::timestamp, (select date_trunc('year',max(date))+interval 2 year-interval 1 day from macro)::timestamp, interval 1 day)) as r))""")
 cte("pubd", """select m.series, m.date as ref_date, m.value, t.date as publish_date from macro m join bday s on s.date=m.date join bday t on t.b=1 and t.k=s.k+1""")
 cte("pubm", """select m.series, m.date as ref_date, m.value, t.date as publish_date from (select series, cast(date_trunc('month',date) as date) as date, sum(value) as value from macro group by 1,2) m
   join bday s on s.date=cast(m.date+interval 1 month as date) join bday t on t.b=1 and t.k=s.k+6""")
@@ -119,13 +119,13 @@ def wk_dates(spark, d):
     return dv.bars_w(spark, d).select("date").distinct()
 
 
-def bcal(spark):
-    return asof.calendar_for(spark, 1990, 2010)
+def bcal(spark, d):
+    return asof.calendar_of(dv.macro(spark, d), "ref_date")
 
 
 @query("business_day_publication", "J12", "select series, ref_date, publish_date from pubd")
 def _(spark, d):
-    return asof.publish(dv.macro(spark, d), "ref_date", "business_days", bcal(spark), 1).select("series", "ref_date", "publish_date")
+    return asof.publish(dv.macro(spark, d), "ref_date", "business_days", bcal(spark, d), 1).select("series", "ref_date", "publish_date")
 
 
 def asof_sql(pub, on):
@@ -151,13 +151,13 @@ def _(spark, d):
 
 @query("asof_business_day_lag", "J12", asof_sql("pubd", "publish_date"))
 def _(spark, d):
-    return asof_query(spark, d, asof.publish(dv.macro(spark, d), "ref_date", "business_days", bcal(spark), 1))
+    return asof_query(spark, d, asof.publish(dv.macro(spark, d), "ref_date", "business_days", bcal(spark, d), 1))
 
 
 @query("asof_next_month_lag", "J13", asof_sql("pubm", "publish_date"))
 def _(spark, d):
     m = dv.macro(spark, d).groupBy("series", F.trunc("ref_date", "MM").alias("ref_date")).agg(F.sum("value").alias("value"))
-    return asof_query(spark, d, asof.publish(m, "ref_date", "next_month", bcal(spark), 6))
+    return asof_query(spark, d, asof.publish(m, "ref_date", "next_month", bcal(spark, d), 6))
 
 
 cte("regime_x", """select date, case when close<=(select quantile_cont(close,1/3) from vix_w) then 'low' when close<=(select quantile_cont(close,2/3) from vix_w) then 'mid' else 'high' end as regime from vix_w""")
@@ -302,7 +302,7 @@ def _(spark, d):
 select source, max(ref_date) filter (where publish_date<=date '2000-03-07') as value_date, round(arg_max(value, ref_date) filter (where publish_date<=date '2000-03-07'),2) as value,
  case when count(*) filter (where publish_date<=date '2000-03-07')>0 then 'OK' else 'NO_DATA_AVAILABLE' end as data_status, case when source like 'monthly%' then 'UNKNOWN' else 'OK' end as job_status from v group by source""")
 def _(spark, d):
-    cal = bcal(spark)
+    cal = bcal(spark, d)
     a = asof.publish(dv.macro(spark, d), "ref_date", "business_days", cal, 1).withColumnRenamed("series", "source")
     m = dv.macro(spark, d).groupBy("series", F.trunc("ref_date", "MM").alias("ref_date")).agg(F.sum("value").alias("value"))
     b = asof.publish(m, "ref_date", "next_month", cal, 6).withColumn("source", F.concat(F.lit("monthly "), "series")).drop("series")

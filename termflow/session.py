@@ -28,10 +28,12 @@ def build_session(cpus: int = 8, app: str = "termflow", **conf: str) -> SparkSes
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read: the session's spark.checkpoint.dir.
 
-    A private folder is used only where the session names none (unit tests).
+    A private folder is used only in local mode where the session names none (unit tests, benches).
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="termflow-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

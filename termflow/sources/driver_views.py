@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from termflow.functions.calendar import code_month, month_code, week_end
 
-# An order key and a price in cents packed in one long, so "first price of the day" is a plain minimum
-# in a hash aggregate. Holds order keys below 2^40 and prices below 2^24 cents; beyond that the
-# multiplication fails loudly instead of wrapping.
-PRICE_SPAN, KEY_SHIFT = 1 << 24, 1 << 39
+# An order key and a price in cents packed in one decimal, so "first price of the day" is a plain minimum in a
+# hash aggregate. Every long key fits, and prices up to 10^15 cents either way of zero; a larger one fails the cast.
+SPAN = "1000000000000000"
+FIRST = f"cast(l_orderkey as decimal(19,0)) * {SPAN}0BD + cast(px + {SPAN} as decimal(16,0))"
 
 
 # Declared layouts of the driver tables: no footer-inference job per read.
@@ -49,7 +49,7 @@ def _cells() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("n"), F.sum("px").alias("cents"),
         F.max("px").alias("hi"), F.min("px").alias("lo"),
-        F.min((F.col("l_orderkey") - KEY_SHIFT) * PRICE_SPAN + F.col("px")).alias("first_key"),
+        F.min(F.expr(FIRST)).alias("first_key"),
         F.sum("l_quantity").alias("volume"),
     ]
 
@@ -70,7 +70,7 @@ def _named(spark: SparkSession, d: str, cells: DataFrame) -> DataFrame:
 
 def _bar_cols() -> list[Column]:
     return [
-        (F.pmod(F.col("first_key"), F.lit(PRICE_SPAN)) / F.lit(100.0)).alias("open"),
+        ((F.expr(f"cast(pmod(first_key, {SPAN}0BD) as long)") - int(SPAN)) / F.lit(100.0)).alias("open"),
         (F.col("hi") / F.lit(100.0)).alias("high"), (F.col("lo") / F.lit(100.0)).alias("low"),
         (F.col("cents") / F.lit(100.0) / F.col("n")).alias("close"), F.col("volume"),
     ]

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def last_wins(parts: list[DataFrame], key: list[str]) -> DataFrame:
-    """Union where later parts win per key: one map-side max_by, nothing is ranked."""
+    """Union where later parts win per key, and within a part the row that arrived last: one map-side max_by, nothing is ranked."""
     u = None
     for i, p in enumerate(parts):
-        p = p.withColumn("__src", F.lit(i))
+        p = p.withColumn("__src", F.struct(F.lit(i).alias("part"), F.monotonically_increasing_id().alias("at")))
         u = p if u is None else u.unionByName(p, allowMissingColumns=True)
     rest = [c for c in u.columns if c not in (*key, "__src")]
     return u.groupBy(*key).agg(F.max_by(F.struct(*rest), "__src").alias("__v")).select(*key, "__v.*")

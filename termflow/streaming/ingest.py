@@ -25,8 +25,10 @@ def cycle_id(day) -> str:
     return (day - dt.timedelta(days=(day.weekday() - 4) % 7)).isoformat()
 
 
-def events(spark: SparkSession, path: str, schema: StructType, max_files: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def events(spark: SparkSession, path: str, schema: StructType, max_files: int | None = None) -> DataFrame:
+    """File stream; without max_files a trigger takes all that has landed."""
+    r = spark.readStream.schema(schema)
+    return (r.option("maxFilesPerTrigger", max_files) if max_files else r).parquet(path)
 
 
 def daily_bars(stream: DataFrame, ts: str = "ts", key: str = "event_type", px: str = "value", watermark: str = "2 hours") -> DataFrame:
@@ -74,21 +76,33 @@ class UpsertSink:
         one.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """Current rows: the last batch wins per key, then the order column inside it."""
+        """Current rows: the largest order column wins per key, then the last batch."""
         df = spark.read.parquet(self.root)
         rest = [c for c in df.columns if c not in (*self.key, "batch")]
-        return df.groupBy(*self.key).agg(F.max_by(F.struct(*rest), F.struct("batch", self.order)).alias("v")).select(*self.key, "v.*")
+        return df.groupBy(*self.key).agg(F.max_by(F.struct(*rest), F.struct(self.order, "batch")).alias("v")).select(*self.key, "v.*")
 
 
-def run_available(df: DataFrame, spark: SparkSession, sink=None, name: str = "stream", mode: str = "append") -> str:
+def run_slices(slices: list[DataFrame], make, spark: SparkSession, sink=None, name: str = "stream") -> str:
+    """Land one slice after the other and drain each before the next: a trigger takes a whole slice, however many files it has.
+
+    make(stream) builds the query; its checkpoint and output go on from slice to slice.
+    """
+    path, ck, out = (scratch_path(spark, f"{name}-{x}") for x in ("landing", "checkpoint", "out"))
+    for s in slices:
+        s.write.mode("append").parquet(path)
+        out = run_available(make(events(spark, path, s.schema)), spark, sink, name, ck=ck, out=out)
+    return out
+
+
+def run_available(df: DataFrame, spark: SparkSession, sink=None, name: str = "stream", mode: str = "append", ck: str | None = None, out: str | None = None) -> str:
     """Drain what has landed and stop; returns the output folder (parquet) or the sink's root."""
-    ck = scratch_path(spark, f"{name}-checkpoint")
+    ck = ck or scratch_path(spark, f"{name}-checkpoint")
     w = df.writeStream.option("checkpointLocation", ck).trigger(availableNow=True).outputMode(mode)
     if sink is not None:
         q: StreamingQuery = w.foreachBatch(sink).start()
         out = sink.root
     else:
-        out = scratch_path(spark, f"{name}-out")
+        out = out or scratch_path(spark, f"{name}-out")
         q = w.format("parquet").option("path", out).start()
     q.awaitTermination()
     return out

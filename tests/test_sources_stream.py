@@ -43,7 +43,7 @@ def test_replayed_batch_changes_nothing(spark):
     a = spark.createDataFrame([("x", 1, 1.0), ("x", 2, 5.0)], "k string, o int, v double")
     b = spark.createDataFrame([("x", 1, 7.0), ("y", 1, 2.0)], "k string, o int, v double")
     s(a, 0), s(b, 1), s(b, 1)
-    assert {r.k: r.v for r in s.table(spark).collect()} == {"x": 7.0, "y": 2.0}
+    assert {r.k: r.v for r in s.table(spark).collect()} == {"x": 5.0, "y": 2.0}  # the later order, though an earlier batch
 
 
 def test_late_rows_are_dropped_past_the_watermark(spark):
@@ -53,7 +53,7 @@ def test_late_rows_are_dropped_past_the_watermark(spark):
     t = dt.datetime
     for rows in ([(1, t(2024, 1, 1, 10), "a", 1.0)], [(2, t(2024, 1, 4, 10), "a", 2.0)], [(5, t(2024, 1, 5), "a", 4.0)], [(3, t(2024, 1, 1, 11), "a", 99.0), (4, t(2024, 1, 9), "a", 0.0)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(p)
-    s = st.events(spark, p, spark.createDataFrame([], schema).schema)
+    s = st.events(spark, p, spark.createDataFrame([], schema).schema, max_files=1)
     out = spark.read.parquet(st.run_available(st.daily_bars(s), spark)).orderBy("date").collect()
     assert [(r.date.day, r.high, r.n) for r in out][:2] == [(1, 1.0, 1), (4, 2.0, 1)]
 
