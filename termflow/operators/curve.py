@@ -105,8 +105,13 @@ def back_adjust(raw: DataFrame, contracts: DataFrame) -> DataFrame:
         "volume", "is_roll_date", *[(F.col(c) * F.col("__f")).alias(f"adj_{c}") for c in ("open", "high", "low", "close")])
 
 
+def curve_status(front: DataFrame) -> DataFrame:
+    """(asset, status, days) of assign_front's rows: what failed, beside the curve that leaves it out."""
+    return front.groupBy("asset", "status").agg(F.count_distinct("date").alias("days"))
+
+
 def continuous_curve(contracts: DataFrame, **kw) -> DataFrame:
-    """All assets in one plan; assets whose roll fold failed carry no rows."""
+    """All assets in one plan; assets whose roll fold failed carry no rows and are listed by curve_status."""
     front = assign_front(contracts, **kw).where("status = 'OK'").drop("status")
     return back_adjust(front_bars(front, contracts), contracts)
 

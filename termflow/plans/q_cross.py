@@ -14,9 +14,10 @@ cte("lag_w", """select asset, sector, date, l, (close/lag(close, l) over (partit
   (close/lag(close, l) over (partition by asset, l order by date)-1)/nullif(vol,0) as z from vol_w cross join (values (1),(2),(3)) t(l)""")
 
 
-@query("lag_returns_standardized", "G11", "select asset, date, round(r,6) as r, round(z,6) as z from lag_w where l=2")
+@query("lag_returns_standardized", "G11", "select asset, date, l, round(r,6) as r, round(z,6) as z from lag_w")
 def _(spark, d):
-    return rounded(mk.vol_w(spark, d).select("asset", "date", op.lag_return("close", 2).alias("r"), op.standardized_return("close", "vol", 2).alias("z")))
+    lags = [F.struct(F.lit(n).alias("l"), op.lag_return("close", n).alias("r"), op.standardized_return("close", "vol", n).alias("z")) for n in (1, 2, 3)]
+    return rounded(mk.vol_w(spark, d).select("asset", "date", F.array(*lags).alias("x")).select("asset", "date", F.inline("x")))
 
 
 @query("individual_reversal", "G12", """select asset, date, case when count(z) over s>=2 then round(-(z-avg(z) over s),6) end as signal from lag_w where l=1 window s as (partition by date, sector)""")

@@ -81,6 +81,16 @@ def _(spark, d):
     return op.front_bars(op.assign_front(c).drop("status"), c)
 
 
+@query("curve_build_status", "C4", "select asset, 'OK' as status, count(distinct date) as days from bars_d group by asset")
+def _(spark, d):
+    return op.curve_status(op.assign_front(dv.contracts(spark, d)))
+
+
+@query("outrights_by_volume", "C10", """select contract_symbol, asset, sum(volume) as volume from contracts group by 1, 2""")
+def _(spark, d):
+    return dv.contracts(spark, d).groupBy("contract_symbol", "asset").agg(F.sum("volume").alias("volume"))
+
+
 @query("continuous_back_adjusted", "C3 C4 S4 S5", """select asset, date, front_contract_symbol, is_roll_date, round(close,4) as raw_close, volume,
   round(ln(close) + coalesce(sum(ln(ratio)) over (partition by asset order by date rows between 1 following and unbounded following),0),6) as log_adj_close,
   round(ln(high) + coalesce(sum(ln(ratio)) over (partition by asset order by date rows between 1 following and unbounded following),0),6) as log_adj_high from curve_x""")

@@ -22,11 +22,12 @@ def _(spark, d):
     return mk.panel_d(spark, d)
 
 
-@query("panel_pivot_close", "S6", """
-select date, max(close) filter (where asset='NATION_0') as "NATION_0", max(close) filter (where asset='NATION_7') as "NATION_7",
-  max(close) filter (where asset='NATION_18') as "NATION_18" from panel_d group by date""")
+ASSETS = [f"NATION_{i}" for i in range(25)]
+
+
+@query("panel_pivot_close", "S6", "select date, " + ", ".join(f"""max(close) filter (where asset='{a}') as "{a}" """ for a in ASSETS) + " from panel_d group by date")
 def _(spark, d):
-    return op.pivot_field(mk.panel_d(spark, d), "close", ["NATION_0", "NATION_7", "NATION_18"])
+    return op.pivot_field(mk.panel_d(spark, d), "close", ASSETS)
 
 
 @query("gap_safe_return_daily", "V1", """

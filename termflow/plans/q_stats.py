@@ -29,11 +29,11 @@ def _(spark, d):
     return op.date_blocks(configs(spark, d).select("date").distinct(), 6)
 
 
-@query("block_combinations", "T2", "select g as block, count(*) as in_train from blk join sides using (date) where side='train' and h=10 group by g")
+@query("block_combinations", "T2", "select g as block, count(distinct combo) as in_train from blk join sides using (date) where side='train' group by g")
 def _(spark, d):
     dates = configs(spark, d).select("date").distinct()
-    b = op.with_combos(op.date_blocks(dates, 6), 6, 3).where("h = 10")
-    return b.where("(shiftright(combo, g) & 1) = 1").groupBy(F.col("g").alias("block")).agg(F.count(F.lit(1)).alias("in_train"))
+    b = op.with_combos(op.date_blocks(dates, 6), 6, 3)
+    return b.where("(shiftright(combo, g) & 1) = 1").groupBy(F.col("g").alias("block")).agg(F.count_distinct("combo").alias("in_train"))
 
 
 @query("purge_and_embargo", "T3", "select combo, side, count(*) as n, min(date) as first, max(date) as last from sides group by combo, side")

@@ -161,7 +161,7 @@ def _(spark, d):
 
 
 cte("regime_x", """select date, case when close<=(select quantile_cont(close,1/3) from vix_w) then 'low' when close<=(select quantile_cont(close,2/3) from vix_w) then 'mid' else 'high' end as regime from vix_w""")
-cte("act_x", """select d.date, b.book, r.regime, coalesce(a.active, true) as active, coalesce(a.m, 1.0)::double as alpha_multiplier from (select distinct date+1 as date from bars_w) d cross join (values ('AFRICA'),('ASIA')) b(book)
+cte("act_x", """select d.date, b.book, r.regime, coalesce(a.active, true) as active, coalesce(a.m, 1.0)::double as alpha_multiplier from (select distinct date+1 as date from bars_w) d cross join (select r_name as book from region) b
  asof left join regime_x r on r.date<=d.date left join (values ('AFRICA','high',false,0.0),('AFRICA','mid',true,0.5),('ASIA','low',true,2.0)) a(book, regime, active, m) on a.book=b.book and a.regime=r.regime""")
 
 
@@ -177,7 +177,7 @@ def actions(spark, d):
 
 
 def regime_acts(spark, d):
-    books = dv.table(spark, d, "region").select(F.col("r_name").alias("book")).where("book in ('AFRICA', 'ASIA')")
+    books = dv.table(spark, d, "region").select(F.col("r_name").alias("book"))
     dates = wk_dates(spark, d).select(F.date_add("date", 1).alias("date"))
     reg = dv.regime(spark, d).withColumnRenamed("date", "date_r")
     return asof.regime_actions(dates, reg, actions(spark, d), books)
@@ -235,9 +235,9 @@ def _(spark, d):
     return rounded(readers.pivot_last(r, "date", "o_orderpriority", SER, "o_totalprice", "o_orderkey"), 2)
 
 
-@query("date_from_parts", "S11", "select date, series, round(value,2) as value from macro where series='5-LOW'")
+@query("date_from_parts", "S11", "select date, series, round(value,2) as value from macro")
 def _(spark, d):
-    m = dv.macro(spark, d).where("series = '5-LOW'").select("series", "value", F.year("ref_date").alias("year"), F.month("ref_date").alias("month"), F.dayofmonth("ref_date").alias("day"))
+    m = dv.macro(spark, d).select("series", "value", F.year("ref_date").alias("year"), F.month("ref_date").alias("month"), F.dayofmonth("ref_date").alias("day"))
     return rounded(readers.dated_parts(m), 2)
 
 
@@ -254,9 +254,9 @@ def _(spark, d):
     return rounded(readers.monthly_mean(w, SER))
 
 
-@query("outer_joined_series", "S14", "select date, " + ", ".join(f"""round(max(value) filter (where series='{s}'),6) as "{s}" """ for s in SER[:3]) + f" from macro where series in ('{SER[0]}','{SER[1]}','{SER[2]}') group by date")
+@query("outer_joined_series", "S14", "select date, " + ", ".join(f"""round(max(value) filter (where series='{s}'),6) as "{s}" """ for s in SER) + " from macro group by date")
 def _(spark, d):
-    return rounded(readers.outer_series(dv.macro(spark, d).withColumnRenamed("ref_date", "date"), SER[:3]), 2)
+    return rounded(readers.outer_series(dv.macro(spark, d).withColumnRenamed("ref_date", "date"), SER), 2)
 
 
 @query("upsert_last_wins", "S15 S16", """select asset, date, case when date>=date '2000-01-07' then close+1 else close end as close from bars_w""")
