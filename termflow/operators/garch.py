@@ -20,20 +20,43 @@ def variance_path(r: np.ndarray, a, g, b, long_run: float) -> np.ndarray:
     return s2
 
 
-def fit(r: np.ndarray) -> tuple[float, float, float, float]:
-    """(a, g, b, long-run variance) by coarse-to-fine likelihood search, all candidates in one pass."""
+def pattern_search(loss, start, step, inside, least: float = 5e-4, rounds: int = 80) -> tuple[np.ndarray, bool]:
+    """Least loss over the points that `inside` allows, and whether the search closed in on it.
+
+    Each round tries a grid of five points an axis around the best point, all candidates at once; the grid moves on while
+    its edge is best and shrinks otherwise, so no box bounds the result.
+    """
+    best, step = np.asarray(start, float), np.asarray(step, float)
+    for _ in range(rounds):
+        grid = np.stack(np.meshgrid(*[m + h * np.array([0.0, -0.5, 0.5, -1.0, 1.0]) for m, h in zip(best, step)], indexing="ij")).reshape(len(best), -1)
+        grid = grid[:, inside(grid)]
+        new = grid[:, int(np.argmin(loss(grid)))]
+        edge = (np.abs(new - best) > 0.75 * step).any()
+        best = new
+        if not edge:
+            step = step * 0.4
+            if step.max() < least:
+                return best, True
+    return best, False
+
+
+def fit_checked(r: np.ndarray) -> tuple[tuple[float, float, float, float], bool]:
+    """(a, g, b, long-run variance) of the largest likelihood, and whether the search converged; several starts."""
     lr = float(np.mean(r * r))
-    mid, half = np.array([0.10, 0.10, 0.80]), np.array([0.10, 0.10, 0.18])
-    for _ in range(5):
-        axes = [np.linspace(max(0.0, m - h), m + h, 5) for m, h in zip(mid, half)]
-        a, g, b = (x.ravel() for x in np.meshgrid(*axes, indexing="ij"))
-        keep = a + b + g / 2 < 0.999
-        a, g, b = a[keep], g[keep], b[keep]
-        s2 = variance_path(r, a, g, b, lr)
-        nll = np.sum(np.log(s2) + (r * r)[:, None] / s2, axis=0)
-        k = int(np.argmin(nll))
-        mid, half = np.array([a[k], g[k], b[k]]), half * 0.5
-    return float(mid[0]), float(mid[1]), float(mid[2]), lr
+    ok = lambda p: (p[0] >= 0) & (p[2] >= 0) & (p[0] + p[1] >= 0) & (p[0] + p[2] + p[1] / 2 < 0.9995)
+
+    def nll(p):
+        s2 = variance_path(r, *p, lr)
+        return np.sum(np.log(s2) + (r * r)[:, None] / s2, axis=0)
+
+    first = np.stack(np.meshgrid([0.02, 0.1, 0.3, 0.5], [0.0, 0.1], [0.05, 0.3, 0.6, 0.85], indexing="ij")).reshape(3, -1)
+    first = first[:, ok(first)]
+    p, done = pattern_search(nll, first[:, int(np.argmin(nll(first)))], (0.05, 0.05, 0.08), ok)
+    return (float(p[0]), float(p[1]), float(p[2]), lr), done
+
+
+def fit(r: np.ndarray) -> tuple[float, float, float, float]:
+    return fit_checked(r)[0]
 
 
 def sigmas(r: np.ndarray, params: tuple[float, float, float, float]) -> np.ndarray:
@@ -55,51 +78,60 @@ def walk_forward_vol(panel: DataFrame, ret: str, warmup: int = 500, refit: int =
 
     def run(batches):
         for pdf in batches:
-            out = []
+            out, done = [], []
             for r, n in zip(pdf["r"], pdf["start"]):
                 try:
-                    out.append(sigmas(np.asarray(r), fit(np.asarray(r[:n])))[n:].tolist())
-                except Exception:  # a failed refit leaves its block empty
+                    p, ok = fit_checked(np.asarray(r[:n]))
+                    out.append(sigmas(np.asarray(r), p)[n:].tolist())
+                    done.append("converged" if ok else "not converged")
+                except (ValueError, FloatingPointError) as e:  # the block stays empty and says why
                     out.append([None] * (len(r) - n))
-            yield pd.DataFrame({key: pdf[key], "dates": pdf["dates"], "sig": out})
+                    done.append(f"failed: {e}")
+            yield pd.DataFrame({key: pdf[key], "dates": pdf["dates"], "sig": out, "fit_status": done})
 
-    f = jobs.repartition(key, "start").mapInPandas(run, f"{key} string, dates array<date>, sig array<double>")
-    z = f.select(key, F.explode(F.arrays_zip("dates", "sig")).alias("z"))
-    return z.select(key, F.col("z.dates").alias("date"), (F.col("z.sig") * math.sqrt(ppy)).alias("garch_vol"))
+    f = jobs.repartition(key, "start").mapInPandas(run, f"{key} string, dates array<date>, sig array<double>, fit_status string")
+    z = f.select(key, "fit_status", F.explode(F.arrays_zip("dates", "sig")).alias("z"))
+    return z.select(key, F.col("z.dates").alias("date"), (F.col("z.sig") * math.sqrt(ppy)).alias("garch_vol"), "fit_status")
 
 
 def dcc_path(streams: DataFrame, x: str = "pnl", key: str = "set_id") -> DataFrame:
     """(set, date, i, j, corr, cov): dynamic conditional correlation of each stream set.
 
     One fold per set over complete rows: GJR variances per stream, then the two-parameter recursion
-    around the unconditional correlation, its parameters picked by likelihood on a grid.
+    around the unconditional correlation, its parameters picked by likelihood; `converged` tells whether that search closed in.
     """
+    def correlations(z, qbar, a, b):
+        path, q = np.empty((len(z), *qbar.shape)), qbar
+        for t in range(len(z)):
+            if t:
+                q = (1 - a - b) * qbar + a * np.outer(z[t - 1], z[t - 1]) + b * q
+            d = np.sqrt(np.diag(q))
+            path[t] = q / np.outer(d, d)
+        return path
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         m = pdf.pivot(index="date", columns="stream", values=x).sort_index().dropna()
         r = m.to_numpy()
         sg = np.column_stack([sigmas(c, fit(c)) for c in r.T])
         z = r / sg
         qbar = np.corrcoef(z.T)
-        best = None
-        for a in (0.01, 0.02, 0.04, 0.06, 0.08, 0.12):
-            for b in (0.80, 0.86, 0.90, 0.93, 0.95, 0.97):
-                if a + b >= 0.999:
-                    continue
-                q, nll, path = qbar.copy(), 0.0, []
-                for t in range(len(z)):
-                    if t:
-                        q = (1 - a - b) * qbar + a * np.outer(z[t - 1], z[t - 1]) + b * q
-                    d = np.sqrt(np.diag(q))
-                    c = q / np.outer(d, d)
-                    path.append(c)
-                    nll += np.linalg.slogdet(c)[1] + z[t] @ np.linalg.solve(c, z[t])
-                if best is None or nll < best[0]:
-                    best = (nll, np.array(path))
+
+        def nll(grid):
+            out = []
+            for a, b in grid.T:
+                c = correlations(z, qbar, a, b)
+                out.append(np.linalg.slogdet(c)[1].sum() + (z[:, None, :] @ np.linalg.solve(c, z[:, :, None])).sum())
+            return np.array(out)
+
+        ok = lambda p: (p[0] >= 0) & (p[1] >= 0) & (p[0] + p[1] < 0.9995)
+        first = np.array([(a, b) for a in (0.01, 0.04, 0.1) for b in (0.3, 0.7, 0.88)]).T
+        p, converged = pattern_search(nll, first[:, int(np.argmin(nll(first)))], (0.02, 0.06), ok, 2e-3)
+        best = (None, correlations(z, qbar, *p))
         rows, names = [], list(m.columns)
         for i, ni in enumerate(names):
             for j, nj in enumerate(names):
                 c = best[1][:, i, j]
-                rows.append(pd.DataFrame({key: pdf[key].iloc[0], "date": m.index, "i": ni, "j": nj, "corr": c, "cov": c * sg[:, i] * sg[:, j]}))
+                rows.append(pd.DataFrame({key: pdf[key].iloc[0], "date": m.index, "i": ni, "j": nj, "corr": c, "cov": c * sg[:, i] * sg[:, j], "converged": converged}))
         return pd.concat(rows)
 
-    return streams.select(key, "stream", "date", x).groupBy(key).applyInPandas(fold, f"{key} string, date date, i string, j string, corr double, cov double")
+    return streams.select(key, "stream", "date", x).groupBy(key).applyInPandas(fold, f"{key} string, date date, i string, j string, corr double, cov double, converged boolean")

@@ -1,7 +1,7 @@
 """Universe, sector and coverage operators: aggregates, semi and anti joins."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from termflow.functions.cols import div
 
@@ -100,12 +100,16 @@ def session_gaps(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     sessions(calendar, date) is a calendar dimension; bars carry their calendar name.
     """
     span = bars.groupBy("asset", "calendar").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count(F.lit(1)).alias("rows"))
-    want = span.join(sessions, "calendar").where(F.col("date").between(F.col("start"), F.col("end"))).select("asset", "date")
-    miss = want.join(bars.select("asset", "date"), ["asset", "date"], "left_anti").groupBy("asset").agg(F.count(F.lit(1)).alias("missing"))
-    exp = want.groupBy("asset").agg(F.count(F.lit(1)).alias("expected"))
-    return span.join(exp, "asset", "left").join(miss, "asset", "left").select(
-        "asset", "start", "end", "rows", F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("missing", F.lit(0)).alias("missing"),
-        div(F.coalesce("missing", F.lit(0)), "expected").alias("missing_pct"))
+    # Both ends of each span take their place among the calendar's sessions; no asset meets every session.
+    own = sessions.select("calendar", "date").distinct()
+    ends = span.select("asset", "calendar", F.explode(F.array(F.struct(F.col("start").alias("date"), F.lit(0).alias("o")), F.struct(F.col("end").alias("date"), F.lit(2).alias("o")))).alias("p"))
+    points = ends.select("asset", "calendar", "p.*").unionByName(own.withColumn("o", F.lit(1)).withColumn("asset", F.lit(None).cast("string")))
+    w = W.partitionBy("calendar").orderBy("date", "o").rowsBetween(W.unboundedPreceding, W.currentRow)
+    at = points.withColumn("n", F.sum((F.col("o") == 1).cast("long")).over(w)).where("o <> 1")
+    exp = at.groupBy("asset").agg(F.sum(F.when(F.col("o") == 2, F.col("n")).otherwise(-F.col("n"))).alias("expected"))
+    seen = bars.select("asset", "calendar", "date").distinct().join(own, ["calendar", "date"], "left_semi").groupBy("asset").agg(F.count(F.lit(1)).alias("seen"))
+    j = span.join(exp, "asset", "left").join(seen, "asset", "left").withColumn("missing", F.col("expected") - F.coalesce("seen", F.lit(0)))
+    return j.select("asset", "start", "end", "rows", "expected", "missing", div("missing", "expected").alias("missing_pct"))
 
 
 def date_range_preset(df: DataFrame, preset: str, start: str | None = None, end: str | None = None) -> DataFrame:

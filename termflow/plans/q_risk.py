@@ -162,7 +162,11 @@ def _(spark, d):
 
 @query("dynamic_conditional_correlation", "P8")
 def _(spark, d):
-    return garch.dcc_path(streams(spark, d).withColumn("set_id", F.lit("sectors")))
+    s = streams(spark, d)
+    other = s.select(F.col("stream").alias("other"), "date", F.col("pnl").alias("pnl2"))
+    pairs = s.join(other, "date").where("stream < other").withColumn("set_id", F.concat_ws("+", "stream", "other"))
+    legs = F.array(F.struct("stream", "pnl"), F.struct(F.col("other").alias("stream"), F.col("pnl2").alias("pnl")))
+    return garch.dcc_path(pairs.select("set_id", "date", F.inline(legs)))
 
 
 @query("historical_tail_risk", "P17", """select s.stream, round(v,6) as "var", round(avg(pnl) filter (where pnl<=v),6) as es from st s join (select stream, quantile_cont(pnl,0.05) as v from st group by stream) q on s.stream=q.stream group by s.stream, v""")
