@@ -5,13 +5,13 @@ from termflow.functions.calendar import week_end
 from termflow.functions.cols import rounded
 from termflow.operators import curve as op
 from termflow.plans.registry import cte, query
-from termflow.session import materialize
-from termflow.sources import driver_views as dv, market as mk
+from termflow.session import materialize, scratch_path
+from termflow.sources import driver_views as dv, market as mk, readers
 
 cte("contracts", """select asset, sector, date, root || code || lpad(cast(ey%100 as varchar),2,'0') as contract_symbol, root, ey as expiry_year, code as expiry_code,
   ey*12+em as m, open, high, low, close, volume from (
  select asset, sector, date, 'N' || split_part(asset,'_',2) as root, cast(year(exp) as integer) as ey, month(exp) as em, substr('FGHJKMNQUVXZ', cast(month(exp) as integer), 1) as code,
-  cast(min(cast(l_orderkey as hugeint)*100000000+px) % 100000000 as double)/100 as open, max(px)/100.0::double as high, min(px)/100.0::double as low,
+  cast(arg_min(px, cast(l_orderkey as hugeint)*10000000000000000::hugeint+px) as double)/100 as open, max(px)/100.0::double as high, min(px)/100.0::double as low,
   cast(sum(px) as double)/100.0::double/count(*) as close, sum(l_quantity) as volume
  from (select *, cast(date_trunc('month', date) + to_months(l_linenumber) as date) as exp from li) group by asset, sector, date, exp)""")
 cte("quotes", """select * from (select asset, date, contract_symbol || '-' || f.contract_symbol as spread_symbol, root as near_root, contract_symbol as near_contract_symbol,
@@ -70,6 +70,35 @@ cte("curve_x", """select r.asset, r.date, r.front_contract_symbol, n.open, n.hig
   left join contracts o on o.asset=r.asset and o.date=r.date and o.contract_symbol=r.old""")
 
 
+def landed(df, schema, name):
+    """Write the columns of a declared layout as a landing job does; returns the folder."""
+    path = scratch_path(df.sparkSession, name)
+    cols = [c.strip().split(" ") for c in schema.split(",")]
+    df.select(*[F.col(c).cast(t).alias(c) for c, t in cols]).write.parquet(path)
+    return path
+
+
+@query("outrights_load", "S7", "select asset, date, contract_symbol, root, 'XDRV' as exchange, expiry_year, expiry_code, open, high, low, close, volume::bigint as volume from contracts")
+def _(spark, d):
+    path = landed(dv.contracts(spark, d).withColumn("exchange", F.lit("XDRV")), readers.TERM_STRUCTURE, "outrights")
+    return readers.outrights(spark, path)
+
+
+def landed_curve(spark, d):
+    return landed(op.continuous_curve(curve_inputs(spark, d)[0]), readers.CONTINUOUS, "continuous")
+
+
+@query("continuous_load_raw", "S4", """select asset, date, round(open,4) as open, round(high,4) as high, round(low,4) as low, round(close,4) as close, volume::bigint as volume, is_roll_date from curve_x""")
+def _(spark, d):
+    return rounded(readers.continuous(spark, landed_curve(spark, d)), 4)
+
+
+@query("continuous_load_adjusted", "S5", """select asset, date, volume::bigint as volume, """ + ", ".join(f"round(ln({c}) + coalesce(sum(ln(ratio)) over (partition by asset order by date rows between 1 following and unbounded following),0),6) as log_{c}" for c in ("open", "high", "low", "close")) + " from curve_x")
+def _(spark, d):
+    a = readers.continuous(spark, landed_curve(spark, d), adjusted=True)
+    return rounded(a.select("asset", "date", "volume", *[F.ln(c).alias(f"log_{c}") for c in ("open", "high", "low", "close")]))
+
+
 @query("front_contract_assignment", "C2", "select asset, date, front_contract_symbol from front_x")
 def _(spark, d):
     return op.assign_front(curve_inputs(spark, d)[0]).select("asset", "date", "front_contract_symbol")

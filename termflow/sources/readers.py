@@ -39,6 +39,12 @@ def continuous(spark: SparkSession, path: str, adjusted: bool = False) -> DataFr
     return df.select("asset", "date", *cols, "volume", *flag)
 
 
+def outrights(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Outright contract bars in their declared layout; only the asked-for columns are read."""
+    df = spark.read.schema(TERM_STRUCTURE).parquet(path)
+    return df.select(*columns) if columns else df
+
+
 def wide_series_csv(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
     """Date plus one column per series, read wide and returned long."""
     schema = "Date date, " + ", ".join(f"`{c}` double" for c in columns)
