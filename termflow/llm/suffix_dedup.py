@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termflow.llm.textarr import blocks, mix, powers
+from termflow.llm.textarr import BLOCK_BYTES, blocks, mix, powers
 from termflow.session import materialize
 
 LENGTH, GRAM = 50, 20
@@ -242,12 +242,13 @@ def _by_value(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 ITEM = (np.uint64, np.int64)
+TEXTS = (np.int64, np.int64)
 META = (np.uint64, np.int64, np.int64, np.int16, np.int16)
-FOUND = (np.uint64, np.uint64, np.int16, np.int16, np.int64, np.int64)
+FOUND = (np.uint64, np.int16, np.int16, np.int64, np.int64)
 
 
-def _plan(docs: DataFrame, id_col: str, text: str, length: int) -> tuple[DataFrame, DataFrame, int]:
-    """The texts by shard, and what is known of each shard's passages: repeated anchors and the groups their contexts are in."""
+def _plan(docs: DataFrame, id_col: str, text: str, length: int, named: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """The texts by shard, and what is known of each shard's passages: repeated anchors and the groups (by name, if asked) their contexts are in."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n_docs, n_bytes = base.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     shards = _prime(max(3, n_bytes // SHARD_BYTES))
@@ -320,12 +321,22 @@ def _plan(docs: DataFrame, id_col: str, text: str, length: int) -> tuple[DataFra
     known = base.where("id is not null")
     packed = known.mapInArrow(anchors, "kind int, dest long, blob binary")
     flags = materialize(packed.groupBy("dest").applyInPandas(repeated, "kind int, shard long, blob binary"), "suffix-anchors")
-    texts = known.withColumn("shard", F.pmod("id", F.lit(shards))).select("shard", "id", "text")
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts of a batch by shard, compressed together."""
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            raw = [t.encode() for t in batch.column(1).to_pylist()]
+            size = np.array([len(t) for t in raw], np.int64)
+            rows = [(s, pack(ids[i], size[i]), zstandard.ZstdCompressor(level=3).compress(b"".join([raw[j] for j in i]))) for s, i in _by_value(ids % shards)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "meta", "body"])
+
+    texts = known.mapInArrow(bundle, "shard long, meta binary, body binary")
 
     def contexts(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """The shard's different contexts, each with the least and the largest id of the documents that have it, packed by part."""
         parts, texts_, at = [], [], 0
-        for _, ids, data, c in _windows(left, right, length):
+        for ids, _, data, c in _windows(left, right, length):
             d = ids[c.row]
             first, lo, hi = _different(c.key, c.hash, d, d)
             size = c.size[first]
@@ -381,45 +392,51 @@ def _plan(docs: DataFrame, id_col: str, text: str, length: int) -> tuple[DataFra
             keep = doc[take] <= hi[line]
             take, line = take[keep], line[keep]
             for s, i in _by_value(shard[line]):
-                out.setdefault(s, []).append((key[line[i]], hash_[line[i]], off[take[i]].astype(np.int16), m[take[i]].astype(np.int16), doc[take[i]], g[take[i]]))
+                out.setdefault(s, []).append((hash_[line[i]], off[take[i]].astype(np.int16), m[take[i]].astype(np.int16), doc[take[i]], g[take[i]] if named else np.zeros(len(i), np.int64)))
         return pd.DataFrame([(3, s, pack(*(np.concatenate(x) for x in zip(*v, strict=True)))) for s, v in out.items()], columns=["kind", "shard", "blob"])
 
     found = materialize(own.groupBy("dest").applyInPandas(groups, "kind int, shard long, blob binary"), "suffix-groups")
     return texts, flags.unionByName(found), shards
 
 
-def _windows(left: pd.DataFrame, right: pd.DataFrame, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, Contexts]]:
-    """(first text, ids, bytes, contexts) of each block of a shard's texts; contexts at repeated anchors only."""
+def _windows(left: pd.DataFrame, right: pd.DataFrame, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Contexts]]:
+    """(ids, sizes, bytes, contexts) of blocks of a shard's texts; contexts at repeated anchors only."""
     kind = right["kind"].to_numpy() if len(right) else np.zeros(0)
     flag = [unpack(b, *ITEM) for b in right["blob"][kind == 1]] if len(right) else []
     hot = [unpack(b, *ITEM)[0] for b in right["blob"][kind == 2]] if len(right) else []
     hot_h = np.unique(np.concatenate(hot)) if hot else np.zeros(0, np.uint64)
     fh, fd = (np.concatenate(x) for x in zip(*flag, strict=True)) if flag else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     pair = np.unique(mix(fh + mix(fd.view(np.uint64))))
-    ids = left["id"].to_numpy().astype(np.int64)
-    for first, end, data, off in blocks(pa.array(left["text"], pa.large_string()), lower=False, tail=""):
-        row, start, size, h = anchored(data, off, length)
-        own = mix(h + mix(ids[first + row].view(np.uint64)))
-        at = np.searchsorted(pair, own)
-        at[at == len(pair)] = 0
-        keep = (pair[at] == own) if len(pair) else np.zeros(len(own), bool)
-        yield first, ids[first:end], data, Contexts(data, row[keep], start[keep], size[keep], h[keep], off, hot_h, length)
-
-
-def _occurrences(left: pd.DataFrame, right: pd.DataFrame, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per block: (first text, ids, bytes, row, start, size, first document, group) of every occurrence of a group."""
+    for meta, body in zip(left["meta"], left["body"], strict=True):
+        all_ids, all_sizes = unpack(meta, *TEXTS)
+        whole = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
+        ends, at = np.cumsum(all_sizes), 0
+        while at < len(all_ids):
+            done = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, done + BLOCK_BYTES, "right")))
+            ids, sizes, data = all_ids[at:end], all_sizes[at:end], whole[done:ends[end - 1]]
+            off = np.concatenate([[0], np.cumsum(sizes)])
+            row, start, size, h = anchored(data, off, length)
+            own = mix(h + mix(ids[row].view(np.uint64)))
+            hit = np.searchsorted(pair, own)
+            hit[hit == len(pair)] = 0
+            keep = (pair[hit] == own) if len(pair) else np.zeros(len(own), bool)
+            yield ids, sizes, data, Contexts(data, row[keep], start[keep], size[keep], h[keep], off, hot_h, length)
+            at = end
+
+
+def _occurrences(left: pd.DataFrame, right: pd.DataFrame, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per block: ids, sizes, bytes; row, start, size, first document and name of every occurrence of a group."""
     blobs = [unpack(b, *FOUND) for b in right["blob"][right["kind"] == 3]] if len(right) else []
-    key, hash_, off, n, doc, g = (np.concatenate(x) for x in zip(*blobs, strict=True)) if blobs else (np.zeros(0, k) for k in FOUND)
-    tag = mix(key + mix(hash_))
+    tag, off, n, doc, g = (np.concatenate(x) for x in zip(*blobs, strict=True)) if blobs else (np.zeros(0, k) for k in FOUND)
     order = np.argsort(tag, kind="stable")
     tag, off, n, doc, g = tag[order], off[order].astype(np.int64), n[order].astype(np.int64), doc[order], g[order]
-    for first, ids, data, c in _windows(left, right, length):
-        own = mix(c.key + mix(c.hash))
-        a, b = np.searchsorted(tag, own), np.searchsorted(tag, own, "right")
+    for ids, sizes, data, c in _windows(left, right, length):
+        a, b = np.searchsorted(tag, c.hash), np.searchsorted(tag, c.hash, "right")
         count = b - a
-        take = np.repeat(a, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        which = np.repeat(np.arange(len(own)), count)
-        yield first, ids, data, c.row[which], c.start[which] + off[take], n[take], doc[take], g[take]
+        take = np.repeat(a - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        which = np.repeat(np.arange(len(c.hash)), count)
+        yield ids, sizes, data, c.row[which], c.start[which] + off[take], n[take], doc[take], g[take]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -429,16 +446,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def job(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        lengths = None
-        for first, ids, data, row, start, size, doc, _ in _occurrences(left, right, length):
+        for ids, sizes, data, row, start, size, doc, _ in _occurrences(left, right, length):
             later = doc < ids[row]
             mark = np.zeros(len(data) + 1, np.int32)
             np.add.at(mark, start[later], 1)
             np.add.at(mark, (start + size)[later], -1)
             gone = np.cumsum(mark[:-1]) > 0
-            lengths = np.array([len(t.encode()) for t in left["text"].iloc[first:first + len(ids)]], np.int64)
             at = 0
-            for i, n in zip(ids.tolist(), lengths.tolist(), strict=True):
+            for i, n in zip(ids.tolist(), sizes.tolist(), strict=True):
                 g = gone[at:at + n]
                 edge = np.flatnonzero(np.diff(g.astype(np.int8), prepend=0, append=0))
                 kept = data[at:at + n][~g]
@@ -454,12 +469,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(group_id, id, start, n_bytes, first_id): every occurrence of every maximal repeat group, within the contexts of its anchors."""
-    texts, known, _ = _plan(docs, id_col, text, length)
+    texts, known, _ = _plan(docs, id_col, text, length, named=True)
 
     def job(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for first, ids, data, row, start, size, doc, g in _occurrences(left, right, length):
-            begin = np.cumsum([0] + [len(t.encode()) for t in left["text"].iloc[first:first + len(ids)]])
+        for ids, sizes, _, row, start, size, doc, g in _occurrences(left, right, length):
+            begin = np.concatenate([[0], np.cumsum(sizes)])
             out.append(pd.DataFrame({"group_id": g, "id": ids[row], "start": start - begin[row], "n_bytes": size, "first_id": doc}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("group_id", "id", "start", "n_bytes", "first_id")})
 
