@@ -95,13 +95,17 @@ class Matcher:
         if self.empty or not text:
             return []
         norm = normalise(text)
-        windows: dict[int, list[list[int]]] = {}
+        found: dict[int, list[tuple[int, int]]] = {}
         for last, (size, at) in self.search.iter(norm):
             for k, off in at:
                 item, budget = self.items[k][:2]
                 start = last - size + 1 - off
-                lo, hi = max(0, start - budget), min(len(norm), start + len(item) + budget)
-                own = windows.setdefault(k, [])
+                found.setdefault(k, []).append((max(0, start - budget), min(len(norm), start + len(item) + budget)))
+        windows: dict[int, list[list[int]]] = {}
+        for k, places in found.items():  # pieces that occur again give starts out of order, so windows are merged when all are known
+            item, budget = self.items[k][:2]
+            own = windows.setdefault(k, [])
+            for lo, hi in sorted(set(places)):
                 if own and lo <= own[-1][1] - len(item) + budget:
                     own[-1][1] = max(own[-1][1], hi)
                 else:

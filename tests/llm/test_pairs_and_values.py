@@ -62,6 +62,24 @@ def test_decontamination_matches_brute_force(spark):
     assert decontam.flag(docs.where("1 = 0"), bench).count() == 0
 
 
+def test_items_that_repeat_a_phrase_match_brute_force():
+    a, b, c, d = "lorem ipsum xy", " dolor sitting", " amet consect ", " adipiscing el"
+    item = a + b + c + a + d
+    text = "start " + a.replace("p", "q") + b.replace("r", "k") + c.replace("m", "w") + a + d + " end"
+    m = decontam.Matcher([(7, item)])
+    assert distance(item, text) == 3 and [(i, k) for i, k, _ in m.hits(text)] == [(7, 3)]
+    r = random.Random(12)
+    for _ in range(300):
+        words = ["".join(r.choice("ab") for _ in range(r.randint(3, 9))) for _ in range(3)]
+        item = decontam.normalise(" ".join(r.choice(words) for _ in range(12)))
+        s = list(item)
+        for _ in range(r.randint(0, 6)):
+            s[r.randrange(len(s))] = r.choice(["", "z", "ab"])
+        text = decontam.normalise(" ".join(r.choice(words) for _ in range(5)) + " " + "".join(s) + " " + " ".join(r.choice(words) for _ in range(5)))
+        best = distance(item, text)
+        assert [k for _, k, _ in decontam.Matcher([(1, item)]).hits(text)] == ([best] if best <= int(decontam.RATE * len(item)) else [])
+
+
 def test_items_are_searched_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 60)
     items = [f"this is the test item number {w} of all" for w in ("one", "two", "three", "four", "five")]
