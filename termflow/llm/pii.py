@@ -5,7 +5,11 @@ free symbols are read as one number in the mixed radix of its format and permute
 walking; check digits are computed anew. So the pseudonym has the format and the validity of the original, equal values are
 linked across documents, different values stay different, and the key's holder can invert it.
 
-Cases: a null text stays null, an empty one empty; values that fail validation stay; overlapping finds go to the first
+A card or bank account number may be followed by other digits or words that its pattern takes in: each end at the end of a group is
+tried, for a card the shortest first, for a bank account the country's length first. A card's pseudonym has valid check digits
+at the same shorter lengths as the card, so both are read with the same end.
+
+Cases: a null text stays null, an empty one empty; values that fail validation at every end stay; overlapping finds go to the first
 pattern in the list, left to right; repeated rows get equal pseudonyms; other columns stay.
 """
 from __future__ import annotations
@@ -93,8 +97,41 @@ def card(text: str, key: bytes, inverse: bool) -> str | None:
     d = re.sub(r"\D", "", text)
     if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
         return None
-    body = _numeral(d[1:-1], [DIGITS] * (len(d) - 2), key, "card" + d[0], inverse)
-    return _refill(text, d[0] + body + luhn_digit(d[0] + body))
+    if any(len(g) >= 13 for g in re.findall(r"\d+", text)[1:]):  # such a group is a number of its own
+        return None
+    shorter = _valid_ends(d)
+    while True:
+        body = _numeral(d[1:-1], [DIGITS] * (len(d) - 2), key, "card" + d[0], inverse)
+        d = d[0] + body + luhn_digit(d[0] + body)
+        if _valid_ends(d) == shorter and len(set(d)) > 1:
+            return _refill(text, d)
+
+
+def _valid_ends(d: str) -> list[int]:
+    """Lengths from 13 on, below that of the number, at which its beginning has a right check digit."""
+    return [n for n in range(13, len(d)) if luhn_digit(d[:n - 1]) == d[n - 1]]
+
+
+def group_ends(text: str) -> list[int]:
+    """Ends of the runs of letters and digits."""
+    return [m.end() for m in re.finditer(r"[A-Za-z0-9]+", text)]
+
+
+def card_ends(text: str) -> list[int]:
+    return [e for e in group_ends(text) if sum(c in DIGITS for c in text[:e]) >= 13]
+
+
+def iban_ends(text: str) -> list[int]:
+    """The country's length first, then from the longest."""
+    size = {e: e - text[:e].count(" ") for e in group_ends(text)}
+    return sorted((e for e in size if size[e] >= 15), key=lambda e: (size[e] != IBAN_LENGTHS.get(text[:2]), -e))
+
+
+#: Lengths in the IBAN registry.
+IBAN_LENGTHS = {w[:2]: int(w[2:]) for w in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 "
+    "HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 "
+    "RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20").split()}
 
 
 def long_number(text: str, key: bytes, inverse: bool) -> str | None:
@@ -102,6 +139,8 @@ def long_number(text: str, key: bytes, inverse: bool) -> str | None:
     d = re.sub(r"\D", "", text)
     if not 13 <= len(d) <= 19 or d[0] not in "3456" or len(set(d)) == 1:
         return None
+    if luhn_digit(d[:-1]) == d[-1]:  # one pseudonym for a valid number, whichever pattern finds it
+        return card(text, key, inverse)
     return _refill(text, _unchecked(d, key, inverse))
 
 
@@ -221,7 +260,9 @@ KINDS: list[tuple[str, str, Callable[[str, bytes, bool], str | None]]] = [
 #: A text without any of these has nothing to find.
 HINT = re.compile(r"[0-9@]")
 _ANY = re.compile("|".join(f"(?P<k{i}>{re.sub(r'\\([12])', lambda m, i=i: f'(?P=s{m[1]})', p).replace('([-/.])', '(?P<s1>[-/.])', 1).replace('([-/.])', '(?P<s2>[-/.])', 1)})" for i, (_, p, _) in enumerate(KINDS)))
-_EACH = [re.compile(re.sub(r"^\(\?<![^)]*\)", "", p)) for _, p, _ in KINDS]
+_EACH = [re.compile(p) for _, p, _ in KINDS]
+#: Where a match may end, in the order tried; other kinds only at the end of the match.
+_ENDS: dict[str, Callable[[str], list[int]]] = {"card": card_ends, "iban": iban_ends}
 
 
 class Pseudonymiser:
@@ -234,6 +275,15 @@ class Pseudonymiser:
     def _one(self, kind: int, value: str) -> str | None:
         return KINDS[kind][2](value, self.key, self.inverse)
 
+    def ends(self, kind: int, value: str) -> tuple[str | None, str]:
+        """Pseudonym of the value or of its first valid beginning, and what it stands for."""
+        ends = _ENDS.get(KINDS[kind][0])
+        for end in ends(value) if ends else [len(value)]:
+            new = self.one(kind, value[:end])
+            if new is not None:
+                return new, value[:end]
+        return None, value
+
     def text(self, text: str) -> tuple[str, list[tuple[int, int, str]]]:
         """New text; start, end (in it) and kind of each pseudonym."""
         if not HINT.search(text):
@@ -241,13 +291,15 @@ class Pseudonymiser:
         out, spans, at, size, look = [], [], 0, 0, 0
         while m := _ANY.search(text, look):
             kind = int(m.lastgroup[1:]) if m.lastgroup[0] == "k" else next(i for i in range(len(KINDS)) if m.group(f"k{i}"))
-            new, used = self.one(kind, m[0]), m[0]
+            new, used = self.ends(kind, m[0])
             if new is None:  # a later kind may fit at the same place
                 for other in range(kind + 1, len(KINDS)):
-                    n = re.compile(KINDS[other][1]).match(text, m.start())
-                    if n and (new := self.one(other, n[0])) is not None:
-                        kind, used = other, n[0]
-                        break
+                    n = _EACH[other].match(text, m.start())
+                    if n:
+                        new, used = self.ends(other, n[0])
+                        if new is not None:
+                            kind = other
+                            break
             if new is None:
                 look = m.start() + 1
                 continue

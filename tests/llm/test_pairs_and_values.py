@@ -106,6 +106,26 @@ def test_pseudonyms_invert_keep_format_and_link():
     assert pii.luhn_digit("7992739871") == "3"
 
 
+def test_values_followed_by_other_groups_are_found_and_linked():
+    there, back = pii.Pseudonymiser("k"), pii.Pseudonymiser("k", inverse=True)
+    for v, after in [("3782 822463 10005", "1227"), ("2221000000000009", "123"), ("4041894974608795", "123"), ("4041 8949 7460 8795", "12"), ("AT61 1904 3002 3457 3201", "EUR"), ("AT61 1904 3002 3457 3201", "2024"), ("BE68 5390 0754 7034", "BIC")]:
+        alone, kinds = there.text(f"at {v} now")
+        text = f"at {v} {after} now"
+        new, spans = there.text(text)
+        assert alone != f"at {v} now" and new == alone.replace(" now", f" {after} now"), (v, new)
+        assert [k for *_, k in spans] == [k for *_, k in kinds] and back.text(new)[0] == text, v
+    new, _ = there.text("no 12 4041894974608795 now")
+    assert new == "no 12 " + there.text("4041894974608795")[0] + " now" and back.text(new)[0] == "no 12 4041894974608795 now"
+    key = there.key
+    assert pii.long_number("4041894974608795", key, False) == pii.card("4041894974608795", key, False)
+    r = random.Random(3)
+    for _ in range(60):  # groups of four and three: the pseudonym of the whole is read with the same end
+        d = "".join(r.choice("0123456789") for _ in range(17))
+        d = "4" + d + pii.luhn_digit("4" + d)
+        text = " ".join(d[i:i + 4] for i in range(0, 19, 4))
+        assert back.text(there.text(text)[0])[0] == text
+
+
 def test_feistel_is_a_permutation():
     for n in (2, 3, 10, 97, 1000):
         assert sorted(pii.permute(i, n, b"key", "t") for i in range(n)) == list(range(n))
