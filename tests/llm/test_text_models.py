@@ -73,6 +73,30 @@ def test_language_model_is_kneser_ney(spark):
     assert ce[0, 0] * n[0] == pytest.approx(want, rel=1e-4)
 
 
+def test_model_keeps_every_gram_part_by_part(spark):
+    texts = ["the cat sat on the mat", "a cat and a hat", "le chat et le chien sont la", "that is the end"]
+    docs = spark.createDataFrame([(i, t, "fr" if "chat" in t else "en", None) for i, t in enumerate(texts)], DOC)
+    counts = charlm.count_grams(docs, "text", "lang", 4)
+    whole, parted = (langid.Model(*langid.language_tables(counts, 4, n), 4) for n in (1_000_000, 9))
+    assert parted.files["gram", 4].values.n == counts.select("key").distinct().count() and parted.languages == ["en", "fr"]
+    probe = [*texts, "the hat zz is catty", "", None, "zzz"]
+    assert np.array_equal(whole.entropies(probe)[0], parted.entropies(probe)[0])
+
+
+def test_rejection_thresholds_come_from_all_rows_by_language_and_length(spark):
+    rows = [(i, f"the cat and the dog sat on the mat by the house {i % 7} " * (1 + i % 5), "en", None) for i in range(60)] + [(100, "kot i pies", "pl", None), (101, "ala ma kota a kot ma ale i psa oraz dom w lesie", "pl", None)]
+    docs = spark.createDataFrame(rows, DOC)
+    model = langid.train(docs)
+    assert model.threshold.shape == (2, len(langid.LENGTHS) + 1)
+    ce, plain, size = model.entropies([r[1] for r in rows])
+    best, length, gain = np.argmin(ce, axis=1), np.searchsorted(langid.LENGTHS, size, "right"), plain - ce.min(axis=1)
+    for i, k in set(zip(best.tolist(), length.tolist(), strict=True)):
+        own = np.sort(gain[(best == i) & (length == k)])
+        assert model.threshold[i, k] == pytest.approx(min(own[0], langid.OF_MEDIAN * own[(len(own) - 1) // 2]), abs=1e-6)
+    assert {(0, 2), (1, 0)} <= set(zip(best.tolist(), length.tolist(), strict=True))
+    assert langid.identify(docs, model).where("not lang_accepted").count() == 0
+
+
 def test_language_held_out_accuracy_and_odd_rows(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     held = langid.held_out("doc_id", 4, 2)
