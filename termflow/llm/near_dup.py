@@ -2,8 +2,8 @@
 
 A text is its bag of five-word shingles. A shingle's weight is its count in the text times a damped inverse document frequency:
 1 + DAMP for shingles in fewer than COMMON of all documents (or in one), falling to 1 for one in every document. The document counts of the
-common ones are exact: tasks nominate shingles that are common in what they read, a second pass counts the nominees in all
-texts. Weighted samples (Ioffe's scheme) are banded; texts that share a band's samples are compared by weighted Jaccard
+common ones are exact: a first pass counts all shingles in a table of hash cells of fixed size, a second one counts in Spark those whose
+cell reaches the bar, and only the common ones, so many at most as a text has shingles divided by COMMON, come to the driver. Weighted samples (Ioffe's scheme) are banded; texts that share a band's samples are compared by weighted Jaccard
 similarity; links of 0.8 or more make the classes.
 
 Within a band's bucket every text is compared with the bucket's first one. If the others are then not of one class, the texts
@@ -35,8 +35,8 @@ COMMON, DAMP = 0.002, 0.25
 GROUP = 500
 #: Texts in one index, and texts that run past it in one stream.
 BLOCK, STREAM = 500, 2000
-#: Shingles gathered before a task looks for common ones.
-CHUNK = 2_000_000
+#: Cells of the first count, and shingles gathered before a task adds them up in the second.
+CELL_BITS, CHUNK = 20, 2_000_000
 _TABLE_BITS = 18
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -117,48 +117,47 @@ def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndar
 def common_shingles(docs: DataFrame, text: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles in COMMON or more of the rows, with their exact document counts.
 
-    Nominees are counted in chunks. With C chunks of n_c rows and C <= COMMON rows / 2, a shingle in COMMON of all rows reaches
-    max(2, COMMON n_c / 2) in one chunk at least: below that everywhere, its counts add up to less than COMMON of the rows.
+    A cell's count is at least that of each of its shingles, so no common one is left out of the second count.
     """
-    docs = docs.select(text)
-    parts = max(1, int(COMMON * rows / 4))
-    docs = docs.coalesce(parts)
-
-    def nominate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, n = [], 0, 0
-
-        def chosen() -> pa.RecordBatch:
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            u = u[c >= max(2, COMMON * n / 2)]
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64))], ["h"])
+    docs, bar = docs.select(text), least_common(rows)
+    shift = np.uint64(64 - CELL_BITS)
 
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELL_BITS, np.int64)
         for b in batches:
-            for first, end, _, h, _ in bags(b.column(0)):
-                held.append(h)
-                size, n = size + len(h), n + end - first
-                if size >= CHUNK and n * COMMON >= 4:
-                    yield chosen()
-                    held, size, n = [], 0, 0
-        if held:
-            yield chosen()
+            for *_, h, _ in bags(b.column(0)):
+                np.add.at(total, (h >> shift).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i:i + 100_000]), pa.array(total[at[i:i + 100_000]])], ["cell", "n"])
 
-    nominees = np.sort(docs.mapInArrow(nominate, "h long").distinct().toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64))
-    if not len(nominees):
-        return nominees, np.zeros(0, np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(HashIndex(nominees))
+    t = docs.mapInArrow(fill, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= bar).select("cell").toArrow()
+    heavy = np.zeros(1 << CELL_BITS, bool)
+    heavy[t.column("cell").to_numpy().astype(np.int64)] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(heavy))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value.hashes) + 1, np.int64)
+        want, held, size = np.unpackbits(shared.value).astype(bool), [], 0
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            u, c = np.unique(np.concatenate(held), return_counts=True)
+            for i in range(0, len(u), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(u[i:i + 100_000].view(np.int64)), pa.array(c[i:i + 100_000])], ["h", "n"])
+
         for b in batches:
             for *_, h, _ in bags(b.column(0)):
-                total += np.bincount(shared.value.find(h) + 1, minlength=len(total))
-        at = np.flatnonzero(total[1:])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[1:][at])], ["at", "n"])
-
-    t = docs.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= least_common(rows)).toArrow()
-    at, n = t.column("at").to_numpy().astype(np.int64), t.column("n").to_numpy().astype(np.int64)
-    order = np.argsort(at)
-    return nominees[at[order]], n[order]
+                held.append(h[want[(h >> shift).astype(np.int64)]])
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield from summed()
+                    held, size = [], 0
+        if held:
+            yield from summed()
+
+    t = docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= bar).toArrow()
+    h, n = t.column("h").to_numpy().astype(np.int64).view(np.uint64), t.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
 def compare(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:

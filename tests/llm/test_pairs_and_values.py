@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,6 +236,25 @@ def test_near_duplicates_match_brute_force(spark):
     assert near_dup.classes(frame(spark, ["a"]).where("1 = 0")).count() == 0
 
 
+def test_only_common_shingles_reach_the_driver(spark, monkeypatch):
+    r = random.Random(8)
+    line = " all of this line stands in many documents here"
+    texts = [" ".join(str(r.random()) for _ in range(8)) + f" pair {i // 4} of {i // 4} two near texts" + line * (i % 3 == 0) for i in range(3000)]
+    sizes, to_arrow = [], type(spark.range(0)).toArrow
+
+    def watched(df):
+        t = to_arrow(df)
+        sizes.append((df.columns, t.num_rows))
+        return t
+
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", watched)
+    h, n = near_dup.common_shingles(frame(spark, texts), "text", len(texts))
+    df = collections.Counter(x for *_, hs, _ in near_dup.bags(pa.array(texts)) for x in hs.tolist())
+    want = {k: v for k, v in df.items() if v >= near_dup.least_common(len(texts))}
+    assert dict(zip(h.tolist(), n.tolist(), strict=True)) == want and len(want) < 50 < sum(v == 4 for v in df.values())
+    assert all(k < 3 * len(want) for _, k in sizes)
+
+
 def test_samples_agree_as_often_as_bags_do():
     g = np.random.default_rng(6)
     h = np.sort(g.integers(0, 1 << 63, 600, dtype=np.uint64))
