@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termflow.llm import decontam, html_extract, langid, near_dup, packing, pii, pivot_search, resample, suffix_dedup, toxicity
+from termflow.llm import decontam, html_extract, langid, near_dup, packing, pii, pivot_search, resample, simhash, spelling, suffix_dedup, toxicity, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,20 @@ def op10_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), scorer).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op11_refined_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_tiled_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its fingerprint and the least id that links reach."""
+    out = simhash.components(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op13_pivotal_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pigeonhole_decontamination": op1_pigeonhole_decontamination,
     "op2_crf_extraction": op2_crf_extraction,
@@ -86,6 +100,9 @@ QUERIES: dict[str, Query] = {
     "op8_weighted_minhash_classes": op8_weighted_minhash_classes,
     "op9_kneser_ney_language": op9_kneser_ney_language,
     "op10_noisy_channel_toxicity": op10_noisy_channel_toxicity,
+    "op11_refined_whitening": op11_refined_whitening,
+    "op12_tiled_simhash": op12_tiled_simhash,
+    "op13_pivotal_spelling": op13_pivotal_spelling,
 }
 
 ORACLES: dict[str, str] = {
@@ -98,4 +115,44 @@ s AS (
   FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    # crc32 byte by byte over a table made by its rule; edit distance by brute force on one byte per letter
+    "op13_pivotal_spelling": """
+WITH RECURSIVE
+runs AS (
+  SELECT COALESCE(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+  FROM documents),
+kinds AS (SELECT row_number() OVER () AS k, id, run, count(*) AS times FROM runs WHERE length(run) >= 6 GROUP BY id, run),
+texts AS (
+  SELECT k, run, times, [ord(c) FOR c IN string_split(id || ':' || run, '')] AS cps FROM kinds),
+bytes AS (
+  SELECT k, run, times, flatten([CASE WHEN o < 128 THEN [o] ELSE [192 + (o >> 6), 128 + (o & 63)] END FOR o IN cps]) AS b FROM texts),
+step(i, j, v) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL
+  SELECT i, j + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END FROM step WHERE j < 8),
+tab AS (SELECT i, v FROM step WHERE j = 8),
+crc(k, b, i, c) AS (
+  SELECT k, b, 1, CAST(4294967295 AS BIGINT) FROM bytes
+  UNION ALL
+  SELECT k, b, crc.i + 1, xor(c >> 8, tab.v) FROM crc JOIN tab ON tab.i = (xor(c, CAST(b[crc.i] AS BIGINT)) & 255) WHERE crc.i <= len(b)),
+slips AS (SELECT k, xor(c, 4294967295) AS h FROM crc WHERE i = len(b) + 1),
+said AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, times
+  FROM bytes JOIN slips USING (k)),
+words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM said WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+letters AS (SELECT string_agg(chr(CAST(192 + range AS INT)), '' ORDER BY range) AS l FROM range(64)),
+plain AS (SELECT word, n, translate(word, l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&()*+,-./:;<=>?@[]^_{|}~') AS p FROM words, letters),
+pairs AS (
+  SELECT a.word AS word, b.word AS other, b.n AS other_n FROM plain AS a JOIN plain AS b
+  ON a.word <> b.word AND abs(length(a.p) - length(b.p)) <= 1 AND levenshtein(a.p, b.p) = 1),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, encode(other))) AS other, max(other_n) AS other_n FROM pairs GROUP BY word),
+led AS (
+  SELECT w.word, w.n, COALESCE(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+  FROM words AS w LEFT JOIN best USING (word)),
+path(word, here) AS (
+  SELECT word, word FROM led
+  UNION ALL
+  SELECT path.word, led.form FROM path JOIN led ON led.word = path.here WHERE led.form IS NOT NULL),
+ends AS (SELECT path.word, path.here AS root FROM path JOIN led ON led.word = path.here WHERE led.form IS NULL)
+SELECT led.word, form, root, n, n_near, form_n FROM led JOIN ends USING (word)""",
 }
