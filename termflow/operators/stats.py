@@ -3,17 +3,19 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql.types import DoubleType
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from termflow.functions.cols import avg_rank, keys
 
 
-@F.pandas_udf(DoubleType())
-def two_sided_p(z: pd.Series) -> pd.Series:
-    """Normal two-sided tail; Spark has no error function."""
-    return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2.0)))
+def normal_two_sided(z: Column) -> Column:
+    """P(|N(0, 1)| > |z|) as a column: the density's series near the centre, its continued fraction in the tail."""
+    x = F.abs(z)
+    density = F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+    term = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(x.alias("t"), x.alias("s")), lambda acc, i: F.struct(
+        (acc.t * x * x / (2 * i + 1)).alias("t"), (acc.s + acc.t * x * x / (2 * i + 1)).alias("s")), lambda acc: acc.s)
+    tail = F.aggregate(F.sequence(F.lit(120), F.lit(1), F.lit(-1)), x, lambda acc, i: x + i / acc)
+    return F.when(x < 3, 1 - 2 * density * term).otherwise(2 * density / tail)
 
 
 def date_blocks(dates: DataFrame, n: int) -> DataFrame:
@@ -119,10 +121,10 @@ def hac_slope(df: DataFrame, by, y: str, x: str, maxlags: int, order: str = "dat
     return g.select(*k, "n", "slope", F.when(F.col("__s") > 0, F.col("slope") * F.col("sxx") / F.sqrt("__s")).alias("tstat"), "r2")
 
 
-def best_candidate(points: DataFrame, by=("book",), p: str = "p_value") -> DataFrame:
-    """Within a book: improving points only, the smallest p, multiplied by the number of points."""
-    n = W.partitionBy(*by)
-    x = points.withColumn("__n", F.count(F.lit(1)).over(n)).where(F.col("improves"))
+def best_candidate(points: DataFrame, by=("book",), p: str = "p_value", size: int | None = None) -> DataFrame:
+    """Within a book: improving points with a p-value only, the smallest p times the comparisons made (all rows, or `size`)."""
+    n = F.lit(size).cast("long") if size else F.count(F.lit(1)).over(W.partitionBy(*by))
+    x = points.withColumn("__n", n).where(F.col("improves") & F.col(p).isNotNull())
     return x.groupBy(*by).agg(F.min_by("point", F.struct(p, "point")).alias("point"), F.min(p).alias("p_raw"), F.max("__n").alias("n_points")).withColumn(
         "p_bonferroni", F.least(F.lit(1.0), F.col("p_raw") * F.col("n_points")))
 

@@ -90,30 +90,17 @@ def _(spark, d):
     return rounded(op.hac_slope(s, "sector", "r", "x", 2), 5, slope=7, r2=6)
 
 
-@query("hac_pvalues", "T8 T10")
-def _(spark, d):
-    h = op.hac_mean(sector_streams(spark, d), "sector", "r", 4)
-    return h.withColumn("p_value", op.two_sided_p("tstat"))
-
-
-# A test value in (0, 1) for each asset and look-back: the share of weeks at or above zero.
-cte("pv", "select asset, spec, (avg(case when signal>0 then 1.0 else 0 end)+0.01)/20 as p, avg(signal)>0 as ok from spec_raw where signal is not null group by asset, spec")
-
+# Two-sided normal tail by Simpson's rule on 200 steps.
+P2 = "1-2*{z}/600/sqrt(2*pi())*list_sum([case when i=0 or i=200 then 1 when i%2=1 then 4 else 2 end*exp(-0.5*pow({z}*i/200,2)) for i in range(201)])"
 
-def pvalues(spark, d):
-    s = spec_positions(spark, d).where("signal is not null")
-    return s.groupBy("asset", "spec").agg(((F.avg((F.col("signal") > 0).cast("double")) + 0.01) / 20).alias("p"), (F.avg("signal") > 0).alias("improves"))
 
-
-@query("bonferroni_candidate", "T11", "select asset as book, arg_min(spec, p) filter (where ok) as point, round(min(p) filter (where ok),6) as p_raw, count(*) as n_points, round(least(1,min(p) filter (where ok)*count(*)),6) as p_bonferroni from pv group by asset having bool_or(ok)")
+@query("hac_pvalues", "T8", f"""select sector, n, mean, tstat, round({P2.format(z='abs(t)')},6) as p_value from (
+ select sector, n, round(m,8) as mean, m*n/sqrt(s) as t, round(m*n/sqrt(s),5) as tstat from (
+  select sector, count(*) as n, avg(r) as m, sum(e*e)+2*0.8*coalesce(sum(e*l1),0)+2*0.6*coalesce(sum(e*l2),0)+2*0.4*coalesce(sum(e*l3),0)+2*0.2*coalesce(sum(e*l4),0) as s from (
+   select *, lag(e,1) over w as l1, lag(e,2) over w as l2, lag(e,3) over w as l3, lag(e,4) over w as l4 from hac_e window w as (partition by sector order by date)) group by sector))""")
 def _(spark, d):
-    p = pvalues(spark, d).select(F.col("asset").alias("book"), F.col("spec").alias("point"), F.col("p").alias("p_value"), "improves")
-    return rounded(op.best_candidate(p))
-
-
-@query("false_discovery_rate", "T12", "select asset, spec, round(least(1,min(p*n/k) over (order by k desc rows between unbounded preceding and current row)),6) as p_adj from (select *, count(*) over () as n, row_number() over (order by p, asset, spec) as k from pv)")
-def _(spark, d):
-    return rounded(op.benjamini_hochberg(pvalues(spark, d), "p").select("asset", "spec", "p_adj"))
+    h = op.hac_mean(sector_streams(spark, d), "sector", "r", 4)
+    return rounded(h.withColumn("p_value", op.normal_two_sided(F.col("tstat"))), 5, mean=8, p_value=6)
 
 
 cte("hlz", """select n.pair, n.date, n.chg, n.spread, case when count(spread) over a>=18 then (spread-avg(spread) over a)/nullif(stddev_samp(spread) over a,0) end as z26, case when count(spread) over b>=9 then (spread-avg(spread) over b)/nullif(stddev_samp(spread) over b,0) end as z13 from pair_z n

@@ -246,5 +246,5 @@ def test_false_discovery_known_case(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(p)], "i int, p double")
     got = [r.p_adj for r in stats.benjamini_hochberg(df, "p").orderBy("i").collect()]
     assert got == pytest.approx([0.02, 0.04, 0.04, 0.02])
-    z = df.select(stats.two_sided_p(F.lit(1.959964)).alias("p")).first().p
+    z = df.select(stats.normal_two_sided(F.lit(1.959964)).alias("p")).first().p
     assert z == pytest.approx(0.05, abs=1e-6)
