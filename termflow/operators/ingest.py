@@ -99,23 +99,3 @@ def clean_rows(defined: DataFrame, ice: Column | None = None) -> DataFrame:
     x = scale_prices(defined.where(F.col("raw_symbol").isNotNull() & ~has_sentinel())).withColumn("kind", instrument_kind())
     drop = exact_zero() if ice is None else (exact_zero() | (ice & z_variant()))
     return x.where(~((F.col("kind") == "outright") & drop))
-
-
-def transform_counters(defined: DataFrame, ice: Column, by: list[str]) -> DataFrame:
-    """Row counters of the whole transform and its status, in one pass over the defined rows."""
-    known = F.col("raw_symbol").isNotNull()
-    live = known & ~has_sentinel()
-    kind = instrument_kind()
-    out = live & (kind == "outright")
-    z = out & ice & z_variant()
-    zero = out & ~(ice & z_variant()) & exact_zero()
-    good = out & ~(ice & z_variant()) & ~exact_zero()
-    nonpos = good & ((F.col("open") <= 0) | (F.col("high") <= 0) | (F.col("low") <= 0) | (F.col("close") <= 0))
-    a = defined.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("rows_read"), count_if(~known).alias("join_unmatched_rows"),
-        count_if(known & has_sentinel()).alias("sentinel_rows"), count_if(live & (kind == "other")).alias("other_instrument_class_rows"),
-        count_if(z).alias("z_variant_rows"), count_if(zero).alias("exact_zero_rows"), count_if(good).alias("outright_rows"),
-        count_if(live & (kind == "combo")).alias("combo_rows"), count_if(nonpos).alias("non_positive_price_rows"),
-        count_if(good & (F.col("volume") == 0)).alias("zero_volume_outright_rows"), count_if(good & ohlc_violation()).alias("ohlc_violation_rows"))
-    odd = F.col("join_unmatched_rows") + F.col("sentinel_rows") + F.col("z_variant_rows") + F.col("exact_zero_rows") + F.col("non_positive_price_rows") + F.col("ohlc_violation_rows")
-    return a.withColumn("status", F.when(F.col("rows_read") == 0, "NO_RAW_DATA").when(odd > 0, "PARTIAL").otherwise("OK"))

@@ -157,20 +157,24 @@ def _(spark, d):
 
 @query("combo_legs_resolved", "R2 R3 R4 R5 J3", """select asset, raw_symbol, maturity_year, maturity_month, reject_reason, case when reject_reason is null then array_to_string(syms, ' / ') end as legs from ckey""")
 def _(spark, d):
-    k = combos.resolve_keys(materialize(clean(spark, d).where("kind = 'combo'").select(*combos.KEYS).distinct(), "keys"), roots(spark, d))
+    k = combos.resolve_keys(clean(spark, d).where("kind = 'combo'").select(*combos.KEYS), roots(spark, d))
     return k.select("asset", "raw_symbol", "maturity_year", "maturity_month", "reject_reason",
                     F.concat_ws(" / ", "out.contract_symbol").alias("l")).select(
         "asset", "raw_symbol", "maturity_year", "maturity_month", "reject_reason", F.when(F.col("reject_reason").isNull(), F.col("l")).alias("legs"))
 
 
-CROWS = """from clean c join ckey k on c.asset=k.asset and c.raw_symbol=k.raw_symbol and c.maturity_year=k.maturity_year and c.maturity_month=k.maturity_month where c.kind='combo'"""
+# Combos of the excluded venue are counted, not resolved.
+CROWS = """from clean c join ckey k on c.asset=k.asset and c.raw_symbol=k.raw_symbol and c.maturity_year=k.maturity_year and c.maturity_month=k.maturity_month where c.kind='combo' and c.asset not in ('N5','N10')"""
 
 
 def combo_rows(spark, d):
-    return combos.resolve_rows(materialize(clean(spark, d).where("kind = 'combo'"), "combo-rows"), roots(spark, d))
+    """Keys come from the definitions, so the raw rows are read once and nothing is written between."""
+    keys = definitions(spark, d).where("instrument_class = 'S'")
+    return combos.resolve_rows(clean(spark, d).where("kind = 'combo'"), roots(spark, d), ice(), keys)
 
 
-@query("combo_reject_row_counts", "R6", f"select c.asset, reject_reason, count(*) as row_count {CROWS} and reject_reason is not null group by c.asset, reject_reason")
+@query("combo_reject_row_counts", "R6", f"""select c.asset, reject_reason, count(*) as row_count {CROWS} and reject_reason is not null group by c.asset, reject_reason
+ union all select asset, 'venue_unsupported', count(*) from clean where kind='combo' and asset in ('N5','N10') group by asset""")
 def _(spark, d):
     return combos.reject_counts(combo_rows(spark, d))
 
@@ -201,25 +205,45 @@ def _(spark, d):
     return rounded(a.unionByName(p), 2)
 
 
-@query("transform_manifest", "S17 R7", """select asset, count(*) as rows_read, count(*) filter (where raw_symbol is null) as join_unmatched_rows,
-  count(*) filter (where raw_symbol is not null and s) as sentinel_rows, count(*) filter (where live and k='other') as other_instrument_class_rows, count(*) filter (where live and k='outright' and z) as z_variant_rows,
-  count(*) filter (where live and k='outright' and not z and zero) as exact_zero_rows, count(*) filter (where good) as outright_rows, count(*) filter (where live and k='combo') as combo_rows,
-  count(*) filter (where good and (open<=0 or high<=0 or low<=0 or close<=0)) as non_positive_price_rows, count(*) filter (where good and volume=0) as zero_volume_outright_rows,
-  count(*) filter (where good and (high<low or high<open or high<close or low>open or low>close)) as ohlc_violation_rows,
-  case when count(*) filter (where raw_symbol is null or s or (live and k='outright' and (z or zero)) or (good and (open<=0 or high<=0 or low<=0 or close<=0 or high<low or high<open or high<close or low>open or low>close)))>0 then 'PARTIAL' else 'OK' end as status
- from (select *, live and k='outright' and not z and not zero as good from (select *, raw_symbol is not null and not s as live from (select *, 9223372036854775807 in (open,high,low,close) as s, 0 in (open,high,low,close) as zero,
-   coalesce(asset in ('N5','N10') and raw_symbol like '%\\_Z' escape '\\', false) as z, case instrument_class when 'F' then 'outright' when 'S' then 'combo' else 'other' end as k from defined))) group by asset""")
+# The whole transform: bars know their product, so one without definition keeps its asset.
+cte("product", "select p_partkey, case when p_partkey%16=11 and p_size%2=0 then 'SR3' else 'N' || cast(p_partkey%25 as varchar) end as asset from part")
+cte("tr_rows", """select r.*, coalesce(drop_at, case when r.asset in ('N5','N10') then 'venue_unsupported' else k.reject_reason end, case when k.combo_type in ('plain','labeled','crack') then 'spread' when k.combo_type like 'butterfly%' then 'butterfly' when k.combo_type like 'condor%' then 'condor' else k.combo_type end) as target
+ from (select *, case when raw_symbol is null then 'unmatched' when 9223372036854775807 in (open,high,low,close) then 'sentinel' when instrument_class='X' then 'other_class' when instrument_class='F' then
+   case when asset in ('N5','N10') and raw_symbol like '%\\_Z' escape '\\' then 'z_variant' when 0 in (open,high,low,close) then 'incomplete_price' else 'outright' end end as drop_at
+  from (select b.date, b.instrument_id, b.open, b.high, b.low, b.close, b.volume, p.asset, b.instrument_class, b.raw_symbol, b.maturity_year as my, b.maturity_month as mm from defined b join product p on p.p_partkey=b.instrument_id)) r
+ left join ckey k on k.asset=r.asset and k.raw_symbol=r.raw_symbol and k.maturity_year=r.my and k.maturity_month=r.mm and r.instrument_class='S'""")
+REMARK_SQL = ", ".join(f"case when count(*) filter (where target='{t}')>0 then '{r}=' || count(*) filter (where target='{t}') end" for r, t in combos.REMARKS.items())
+BAD = "target='outright' and (open<=0 or high<=0 or low<=0 or close<=0)"
+VIOLATES = "target='outright' and (high<low or high<open or high<close or low>open or low>close)"
+
+
+def transformed(spark, d):
+    """(tables, observed counters) over every product."""
+    p = dv.table(spark, d, "part").select(F.col("p_partkey").alias("instrument_id"), "p_size")
+    i = F.col("instrument_id")
+    p = p.select("instrument_id", F.when((i % 16 == 11) & (F.col("p_size") % 2 == 0), "SR3").otherwise(F.concat(F.lit("N"), (i % 25).cast("string"))).alias("asset"))
+    bars = raw_bars(spark, d).join(p, "instrument_id").withColumn("root", F.col("asset")).withColumn("exchange", F.lit("X"))
+    more = spark.createDataFrame([("N99", "X")], "leg_root string, leg_exchange string")  # a product without raw rows
+    return combos.transform(bars, definitions(spark, d), roots(spark, d).unionByName(more), ice())
+
+
+@query("transform_manifest", "S17 R7", f"""select *, case when status_odd then 'PARTIAL' else 'OK' end as status from (
+ select asset, count(*) as rows_read, {', '.join(f"count(*) filter (where target='{t}') as {c}" for c, t in combos.COUNTERS.items())},
+  count(*) filter (where {BAD}) as non_positive_price_rows, count(*) filter (where target='outright' and volume=0) as zero_volume_outright_rows, count(*) filter (where {VIOLATES}) as ohlc_violation_rows,
+  nullif(concat_ws('; ', {REMARK_SQL}), '') as detail, count(*) filter (where target not in ('outright','spread','butterfly','condor','average','pack','other_class') or {BAD} or {VIOLATES})>0 as status_odd from tr_rows group by asset
+ union all select 'N99', {', '.join('0' for _ in range(4 + len(combos.COUNTERS)))}, null, null)""".replace("select *, case when status_odd then", "select * exclude (status_odd), case when status_odd is null then 'NO_RAW_DATA' when status_odd then"))
 def _(spark, d):
-    return op.transform_counters(defined(spark, d), F.coalesce(ice(), F.lit(False)), ["asset"])
+    return transformed(spark, d)[0]["manifest"]
 
 
-@query("transform_all_tables", "R7", f"""select 'term_structure' as target, count(*) as row_count from clean where kind='outright' union all
- select case when combo_type in ('plain','labeled','crack') then 'spread' when combo_type like 'butterfly%' then 'butterfly' when combo_type like 'condor%' then 'condor' else combo_type end, count(*) {CROWS} and reject_reason is null group by 1""")
+@query("transform_all_tables", "R7 S17", """select case target when 'outright' then 'term_structure' else target end as target, count(*) as row_count, count(*) as observed from tr_rows where target in ('outright','spread','butterfly','condor','average','pack') group by 1""")
 def _(spark, d):
-    t = combos.transform(materialize(clean(spark, d).withColumn("exchange", F.lit("X")), "clean"), roots(spark, d))
+    """Rows of each table as read back, beside those observed while the transform was written."""
+    tables, seen = transformed(spark, d)
     out = None
-    for n, x in t.items():
-        if n != "rejects":
+    for n, x in tables.items():
+        if n not in ("rejects", "manifest"):
             c = x.groupBy(F.lit(n).alias("target")).agg(F.count(F.lit(1)).alias("row_count"))
+            c = c.withColumn("observed", F.lit(seen["outright" if n == "term_structure" else n]).cast("long"))
             out = c if out is None else out.unionByName(c)
     return out
