@@ -3,9 +3,10 @@ from pyspark.sql import functions as F
 
 from termflow.functions.cols import rounded
 from termflow.plans.registry import query
-from termflow.session import scratch_path
+from termflow.session import materialize, scratch_path
 from termflow.sources import driver_views as dv, market as mk
-from termflow.streaming import ingest as st
+from termflow.streaming import ingest as st, recursions as rc
+
 
 def time_slices(df, parts, order):
     """The table as consecutive time slices."""
@@ -34,7 +35,7 @@ def _(spark, d):
 
 @query("streaming_upsert_ingest", "W1", "select user_id, event_type, cast(max(ts) as date) as last_date, arg_max(value, ts) as value from events group by 1, 2")
 def _(spark, d):
-    sink = st.UpsertSink(scratch_path(spark, "upsert-stream"), ["user_id", "event_type"], "ts")
+    sink = st.UpsertSink(scratch_path(spark, "upsert-stream"), ["user_id", "event_type"], "ts", compact_every=2, buckets=4)
     st.run_slices(event_slices(spark, d), lambda e: e.where("event_type <> 'end'"), spark, sink, "upsert")
     return sink.table(spark).select("user_id", "event_type", F.to_date("ts").alias("last_date"), "value")
 
@@ -47,9 +48,44 @@ def _(spark, d):
     return rounded(spark.read.parquet(out).groupBy("asset", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 4)
 
 
+def disordered_slices(df, parts, key, order="date"):
+    """Time slices of which a third of the rows arrive one slice late, and the delay that still takes them in.
+
+    One row far ahead moves the watermark past the last real day; its own key is never folded.
+    """
+    t = F.unix_date(order)
+    lo, hi = df.agg(F.min(t), F.max(t)).first()
+    width = -(-(hi - lo + 1) // parts)
+    late = (F.pmod(F.xxhash64(key, order), F.lit(3)) == 0).cast("int")
+    x = df.withColumn("__part", F.least(F.floor((t - lo) / width) + late, F.lit(parts)).cast("int"))
+    end = df.agg(F.max(order).alias("d")).select(F.lit("~end").alias(key), F.date_add("d", 2 * width + 30).alias(order), *[F.lit(1.0).alias(c) for c in df.columns if c not in (key, order)])
+    last = x.where(F.col("__part") == parts).drop("__part").unionByName(end)
+    return [x.where(F.col("__part") == i).drop("__part") for i in range(parts)] + [last], f"{width + 1} days"
+
+
+def folded(spark, df, key, make, name):
+    """The recursion over the disordered slices; make(stream, delay)."""
+    slices, delay = disordered_slices(df, 3, key)
+    with st.state_layout(spark, rocks=True):
+        out = st.run_slices(slices, lambda s: make(s, delay), spark, name=name)
+    return spark.read.parquet(out).where(F.col(key) != "~end")
+
+
 @query("streaming_ewma_volatility", "W3", "select n.asset, n.date, round(sqrt(e.avg*52),6) as ewma_vol from ewma_x e join ret_n n on n.asset=e.asset and n.t=e.t")
 def _(spark, d):
-    p = mk.panel_w(spark, d).select("asset", "date", "close")
-    with st.state_layout(spark, rocks=True):
-        out = st.run_slices(time_slices(p, 4, "date"), lambda s: st.streaming_ewma(s, 12), spark, name="ewma")
-    return rounded(spark.read.parquet(out).select("asset", "date", F.sqrt(F.col("ewma_var") * 52).alias("ewma_vol")))
+    p = materialize(mk.panel_w(spark, d).select("asset", "date", "close"), "stream-panel")
+    out = folded(spark, p, "asset", lambda s, delay: rc.ewma(s, 12, delay), "ewma")
+    return rounded(out.select("asset", "date", F.sqrt(F.col("ewma_var") * 52).alias("ewma_vol")))
+
+
+@query("streaming_kalman_hedge", "W3", "select n.pair, n.date, case when n.t>60 then round(x.a,4) end as alpha, case when n.t>60 then round(x.b,5) end as beta from kal_x x join kal_n n on n.pair=x.pair and n.t=x.t")
+def _(spark, d):
+    from termflow.plans.q_rv import pair_logs
+    p = materialize(pair_logs(spark, d).select("pair", "date", "ly", "lx").where("ly is not null and lx is not null"), "stream-pairs")
+    return rounded(folded(spark, p, "pair", lambda s, delay: rc.kalman(s, "ly", "lx", delay), "kalman"), 5, alpha=4)
+
+
+@query("streaming_channel_state", "W3", "select n.asset, n.date, n.system, x.outv as state from don_x x join don_n n on n.asset=x.asset and n.system=x.system and n.t=x.t")
+def _(spark, d):
+    p = materialize(mk.panel_w(spark, d).select("asset", "date", "close"), "stream-panel")
+    return folded(spark, p, "asset", lambda s, delay: rc.channel(s, [(8, 4), (13, 6)], delay), "channel")

@@ -1,11 +1,14 @@
 """Universe filters, as-of lookups, landed files, sinks and monitoring."""
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from termflow.functions.cols import rounded
 from termflow.operators import asof, monitor, universe as op
 from termflow.plans.registry import cte, query
-from termflow.session import scratch_path
+from termflow.session import materialize, scratch_path
 from termflow.sources import driver_views as dv, market as mk, readers, sinks
+from termflow.streaming import ingest as ing
 
 # ---- universe
 
@@ -267,6 +270,24 @@ def _(spark, d):
     return sinks.upsert(b.where("date >= '2000-01-07'").withColumn("close", F.col("close") + 1), root, ["asset", "date"], True)
 
 
+@query("upsert_touched_partitions", "S15 W1", """with p as (select asset, date, close, '2000-03-31' as cycle from bars_w where date<=date '2000-03-31' union all
+ select asset, date, close+1, '2000-06-02' from bars_w where date>=date '2000-03-10' and date<=date '2000-06-05')
+select asset, date, arg_max(close, cycle) as close, max(cycle) as cycle, date_trunc('month', date)<date '2000-03-01' as kept from p group by 1, 2""")
+def _(spark, d):
+    """Two weekly refreshes with an overlap: the second brings corrections and rewrites only the months it touches."""
+    b = dv.bars_w(spark, d).select("asset", "date", "close")
+    t = sinks.PartitionedTable(scratch_path(spark, "monthly"), ["asset", "date"], F.date_format("date", "yyyy-MM"))
+    day = dt.date
+    first = ing.pull(b, day(1970, 1, 1), 0, day(2000, 3, 31))
+    t.upsert(first.withColumn("seq", F.lit(0)), 1, "seq")
+    before = materialize(t.read(spark).select("asset", "date", F.input_file_name().alias("file")), "files-before")
+    again = ing.pull(b.withColumn("close", F.col("close") + 1), day(2000, 3, 31), 21, day(2000, 6, 5)).withColumn("seq", F.lit(0))
+    t.upsert(again, 2, "seq")
+    t.upsert(again, 2, "seq")  # replayed
+    now = t.read(spark).withColumn("now", F.input_file_name())
+    return now.join(before, ["asset", "date"], "left").select("asset", "date", "close", "cycle", F.coalesce(F.col("now") == F.col("file"), F.lit(False)).alias("kept"))
+
+
 @query("manifest_append", "S17", """select run_id, status, count(*) as n from (select r.run_id, asset, case when count(*)<340 then 'PARTIAL' else 'OK' end as status from bars_w cross join (values ('a'),('b')) r(run_id) group by 1, 2) group by 1, 2""")
 def _(spark, d):
     st = dv.bars_w(spark, d).groupBy("asset").agg(F.count(F.lit(1)).alias("rows_read")).withColumn("status", F.when(F.col("rows_read") < 340, "PARTIAL").otherwise("OK"))

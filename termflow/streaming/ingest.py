@@ -1,13 +1,11 @@
-"""Structured Streaming counterparts: bars, keyed ingest, stateful volatility, dimension enrichment."""
+"""Structured Streaming counterparts: bars, keyed ingest, dimension enrichment."""
 from __future__ import annotations
 
-from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from termflow.session import scratch_path
 
@@ -64,24 +62,60 @@ def state_layout(spark: SparkSession, rocks: bool = False):
 
 
 class UpsertSink:
-    """foreachBatch target: folds each micro-batch to its last row per key, then writes it as an
-    idempotent part named by batch id. A replayed batch overwrites its own part and changes nothing."""
+    """foreachBatch target: folds each micro-batch to its last row per key, then writes it as an idempotent part named by batch id.
 
-    def __init__(self, root: str, key: list[str], order: str):
-        self.root, self.key, self.order = root, key, order
+    A replayed batch overwrites its own part and changes nothing. When a batch starts, all earlier ones are committed, so every
+    `compact_every` batches their parts are merged into a keyed table that rewrites only the hash buckets they touch; a pointer row
+    tells up to which batch. Readers take that table and the parts after it. A merge that broke off is repeated without harm.
+    """
+
+    def __init__(self, root: str, key: list[str], order: str, compact_every: int | None = None, buckets: int = 64):
+        from termflow.sources.sinks import PartitionedTable
+        self.root, self.key, self.order, self.compact_every = root, key, order, compact_every
+        self.base = PartitionedTable(f"{root}/base", key, F.pmod(F.hash(*key), F.lit(buckets)))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        if self.compact_every and batch_id and batch_id % self.compact_every == 0:
+            self.compact(batch.sparkSession, batch_id - 1)
         rest = [c for c in batch.columns if c not in self.key]
-        one = batch.groupBy(*self.key).agg(F.max_by(F.struct(*rest), self.order).alias("v")).select(*self.key, "v.*")
-        one.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
+        one = batch.groupBy(*self.key).agg(F.max_by(F.struct(*rest), F.struct(self.order, *rest)).alias("v")).select(*self.key, "v.*")
+        one.write.mode("overwrite").parquet(f"{self.root}/parts/batch={batch_id}")
+
+    def compacted(self, spark: SparkSession) -> int:
+        """Last batch that the keyed table holds, -1 for none."""
+        from termflow.sources.sinks import exists
+        path = f"{self.root}/compacted"
+        return (spark.read.parquet(path).agg(F.max("upto")).first()[0]) if exists(spark, path) else -1
+
+    def parts(self, spark: SparkSession, after: int, upto: int | None = None) -> DataFrame:
+        p = spark.read.parquet(f"{self.root}/parts").where(F.col("batch") > after)
+        return p if upto is None else p.where(F.col("batch") <= upto)
+
+    def compact(self, spark: SparkSession, upto: int) -> None:
+        """Merge the parts up to a committed batch. The order column decides, so batches may be merged in any order."""
+        done = self.compacted(spark)
+        if upto <= done:
+            return
+        new = self.parts(spark, done, upto)
+        self.base.upsert(new.withColumn("__order", F.struct(self.order, "batch")).drop("batch"), 0, "__order")
+        spark.range(1).select(F.lit(upto).cast("long").alias("upto")).coalesce(1).write.mode("append").parquet(f"{self.root}/compacted")
 
     def table(self, spark: SparkSession) -> DataFrame:
         """Current rows: the largest order column wins per key, then the last batch."""
-        df = spark.read.parquet(self.root)
+        done = self.compacted(spark)
+        df = self.parts(spark, done)
+        if done >= 0:
+            df = df.unionByName(self.base.read(spark).withColumn("batch", F.lit(done).cast(df.schema["batch"].dataType)))
         rest = [c for c in df.columns if c not in (*self.key, "batch")]
         return df.groupBy(*self.key).agg(F.max_by(F.struct(*rest), F.struct(self.order, "batch")).alias("v")).select(*self.key, "v.*")
 
 
+def pull(source: DataFrame, last_date, overlap_days: int, today, date: str = "date", label: str = "cycle") -> DataFrame:
+    """Rows of one refresh: from the overlap before the last pulled date up to today, with the cycle they came in."""
+    start, end = refresh_window(last_date, overlap_days, today)
+    return source.where((F.col(date) >= F.lit(start)) & (F.col(date) <= F.lit(end))).withColumn(label, F.lit(cycle_id(today)))
+
+
 def run_slices(slices: list[DataFrame], make, spark: SparkSession, sink=None, name: str = "stream") -> str:
     """Land one slice after the other and drain each before the next: a trigger takes a whole slice, however many files it has.
 
@@ -106,48 +140,3 @@ def run_available(df: DataFrame, spark: SparkSession, sink=None, name: str = "st
         q = w.format("parquet").option("path", out).start()
     q.awaitTermination()
     return out
-
-
-# ---- stateful volatility
-
-VOL_STATE = StructType([StructField("avg", DoubleType()), StructField("old", DoubleType()), StructField("last", DoubleType())])
-VOL_OUT = "asset string, date date, ret double, ewma_var double"
-
-
-def ewma_processor(com: float):
-    """State per asset: running squared-return average, its weight and the last price."""
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-    a = 1.0 / (1.0 + com)
-
-    class Ewma(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("vol", VOL_STATE)
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-            pdf = pd.concat(list(rows)).sort_values("date")
-            avg, old, last = self.state.get() if self.state.exists() else (None, 1.0, None)
-            out = []
-            for d, c in zip(pdf["date"], pdf["close"]):
-                c = None if pd.isna(c) else float(c)
-                r = c / last - 1 if c is not None and last else None
-                if r is not None:
-                    avg = r * r if avg is None else (old * avg + a * r * r) / (old + a)
-                    old = 1.0
-                if avg is not None:
-                    old *= 1 - a
-                last = c
-                out.append((key[0], d, r, avg))
-            self.state.update((avg, old, last))
-            yield pd.DataFrame(out, columns=["asset", "date", "ret", "ewma_var"])
-
-        def close(self) -> None:
-            pass
-
-    return Ewma()
-
-
-def streaming_ewma(stream: DataFrame, com: float = 60) -> DataFrame:
-    """(asset, date, ret, ewma_var) as bars arrive in order; needs the RocksDB state store."""
-    return stream.groupBy("asset").transformWithStateInPandas(
-        statefulProcessor=ewma_processor(com), outputStructType=VOL_OUT, outputMode="append", timeMode="None")
