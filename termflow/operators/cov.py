@@ -52,25 +52,63 @@ def matrix_at(win: DataFrame, estimate: Callable[[pd.DataFrame], tuple[list[str]
     return win.groupBy("rebalance_date").applyInPandas(run, PAIRS)
 
 
-def _complete(min_rows: int, f: Callable[[np.ndarray], np.ndarray]):
-    def est(x: pd.DataFrame):
-        c = x.dropna(how="any")
-        return None if len(c) < min_rows else (list(c.columns), f(c.to_numpy()))
-    return est
-
-
-def shrunk(x: np.ndarray) -> np.ndarray:
-    """Shrinkage toward a scaled identity, from three sums over the centered window."""
-    n, p = x.shape
-    x = x - x.mean(axis=0)
-    s = x.T @ x / n
-    mu = np.trace(s) / p
-    s2 = (s * s).sum()
-    delta = (s2 - 2 * mu * np.trace(s) + p * mu * mu) / p
-    sq = x * x
-    beta = min(((sq.T @ sq).sum() / n - s2) / (n * p), delta)
-    w = 0.0 if beta <= 0 or delta <= 0 else beta / delta
-    return (1 - w) * s + w * mu * np.eye(p)
+def window_segments(dates: DataFrame, window: int, freq: str) -> tuple[DataFrame, DataFrame]:
+    """(date, seg) and (rebalance_date, seg): the calendar cut at every window's ends, so a window is a run of whole segments.
+
+    A segment is named by the calendar number of its last date. Works on the calendar only.
+    """
+    one = W.partitionBy(F.lit(0)).orderBy("t")
+    reb = rebalance_dates(dates, freq).withColumn("is_reb", F.lit(True))
+    cal = dates.join(reb, "date", "left").withColumn("t", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("date")))
+    cal = cal.withColumn("ends", F.coalesce(F.col("is_reb") & (F.col("t") >= window), F.lit(False)))
+    # a window that ends at t + window starts after t
+    cal = cal.withColumn("starts", F.coalesce(F.lead("ends", window).over(one), F.lit(False)))
+    cut = F.when(F.col("ends") | F.col("starts"), F.col("t"))
+    cal = cal.withColumn("seg", F.first(cut, ignorenulls=True).over(one.rowsBetween(0, W.unboundedFollowing)))
+    hit = F.when(F.col("ends"), F.struct(F.col("date").alias("rebalance_date"), "t"))
+    ahead = F.collect_list(hit).over(one.rowsBetween(0, window - 1))
+    # a segment counts where its last date lies in the window: at most `window` rebalance dates ahead
+    marks = cal.withColumn("r", ahead).where(F.col("seg") == F.col("t")).select("seg", F.explode("r.rebalance_date").alias("rebalance_date"))
+    return cal.where("seg is not null").select("date", "seg"), marks
+
+
+def window_moments(panel: DataFrame, ret="ret", window=252, freq="monthly") -> DataFrame:
+    """(rebalance_date, i, j, n, sx, sy, sxy, sqx, q, q2): sums over the window's complete dates for every pair of assets.
+
+    A date meets each pair once; pairs are summed by calendar segment, and windows add up whole segments, so overlapping windows
+    never read a row twice. q is a date's sum of squares over all assets.
+    """
+    by_date, marks = window_segments(panel.select("date").distinct(), window, freq)
+    n = panel.agg(F.count_distinct("asset").alias("n")).scalar()
+    d = panel.where(F.col(ret).isNotNull()).groupBy("date").agg(F.collect_list(F.struct("asset", F.col(ret).alias("r"))).alias("v"))
+    d = d.where(F.size("v") == n).withColumn("q", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.r * x.r)).join(by_date, "date")
+    p = d.select("seg", "q", "v", F.explode("v").alias("a")).select("seg", "q", "a", F.explode("v").alias("b"))
+    x, y, q = F.col("a.r"), F.col("b.r"), F.col("q")
+    seg = p.groupBy("seg", F.col("a.asset").alias("i"), F.col("b.asset").alias("j")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"), F.sum(q * x).alias("sqx"), F.sum(q).alias("q"), F.sum(q * q).alias("q2"))
+    sums = ("n", "sx", "sy", "sxy", "sqx", "q", "q2")
+    return seg.join(marks, "seg").groupBy("rebalance_date", "i", "j").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def moment_covariances(panel: DataFrame, ret="ret", window=252, freq="monthly", min_frac=0.7) -> DataFrame:
+    """(rebalance_date, i, j, sample, shrunk): both estimators from one table of moments, without Python.
+
+    shrunk leans toward a scaled identity; the fourth moments it needs are sums of q, q^2 and q x.
+    """
+    m = window_moments(panel, ret, window, freq).where(F.col("n") >= int(window * min_frac))
+    w = W.partitionBy("rebalance_date")
+    n, diag = F.col("n"), F.col("i") == F.col("j")
+    m = m.withColumn("mx", F.col("sx") / n).withColumn("my", F.col("sy") / n).withColumn("s", F.col("sxy") / n - F.col("mx") * F.col("my"))
+    m = m.withColumns({
+        "p": F.sum(F.when(diag, 1).otherwise(0)).over(w), "tr": F.sum(F.when(diag, F.col("s"))).over(w), "s2": F.sum(F.col("s") * F.col("s")).over(w),
+        "mm": F.sum(F.when(diag, F.col("mx") * F.col("mx"))).over(w), "mqx": F.sum(F.when(diag, F.col("mx") * F.col("sqx"))).over(w), "msm": F.sum(F.col("mx") * F.col("my") * F.col("sxy")).over(w)})
+    p, mu, mm = F.col("p"), F.col("tr") / F.col("p"), F.col("mm")
+    delta = (F.col("s2") - 2 * mu * F.col("tr") + p * mu * mu) / p
+    fourth = F.col("q2") + 4 * F.col("msm") + n * mm * mm - 4 * F.col("mqx") + 2 * mm * F.col("q") - 4 * mm * n * mm
+    beta = F.least((fourth / n - F.col("s2")) / (n * p), delta)
+    lean = F.when((beta <= 0) | (delta <= 0), 0.0).otherwise(beta / delta)
+    m = m.withColumn("lean", lean)
+    return m.select("rebalance_date", "i", "j", (F.col("s") * n / (n - 1)).alias("sample"), ((1 - F.col("lean")) * F.col("s") + F.when(diag, F.col("lean") * mu).otherwise(0.0)).alias("shrunk"))
 
 
 def co_movement(x: pd.DataFrame, c: float) -> np.ndarray:
@@ -112,11 +150,18 @@ def eliminate_incomplete(names: list[str], m: np.ndarray) -> tuple[list[str], np
 
 
 def sample_covariance(panel: DataFrame, ret="ret", window=252, freq="monthly", min_frac=0.7) -> DataFrame:
-    return matrix_at(windows(panel, ret, window, freq), _complete(int(window * min_frac), lambda x: np.atleast_2d(np.cov(x.T))))
+    return moment_covariances(panel, ret, window, freq, min_frac).select("rebalance_date", "i", "j", F.col("sample").alias("cov"))
 
 
 def shrunk_covariance(panel: DataFrame, ret="ret", window=252, freq="monthly", min_frac=0.7) -> DataFrame:
-    return matrix_at(windows(panel, ret, window, freq), _complete(int(window * min_frac), shrunk))
+    return moment_covariances(panel, ret, window, freq, min_frac).select("rebalance_date", "i", "j", F.col("shrunk").alias("cov"))
+
+
+def estimates(panel: DataFrame, ret="ret", window=252, freq="monthly", min_frac=0.7, comovement_frac: float | None = None) -> DataFrame:
+    """(estimator, rebalance_date, i, j, cov) of all three estimators: sample and shrunk from one pass over the moments."""
+    m = moment_covariances(panel, ret, window, freq, min_frac).unpivot(["rebalance_date", "i", "j"], ["sample", "shrunk"], "estimator", "cov")
+    g = gerber_covariance(panel, ret, window, freq, min_frac if comovement_frac is None else comovement_frac).withColumn("estimator", F.lit("comovement"))
+    return m.unionByName(g)
 
 
 def _covered(x: pd.DataFrame, min_rows: int) -> pd.DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from termflow.functions.cols import div, running, trailing
+from termflow.functions.cols import div, keys, trailing
 
 
 def combine_static(streams: DataFrame, weights: dict[str, float], x: str = "pnl") -> DataFrame:
@@ -96,13 +96,75 @@ def historical_tail(df: DataFrame, by: list[str], x="pnl", level: float = 0.95)
     return t.groupBy(*by, "var").agg(F.avg(F.when(F.col(x) <= F.col("var"), F.col(x))).alias("es"))
 
 
+class RankSums:
+    """Counts and sums of values by rank (a binary indexed tree): insertion, the k-th smallest and the sum below it in O(log n)."""
+
+    def __init__(self, n: int):
+        self.n, self.top = n, 1 << max(0, n.bit_length() - 1)
+        self.count, self.total = [0] * (n + 1), [0.0] * (n + 1)
+
+    def add(self, rank: int, value: float) -> None:
+        i = rank + 1
+        while i <= self.n:
+            self.count[i] += 1
+            self.total[i] += value
+            i += i & -i
+
+    def smallest(self, k: int) -> int:
+        """Rank of the k-th smallest value, counted from 0."""
+        at, step = 0, self.top
+        while step:
+            if at + step <= self.n and self.count[at + step] <= k:
+                at += step
+                k -= self.count[at]
+            step >>= 1
+        return at
+
+    def below(self, rank: int) -> tuple[int, float]:
+        """Count and sum of the values of lower rank."""
+        n, total = 0, 0.0
+        while rank:
+            n, total = n + self.count[rank], total + self.total[rank]
+            rank &= rank - 1
+        return n, total
+
+
 def expanding_tail(df: DataFrame, key, x="pnl", level: float = 0.95, min_obs: int = 24) -> DataFrame:
-    """Expanding VaR and ES. Meant for strategy returns, whose rows the calendar bounds."""
-    w = running(key)
-    ok = F.count(x).over(w) >= min_obs
-    d = df.withColumn("var", F.when(ok, F.percentile(x, F.lit(1 - level)).over(w))).withColumn("__h", F.when(ok, F.collect_list(x).over(w)))
-    tail = F.filter("__h", lambda v: v <= F.col("var"))
-    return d.withColumn("es", F.aggregate(tail, F.lit(0.0), lambda a, v: a + v) / F.size(tail)).drop("__h")
+    """(key, date, var, es): interpolated quantile of all returns so far and the mean of those at or below it.
+
+    One keyed fold per stream with an order-statistic structure, O(n log n); no row carries its history. Rows without a
+    return keep the last figures.
+    """
+    k = keys(key)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date", kind="stable")
+        v = pdf["__x"].to_numpy(dtype=float)
+        known = ~np.isnan(v)
+        rank = np.zeros(len(v), int)
+        rank[known] = np.argsort(np.argsort(v[known], kind="stable"), kind="stable")
+        ordered = np.sort(v[known])
+        tree, seen, var, es = RankSums(len(ordered)), 0, [], []
+        for value, ok, r in zip(v.tolist(), known.tolist(), rank.tolist()):
+            if ok:
+                tree.add(r, value)
+                seen += 1
+            if seen < max(min_obs, 1):
+                var.append(None)
+                es.append(None)
+                continue
+            at = (seen - 1) * (1 - level)
+            low = int(at)
+            q = float(ordered[tree.smallest(low)])
+            if low + 1 < seen:
+                q += (at - low) * (float(ordered[tree.smallest(low + 1)]) - q)
+            n, total = tree.below(int(np.searchsorted(ordered, q, "right")))
+            var.append(q)
+            es.append(total / n)
+        return pdf[[*k, "date"]].assign(var=var, es=es)
+
+    types = ", ".join(f"{c} {t}" for c, t in df.dtypes if c in k)
+    return df.select(*k, "date", F.col(x).cast("double").alias("__x")).groupBy(*k).applyInPandas(fold, f"{types}, date date, var double, es double")
 
 
 # ---- risk parity

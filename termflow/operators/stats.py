@@ -57,18 +57,64 @@ def sharpe_stat(x: Column, min_obs: int = 20, ppy: int = 252) -> Column:
     return F.when((F.count(x) >= min_obs) & (sd > 0), F.avg(x) / sd * math.sqrt(ppy))
 
 
-def cscv(pnl: DataFrame, n: int = 8, k: int | None = None, purge: int = 5, embargo: int = 5, stat=sharpe_stat, by: tuple[str, ...] = ()) -> DataFrame:
+def block_moments(pnl: DataFrame, blocks: DataFrame, purge: int, embargo: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, config, g, n0..n3, s0..s3, q0..q3): count, sum and squared deviations of every block, whole and trimmed.
+
+    Variant 1 loses its head (the block before it is tested), 2 its tail (the block after it is), 3 both; a block that would
+    vanish keeps nothing.
+    """
+    x = pnl.join(blocks, "date")
+    aggs = []
+    for v in range(4):
+        head, tail = (purge + embargo) * (v & 1), purge * (v >> 1)
+        kept = F.when((F.col("m") > head + tail) & (F.col("h") > head) & (F.col("h") <= F.col("m") - tail), F.col("pnl"))
+        aggs += [F.count(kept).alias(f"n{v}"), F.coalesce(F.sum(kept), F.lit(0.0)).alias(f"s{v}"), F.coalesce(F.var_pop(kept) * F.count(kept), F.lit(0.0)).alias(f"q{v}")]
+    return x.groupBy(*by, "config", "g").agg(*aggs)
+
+
+def combined_sharpe(n: Column, total: Column, inner: Column, outer: Column, min_obs: int, ppy: int) -> Column:
+    """Sharpe of merged blocks: inner squared deviations plus those of the block means (outer = sum of s^2 / n)."""
+    m2 = inner + F.greatest(outer - total * total / n, F.lit(0.0))
+    return F.when((n >= min_obs) & (m2 > 0), total / n / F.sqrt(m2 / (n - 1)) * math.sqrt(ppy))
+
+
+def split_stats(pnl: DataFrame, n: int, k: int, purge: int, embargo: int, by: tuple[str, ...] = (), min_obs: int = 20, ppy: int = 252) -> DataFrame:
+    """(by, combo, config, is_stat, oos_stat) from block moments: P&L rows are read once and never multiplied by combinations."""
+    masks = [i for i in range(2 ** n) if bin(i).count("1") == k]
+    b = block_moments(pnl, date_blocks(pnl.select("date").distinct(), n), purge, embargo, by)
+    c = b.withColumn("combo", F.explode(F.array(*[F.lit(i) for i in masks])))
+    bit = lambda i: F.expr(f"(shiftright(combo, {i}) & 1) = 1")
+    train = bit("g")
+    variant = F.when(F.expr("g > 0") & ~bit("g - 1"), 1).otherwise(0) + F.when(F.expr(f"g < {n - 1}") & ~bit("g + 1"), 2).otherwise(0)
+
+    def pick(name: str) -> Column:
+        return F.element_at(F.array(*[F.col(f"{name}{v}") for v in range(4)]), F.when(train, variant).otherwise(0) + 1)
+
+    c = c.select(*by, "config", "combo", train.alias("tr"), pick("n").alias("n"), pick("s").alias("s"), pick("q").alias("q"))
+
+    def side(own: Column) -> Column:
+        cnt = F.sum(F.when(own, F.col("n")).otherwise(0))
+        outer = F.sum(F.when(own & (F.col("n") > 0), F.col("s") * F.col("s") / F.col("n")).otherwise(0.0))
+        return combined_sharpe(cnt, F.sum(F.when(own, F.col("s")).otherwise(0.0)), F.sum(F.when(own, F.col("q")).otherwise(0.0)), outer, min_obs, ppy)
+
+    return c.groupBy(*by, "combo", "config").agg(side(F.col("tr")).alias("is_stat"), side(~F.col("tr")).alias("oos_stat"))
+
+
+def cscv(pnl: DataFrame, n: int = 8, k: int | None = None, purge: int = 5, embargo: int = 5, stat=None, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, combo, winner, omega, logit): in-sample winner and its out-of-sample relative rank.
 
-    pnl(by, date, config, pnl). `stat` is any aggregate of a column. Each P&L row meets the masks once and
-    is aggregated map-side to (combo, config), so the shuffle carries combinations x configs.
+    pnl(by, date, config, pnl). The Sharpe ratio is put together from block moments. Another `stat` is any aggregate of a column;
+    then each P&L row meets the masks once and is aggregated map-side to (combo, config).
     """
-    sides = purged_dates(pnl.select("date").distinct(), n, k, purge, embargo)
-    packed = sides.groupBy("date").agg(F.collect_list(F.struct("combo", "side")).alias("c"))
-    x = pnl.join(packed, "date").select(*by, "config", "pnl", F.explode("c").alias("c")).select(*by, "config", "pnl", "c.*")
-    v = F.col("pnl")
-    s = x.groupBy(*by, "combo", "config").agg(stat(F.when(F.col("side") == "train", v)).alias("is_stat"), stat(F.when(F.col("side") == "test", v)).alias("oos_stat"))
     grp = [*by, "combo"]
+    if stat is None:
+        s = split_stats(pnl, n, k or n // 2, purge, embargo, by)
+    else:
+        sides = purged_dates(pnl.select("date").distinct(), n, k, purge, embargo)
+        packed = sides.groupBy("date").agg(F.collect_list(F.struct("combo", "side")).alias("c"))
+        x = pnl.join(packed, "date").select(*by, "config", "pnl", F.explode("c").alias("c")).select(*by, "config", "pnl", "c.*")
+        v = F.col("pnl")
+        s = x.groupBy(*by, "combo", "config").agg(stat(F.when(F.col("side") == "train", v)).alias("is_stat"), stat(F.when(F.col("side") == "test", v)).alias("oos_stat"))
     w = W.partitionBy(*grp)
     s = s.withColumn("rk", avg_rank("oos_stat", *grp)).withColumn("n_configs", F.count(F.lit(1)).over(w)).withColumn("n_oos", F.count("oos_stat").over(w))
     best = s.where("is_stat is not null").withColumn("o", F.row_number().over(w.orderBy(F.desc("is_stat"), "config"))).where("o = 1")

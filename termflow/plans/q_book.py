@@ -177,10 +177,10 @@ def _(spark, d):
 def _(spark, d):
     """The same alphas under three covariance estimators, the estimator being part of the book key."""
     r = base(spark, d)
-    est = {"sample": cv.sample_covariance, "shrunk": cv.shrunk_covariance, "comovement": cv.gerber_covariance}
+    c = materialize(cv.estimates(r, window=52, freq="weekly", min_frac=0.3), "swap-cov", ("estimator",))
     out = None
-    for name, f in est.items():
-        x = op.book_inputs(alphas(r), f(r, window=52, freq="weekly", min_frac=0.3), r)
+    for name in ("sample", "shrunk", "comovement"):
+        x = op.book_inputs(alphas(r), c.where(F.col("estimator") == name).drop("estimator"), r)
         x = x.withColumn("book", F.concat_ws("|", F.lit(name), "book"))
         out = x if out is None else out.unionByName(x)
     x = materialize(out, "swap-inputs")

@@ -142,6 +142,24 @@ def test_tail_risk(spark):
     assert e["var"].isna().sum() == 23 and e["es"].iloc[-1] == pytest.approx(x.es)
 
 
+def test_expanding_tail_with_ties_and_gaps(spark):
+    rng = np.random.default_rng(1)
+    rows, want = [], {}
+    for k in ("a", "b", "c"):
+        v = [None if rng.random() < .15 else float(rng.integers(-3, 4) if k == "b" else 0 if k == "c" else rng.normal()) for _ in range(150)]
+        rows += [(k, dt.date(2020, 1, 1) + dt.timedelta(i), x) for i, x in enumerate(v)]
+        for i in range(150):
+            h = np.array([x for x in v[:i + 1] if x is not None])
+            q = np.quantile(h, 0.05) if len(h) >= 24 else None
+            want[k, i] = (None, None) if q is None else (q, h[h <= q].mean())
+    df = spark.createDataFrame(rows, "stream string, date date, pnl double").repartition(4)
+    for r in risk.expanding_tail(df, "stream").collect():
+        q, es = want[r.stream, (r.date - dt.date(2020, 1, 1)).days]
+        assert (r["var"] is None) == (q is None)
+        if q is not None:
+            assert r["var"] == pytest.approx(q, abs=1e-12) and r.es == pytest.approx(es, abs=1e-12)
+
+
 def book_setup(spark, n=30, seed=0, **point):
     rng = np.random.default_rng(seed)
     idx = pd.bdate_range("2020-01-01", periods=n)
@@ -233,6 +251,22 @@ def test_cscv_dominant_config_is_never_overfit(spark):
     assert stats.pbo(res).first().pbo == 0.0
 
 
+def test_block_moments_give_the_sharpes_of_the_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = [(c, dt.date(2020, 1, 1) + dt.timedelta(i), float(rng.normal(1, 0.01)) if c != "flat" else 0.0) for c in ("p", "q", "flat") for i in range(97) if not (c == "q" and i % 5 == 0)]
+    pnl = spark.createDataFrame(rows, "config string, date date, pnl double")
+    for purge, embargo in ((5, 5), (0, 0), (12, 9)):
+        fast = {(r.combo, r.config): (r.is_stat, r.oos_stat) for r in stats.split_stats(pnl, 6, 3, purge, embargo).collect()}
+        sides = stats.purged_dates(pnl.select("date").distinct(), 6, 3, purge, embargo)
+        x = pnl.join(sides, "date").groupBy("combo", "config").agg(*[stats.sharpe_stat(F.when(F.col("side") == s, F.col("pnl"))).alias(s) for s in ("train", "test")])
+        slow = {(r.combo, r.config): (r.train, r.test) for r in x.collect()}
+        assert len(fast) == 60
+        for k, (a, b) in fast.items():
+            u, v = slow.get(k, (None, None))
+            assert (a is None) == (u is None) and (b is None) == (v is None)
+            assert (a is None or a == pytest.approx(u, rel=1e-9)) and (b is None or b == pytest.approx(v, rel=1e-9))
+
+
 def test_hac_mean_equals_the_matrix_form(spark):
     x = np.random.default_rng(3).normal(0.1, 1, 200)
     df = spark.createDataFrame([("s", dt.date(2020, 1, 1) + dt.timedelta(i), float(v)) for i, v in enumerate(x)], "k string, date date, r double")
