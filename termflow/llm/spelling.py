@@ -4,8 +4,8 @@ Words are counted in Spark. Every word of the vocabulary has its bigrams in one
 the first three (and ties of the third), its pivots are two disjoint bigrams of the prefix of least total frequency, found by
 dynamic programming. One edit leaves at least one pivot whole, so of two near words the one whose prefix ends earlier in
 the order has a pivot in the other's prefix. The position limit is strict: a whole gram keeps its place from the start of the
-word or from its end, and the text on that side of it is unchanged. Pivots and prefix grams therefore meet by equality on
-(gram, side, text on that side), and the join verifies each pair by edit distance.
+word or from its end, and the text on that side of it is unchanged, as is one half of the other side. Pivots and prefix grams
+therefore meet by equality on (gram, side, text on that side, that half), and the join verifies each pair by edit distance.
 
 Cases: a null text has no runs; a null id is the empty string before the colon; an empty table gives an empty result; of near words
 with equal counts the smaller in code-point order wins; a repeated row counts again; a run may be as long as the text;
@@ -85,8 +85,25 @@ def pivots_of(prefix: Sequence[int], weight: Sequence[int], edits: int = EDITS,
     return list(table[-1][count][1]) if table[-1][count] else at
 
 
+def limits(word: str, at: int) -> Iterator[tuple[bool, str]]:
+    """(right, text) for every way in which one edit may leave the gram at `at` its place; two near words share one of them.
+
+    The edit is on one side of the gram, so the text on the other side stays. The edited side (m code points in the shorter word)
+    keeps either its m // 2 code points next to the gram or its last m // 2. A word is the shorter, the longer or as long, so it
+    gives the limits for m and for m - 1.
+    """
+    for right in (False, True):
+        same, other = (word[at + GRAM:], word[:at][::-1]) if right else (word[:at], word[at + GRAM:])  # other: from the gram outwards
+        for half in {len(other) // 2, max(len(other) - 1, 0) // 2}:
+            if half:
+                yield right, f"{same} {other[:half]}"
+                yield right, f"{same} {other[-half:]} "
+            else:
+                yield right, same
+
+
 def keyed_grams(words: DataFrame, ranks: dict[str, int]) -> DataFrame:
-    """Rows (pivot, gram, side, rest, word, last) of every pivot and prefix gram and either side; last is the prefix's last rank."""
+    """Rows (pivot, gram, right, rest, word, last) of every pivot and prefix gram and position limit; last is the prefix's last rank."""
     shared = words.sparkSession.sparkContext.broadcast(ranks)
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,8 +116,7 @@ def keyed_grams(words: DataFrame, ranks: dict[str, int]) -> DataFrame:
                 last = r[prefix[-1]]
                 for pivot, places in ((False, prefix), (True, pivots_of(prefix, r))):
                     for p in places:
-                        rows.append((pivot, r[p], False, w[:p], w, last))
-                        rows.append((pivot, r[p], True, w[p + GRAM:], w, last))
+                        rows += [(pivot, r[p], right, rest, w, last) for right, rest in limits(w, p)]
             yield pd.DataFrame(rows, columns=["pivot", "gram", "right", "rest", "word", "last"])
 
     return words.select("word").mapInPandas(grams, "pivot boolean, gram int, right boolean, rest string, word string, last int")

@@ -256,6 +256,19 @@ def test_variants_match_brute_force(spark):
     assert any(root_of(want, w) != want[w][0] for w in want if want[w][0])  # a path of two steps at least
 
 
+def test_near_words_share_a_position_limit_of_any_whole_gram():
+    r = random.Random(10)
+    for _ in range(3000):
+        w = "".join(r.choice("ab") for _ in range(r.randint(6, 9)))
+        i, c = r.randrange(len(w) + 1), r.choice("abc")
+        x = r.choice((w[:i] + c + w[i:], w[:i] + w[i + 1:], w[:i] + c + w[i + 1:]))
+        if len(x) < 6 or x == w:
+            continue
+        for p in range(len(w) - 1):  # grams that the edit leaves whole, and where they are then
+            for q in {p} if p + 2 <= i else {p + len(x) - len(w)} if p > i or (p == i and len(x) > len(w)) else ():
+                assert x[q:q + 2] == w[p:p + 2] and set(spelling.limits(w, p)) & set(spelling.limits(x, q))
+
+
 def test_variants_of_empty_tables(spark):
     docs = frame(spark, [None, "", "short words only"])
     assert spelling.variants(docs).count() == 0
