@@ -16,4 +16,5 @@ import termflow.plans.q_risk  # noqa: F401
 import termflow.plans.q_book  # noqa: F401
 import termflow.plans.q_stats  # noqa: F401
 import termflow.plans.q_tuning  # noqa: F401
+import termflow.plans.q_registry  # noqa: F401
 import termflow.plans.q_stream  # noqa: F401
