@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from termflow.functions.cols import seq
+from termflow.session import spread
 
 # Default book parameters.
 DEFAULTS = dict(gamma=20000.0, kappa=1.0, lambd=0.0, max_weight=0.30, target_vol=0.10, ppy=52.0, halflife=87.0,
@@ -40,6 +41,12 @@ def period_returns(panel: DataFrame, rebalances: DataFrame, ret: str = "ret", by
         *by, "date", "asset", F.when(F.datediff("next", "date") > MAX_GAP_DAYS, 0.0).otherwise(F.col("s")).alias("pr"))
 
 
+def stale_gaps(rebalances: DataFrame, by=("book",), max_gap: int = MAX_GAP_DAYS) -> DataFrame:
+    """(book, n_dates, n_stale_gaps): rebalance dates, and how many wait longer than max_gap days for the next one and so earn nothing."""
+    d = rebalances.select(*by, "date").distinct().withColumn("next", F.lead("date").over(W.partitionBy(*by).orderBy("date")))
+    return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n_dates"), F.count(F.when(F.datediff("next", "date") > max_gap, 1)).alias("n_stale_gaps"))
+
+
 def book_inputs(alpha: DataFrame, cov: DataFrame, panel: DataFrame, ret: str = "ret") -> DataFrame:
     """(book, date, assets, a, s, pr): one row of aligned arrays per book and rebalance date.
 
@@ -122,7 +129,7 @@ def run_books(inputs: DataFrame, points: DataFrame, solve=solve_step, target=tar
         return pd.DataFrame({"book": pdf["book"], "point": pdf["point"], "date": pdf["date"], "assets": pdf["assets"],
                              "w": [o[0] for o in out], "scale": [o[1] for o in out], "cap_bound": [o[2] for o in out]})
 
-    x = inputs.join(points, "book").groupBy("book", "point").applyInPandas(
+    x = spread(inputs.join(points, "book"), "book", "point").groupBy("book", "point").applyInPandas(
         walk, "book string, point string, date date, assets array<string>, w array<double>, scale double, cap_bound boolean")
     return x.select("book", "point", "date", "scale", "cap_bound", F.explode(F.arrays_zip("assets", "w")).alias("z")).select(
         "book", "point", "date", F.col("z.assets").alias("asset"), F.col("z.w").alias("w"), "scale", "cap_bound")
@@ -194,3 +201,17 @@ def reconcile(sector_net: DataFrame, pnl: DataFrame) -> DataFrame:
     s = sector_net.groupBy("book", "point", "date").agg(F.sum("net").alias("s"))
     j = s.join(pnl, ["book", "point", "date"])
     return j.groupBy("book", "point").agg(F.max(F.abs(F.col("s") - (F.col("gross") - F.col("cost")))).alias("max_gap"))
+
+
+def report_rows(stats: DataFrame, by: list[str], run: str) -> DataFrame:
+    """(run, by, metric, value): one row per figure of a report."""
+    metrics = [c for c in stats.columns if c not in by]
+    return stats.select(*by, *[F.col(c).cast("double").alias(c) for c in metrics]).unpivot(by, metrics, "metric", "value").withColumn("run", F.lit(run))
+
+
+def against_prior(reports: DataFrame, by: list[str]) -> DataFrame:
+    """Every figure of every report with that of the report before it (by run label) and the difference; NULL where there was none."""
+    runs = reports.select("run").distinct().withColumn("prior_run", F.lag("run").over(W.partitionBy(F.lit(0)).orderBy("run")))
+    old = reports.select(*by, "metric", F.col("run").alias("prior_run"), F.col("value").alias("prior_value"))
+    j = reports.join(runs, "run").join(old, [*by, "metric", "prior_run"], "left")
+    return j.select("run", "prior_run", *by, "metric", "value", "prior_value", (F.col("value") - F.col("prior_value")).alias("delta"))

@@ -67,8 +67,11 @@ def assign_front(contracts: DataFrame, confirm: int = 2, backstop: int = 5, expi
     seen = c.groupBy("asset", "contract_symbol", "chain_idx").agg(F.max("date").alias("date"))
     if expiry is not None:
         seen = seen.join(expiry, ["asset", "contract_symbol"], "left").withColumn("date", F.coalesce("expiry_date", "date")).drop("expiry_date")
-        pos = days.select("asset", F.col("date").alias("d"), "t")
-        seen = seen.join(pos, "asset").where(F.col("d") <= F.col("date")).groupBy("asset", "chain_idx").agg(F.max("t").alias("t"))
+        # the last listed date at or before each expiry: one ordered pass over dates and expiries together
+        none = F.lit(None).cast("int")
+        u = days.select("asset", "date", "t", none.alias("chain_idx")).unionByName(seen.select("asset", "date", none.alias("t"), "chain_idx"))
+        upto = W.partitionBy("asset").orderBy("date", F.col("chain_idx").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+        seen = u.withColumn("t", F.last("t", ignorenulls=True).over(upto)).where("chain_idx is not null and t is not null").select("asset", "chain_idx", "t")
     else:
         if end_guard:
             seen = seen.withColumn("end", F.max("date").over(W.partitionBy("asset"))).where("date < end").drop("end")
@@ -163,6 +166,21 @@ def carry_panel(front: DataFrame, spreads: DataFrame, contracts: DataFrame, prox
     return real.withColumn("is_proxy", F.lit(False)).unionByName(px.withColumn("is_proxy", F.lit(True)))
 
 
+def off_panel(contracts: DataFrame, panel: DataFrame) -> DataFrame:
+    """Contracts of assets that the panel does not have."""
+    return contracts.join(panel.select("asset").distinct(), "asset", "left_anti")
+
+
+def off_panel_curve(contracts: DataFrame, panel: DataFrame, **kw) -> DataFrame:
+    """Continuous curve of every asset that has contracts but no panel series, by the same roll rule and back-adjustment."""
+    return continuous_curve(off_panel(contracts, panel), **kw)
+
+
+def off_panel_carry(curve: DataFrame, spreads: DataFrame, contracts: DataFrame, scale: DataFrame | None = None) -> DataFrame:
+    """Quoted carry of off-panel assets against the front contracts of their own curve."""
+    return real_carry(curve.select("asset", "date", "front_contract_symbol"), spreads, contracts, scale)
+
+
 def quote_error(front: DataFrame, spreads: DataFrame, contracts: DataFrame) -> DataFrame:
     """|back-differenced - quoted| over the near close, for the front spread."""
     s = front_spread(front, spreads)

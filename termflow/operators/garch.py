@@ -7,16 +7,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from termflow.session import spread
+
 
 def variance_path(r: np.ndarray, a, g, b, long_run: float) -> np.ndarray:
     """Conditional variances for one or many parameter sets at once (last axis)."""
     a, g, b = (np.asarray(x, dtype=float) for x in (a, g, b))
     omega = long_run * (1 - a - b - g / 2)
+    shock, wide = r * r, (slice(None), *[None] * a.ndim)
     s2 = np.empty((len(r), *a.shape))
     s2[0] = long_run
-    shock = r * r
+    s2[1:] = omega + (a + g * (r[:-1] < 0)[wide]) * shock[:-1][wide]  # all but the last variance's share, which the loop adds
     for t in range(1, len(r)):
-        s2[t] = omega + (a + (g if r[t - 1] < 0 else 0.0)) * shock[t - 1] + b * s2[t - 1]
+        s2[t] += b * s2[t - 1]
     return s2
 
 
@@ -67,31 +70,28 @@ def sigmas(r: np.ndarray, params: tuple[float, float, float, float]) -> np.ndarr
 def walk_forward_vol(panel: DataFrame, ret: str, warmup: int = 500, refit: int = 20, ppy: int = 252, key: str = "asset") -> DataFrame:
     """(key, date, garch_vol): refit every `refit` observations on all earlier ones, filtered between.
 
-    Refits are independent given the returns, so each is its own row and they spread over the cluster by
-    (key, start); a row carries one asset's history, which the calendar bounds.
+    One fold per series reads its returns once. Every refit searches from the same starts: one that goes on from the last optimum
+    stays in a worse one where the likelihood has several. The series are spread over all partitions, as the work is heavy and the
+    rows few.
     """
-    s = panel.where(F.col(ret).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("date", F.col(ret).alias("r")))).alias("h"))
-    s = s.where(F.size("h") > warmup)
-    jobs = s.select(key, "h", F.explode(F.sequence(F.lit(warmup), F.size("h") - 1, F.lit(refit))).alias("start"))
-    end = F.least(F.col("start") + refit, F.size("h"))
-    jobs = jobs.select(key, "start", F.slice(F.col("h.r"), F.lit(1), end).alias("r"), F.slice(F.col("h.date"), F.col("start") + 1, end - F.col("start")).alias("dates"))
-
-    def run(batches):
-        for pdf in batches:
-            out, done = [], []
-            for r, n in zip(pdf["r"], pdf["start"]):
-                try:
-                    p, ok = fit_checked(np.asarray(r[:n]))
-                    out.append(sigmas(np.asarray(r), p)[n:].tolist())
-                    done.append("converged" if ok else "not converged")
-                except (ValueError, FloatingPointError) as e:  # the block stays empty and says why
-                    out.append([None] * (len(r) - n))
-                    done.append(f"failed: {e}")
-            yield pd.DataFrame({key: pdf[key], "dates": pdf["dates"], "sig": out, "fit_status": done})
-
-    f = jobs.repartition(key, "start").mapInPandas(run, f"{key} string, dates array<date>, sig array<double>, fit_status string")
-    z = f.select(key, "fit_status", F.explode(F.arrays_zip("dates", "sig")).alias("z"))
-    return z.select(key, F.col("z.dates").alias("date"), (F.col("z.sig") * math.sqrt(ppy)).alias("garch_vol"), "fit_status")
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        r = pdf["r"].to_numpy(dtype=float)
+        sig, status = np.full(len(r), np.nan), [None] * len(r)
+        for start in range(warmup, len(r), refit):
+            end = min(start + refit, len(r))
+            try:
+                p, ok = fit_checked(r[:start])
+                said = "converged" if ok else "not converged"
+                sig[start:end] = sigmas(r[:end], p)[start:]
+            except (ValueError, FloatingPointError) as e:  # the block stays empty and says why
+                said = f"failed: {e}"
+            status[start:end] = [said] * (end - start)
+        out = pd.DataFrame({key: pdf[key], "date": pdf["date"], "garch_vol": sig * math.sqrt(ppy), "fit_status": status})
+        return out.iloc[warmup:].replace({np.nan: None})
+
+    s = spread(panel.where(F.col(ret).isNotNull()).select(key, "date", F.col(ret).alias("r")), key)
+    return s.groupBy(key).applyInPandas(fold, f"{key} string, date date, garch_vol double, fit_status string")
 
 
 def dcc_path(streams: DataFrame, x: str = "pnl", key: str = "set_id") -> DataFrame:
@@ -134,4 +134,4 @@ def dcc_path(streams: DataFrame, x: str = "pnl", key: str = "set_id") -> DataFra
                 rows.append(pd.DataFrame({key: pdf[key].iloc[0], "date": m.index, "i": ni, "j": nj, "corr": c, "cov": c * sg[:, i] * sg[:, j], "converged": converged}))
         return pd.concat(rows)
 
-    return streams.select(key, "stream", "date", x).groupBy(key).applyInPandas(fold, f"{key} string, date date, i string, j string, corr double, cov double, converged boolean")
+    return spread(streams.select(key, "stream", "date", x), key).groupBy(key).applyInPandas(fold, f"{key} string, date date, i string, j string, corr double, cov double, converged boolean")

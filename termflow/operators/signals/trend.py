@@ -24,13 +24,13 @@ def tsmom(df: DataFrame, close="close", vol="vol", lookback_months: int = 12, ta
 
 
 def momentum_grid(df: DataFrame, lookbacks: list[int], close="close", vol="vol", target=0.40,
-                  per_month: int = ROWS_PER_MONTH) -> DataFrame:
-    """Long by lookback; every lag comes from one sorted window pass."""
+                  per_month: int = ROWS_PER_MONTH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Long by lookback, with the `keep` columns; every lag comes from one sorted window pass."""
     cols = [f"k{k}" for k in lookbacks]
-    wide = df.select("asset", "date", *[
+    wide = df.select("asset", "date", *keep, *[
         vol_targeted_sign(raw_momentum(close, k, per_month=per_month), vol, target).alias(c)
         for k, c in zip(lookbacks, cols)])
-    return wide.unpivot(["asset", "date"], cols, "spec", "signal").withColumn(
+    return wide.unpivot(["asset", "date", *keep], cols, "spec", "signal").withColumn(
         "lookback", F.substring("spec", 2, 9).cast("int")).drop("spec")
 
 

@@ -6,6 +6,7 @@ from termflow.operators import backtest as bt
 from termflow.operators.signals import trend
 from termflow.operators.xs import apply_multiplier, size_multiplier
 from termflow.plans.registry import cte, query
+from termflow.session import materialize
 from termflow.sources import driver_views as dv, market as mk
 
 TRAIN, VAL = "1999-12-31", "2000-12-31"
@@ -210,7 +211,7 @@ t as (select *, {SPLIT} as split from b), k as (select *, row_number() over (par
 select freq, {SPLITS_SQL} from k where split='train' or k>1 or (split='validation' and exists (select 1 from pnl_w where date=date '1999-12-31'))
  or (split='test' and exists (select 1 from pnl_w where date=date '2000-12-31')) group by freq""")
 def _(spark, d):
-    s = mk.sig_w(spark, d)
+    s = materialize(mk.sig_w(spark, d).select("asset", "date", "ret", "signal"), "signal-panel")  # one signal plan for every frequency
     out = None
     for f in ("daily", "weekly", "monthly"):
         b = bt.backtest(bt.positions(s, "signal", f)).withColumn("freq", F.lit(f))

@@ -74,6 +74,21 @@ def _(spark, d):
     return rounded(pr.join(mine, ["book", "asset"], "left_semi").select("book", "date", "asset", "pr"))
 
 
+HOLE = "date between date '2000-02-01' and date '2000-05-31'"
+cte("bk_holes", f"select book, date, lead(date) over (partition by book order by date) as next from bk_rows where not ({HOLE})")
+
+
+@query("stale_rebalance_gaps", "O5", """select h.book, n_dates, n_stale_gaps, round(p.idle,6) as idle from (select book, count(*) as n_dates, count(*) filter (where next-date>60) as n_stale_gaps from bk_holes group by book) h
+ join (select b.book, sum(abs(case when b.next-b.date>60 then 0 else r.ret end)) as idle from bk_holes b join ret_w r on r.sector=b.book and r.date>b.date and r.date<=b.next where b.next-b.date>60 group by b.book) p on p.book=h.book""")
+def _(spark, d):
+    """Four months without a rebalance: one stale gap per book, which earns nothing."""
+    p = base(spark, d)
+    reb = materialize(inputs(p).where(f"not ({HOLE})").select("book", "date"), "holed-dates")
+    pr = op.period_returns(p, reb).join(dv.assets(spark, d).select(F.col("sector").alias("book"), "asset").distinct(), ["book", "asset"], "left_semi")
+    idle = pr.where("date = (date '2000-01-28')").groupBy("book").agg(F.sum(F.abs("pr")).alias("idle"))
+    return rounded(op.stale_gaps(reb).join(idle, "book"))
+
+
 @query("book_walk_weights", "O1 O2 O3 O4", "select book, point, date, asset, round(w,6) as w, round(scale,5) as scale, cap_bound from bk_w")
 def _(spark, d):
     x = inputs(base(spark, d))
@@ -159,6 +174,31 @@ def _(spark, d):
     return rounded(s.join(risk.historical_tail(p, k, "r"), k), 5, var=6, es=6)
 
 
+def stats_sql(cut):
+    return f"""select book, point, count(*) as n, avg(r)/stddev_samp(r)*sqrt(52) as sharpe, min(dd) as max_drawdown from (select *, wl/nullif(max(wl) over (partition by book, point order by date),0)-1 as dd from (
+  select *, product(1+r) over (partition by book, point order by date) as wl from (select book, point, date, (gross-penalty-cost)/10 as r from bk_pnl where date<=date '{cut}'))) group by book, point"""
+
+
+CUTS = {"2001-03-30": "2001-03-30", "2001-04-06": "2001-04-06"}
+
+
+@query("pnl_report_difference", "O13", f"""with a as ({stats_sql('2001-03-30')}), b as ({stats_sql('2001-04-06')}), r as (
+ select '2001-03-30' as run, book, point, unnest([{{'metric':'n','value':n::double}},{{'metric':'sharpe','value':sharpe}},{{'metric':'max_drawdown','value':max_drawdown}}], recursive:=true) from a union all
+ select '2001-04-06', book, point, unnest([{{'metric':'n','value':n::double}},{{'metric':'sharpe','value':sharpe}},{{'metric':'max_drawdown','value':max_drawdown}}], recursive:=true) from b)
+select x.run, case when x.run='2001-04-06' then '2001-03-30' end as prior_run, x.book, x.point, x.metric, round(x.value,5) as value, round(y.value,5) as prior_value, round(x.value-y.value,5) as delta
+ from r x left join r y on y.run='2001-03-30' and x.run='2001-04-06' and y.book=x.book and y.point=x.point and y.metric=x.metric""")
+def _(spark, d):
+    """Two weekly reports and what changed between them."""
+    _, pts, w, pr = walked(spark, d)
+    p = materialize(op.book_pnl(w, pr, pts, costs(spark, d)).select("book", "point", "date", (F.col("pnl") / 10).alias("r")), "book-pnl")
+    k, rows = ["book", "point"], None
+    for run, cut in CUTS.items():
+        s = bt.drawdown(p.where(F.col("date") <= cut), "r", tuple(k)).groupBy(*k).agg(F.count("r").alias("n"), bt.sharpe("r", 52).alias("sharpe"), F.min("drawdown").alias("max_drawdown"))
+        x = op.report_rows(s, k, run)
+        rows = x if rows is None else rows.unionByName(x)
+    return rounded(op.against_prior(materialize(rows, "reports"), k), 5)
+
+
 @query("book_grid_sharpe_by_split", "T10 B12", f"""with t as (select *, {SPLIT} as split from bk_mark), k as (select *, row_number() over (partition by book, point, split order by date) as k from t)
 select book, point, {SPLITS_SQL} from k where split='train' or k>1 or (split='validation' and exists (select 1 from pnl_w where date=date '1999-12-31')) or (split='test' and exists (select 1 from pnl_w where date=date '2000-12-31')) group by book, point""")
 def _(spark, d):

@@ -169,6 +169,25 @@ def _(spark, d):
     return rounded(op.real_carry(f, q, c, scale))
 
 
+OFF = "('NATION_3','NATION_17')"
+cte("off_spread", """select * from (select q.asset, q.date, q.close, far_m-near_m as gap, q.near_contract_symbol as sym, row_number() over (partition by q.asset, q.date order by far_m) as k
+  from quotes q join front_x f on q.asset=f.asset and q.date=f.date and q.near_contract_symbol=f.front_contract_symbol where near_root=far_root) where k=1""")
+
+
+@query("off_panel_curve", "J9", f"""select c.asset, c.date, c.front_contract_symbol, c.is_roll_date, round(c.close,4) as raw_close,
+  round(ln(c.close) + coalesce(sum(ln(ratio)) over (partition by c.asset order by c.date rows between 1 following and unbounded following),0),6) as log_adj_close,
+  round(s.close*case when c.asset='NATION_3' then 0.01 else 1 end/nullif(c.close,0)*365/(s.gap*30.44),6) as carry from curve_x c left join off_spread s on s.asset=c.asset and s.date=c.date where c.asset in {OFF}""")
+def _(spark, d):
+    """Two assets that have contracts but no panel series: curve and carry from their own front contracts."""
+    c, q, _ = curve_inputs(spark, d)
+    panel = c.where(f"asset not in {OFF}").select("asset").distinct()
+    curve = materialize(op.off_panel_curve(c, panel), "off-panel")
+    scale = spark.createDataFrame([("NATION_3", 0.01)], "asset string, scale double")
+    carry = op.off_panel_carry(curve, q, op.off_panel(c, panel), scale)
+    x = curve.join(carry, ["asset", "date"], "left")
+    return rounded(x.select("asset", "date", "front_contract_symbol", "is_roll_date", "raw_close", F.ln("adj_close").alias("log_adj_close"), "carry"), 6, raw_close=4)
+
+
 @query("quote_vs_proxy_error", "J10", """select s.asset, s.date, round(abs(n.close-f.close-s.close)/abs(n.close),6) as error from fspread s
  join contracts n on n.asset=s.asset and n.date=s.date and n.contract_symbol=near_contract_symbol
  join contracts f on f.asset=s.asset and f.date=s.date and f.contract_symbol=far_contract_symbol""")

@@ -5,6 +5,7 @@ from termflow.functions.cols import rounded
 from termflow.operators import backtest as bt
 from termflow.operators.signals import trend as op
 from termflow.plans.registry import cte, query
+from termflow.session import materialize
 from termflow.sources import market as mk
 
 LOOKBACKS = [4, 8, 12, 26]
@@ -58,8 +59,8 @@ select lookback, round(max(case when hold=1 then sh end),5) as hold_1, round(max
  round(max(case when hold=3 then sh end),5) as hold_3
 from (select lookback, hold, avg(pnl)/stddev_samp(pnl)*sqrt(52) as sh from s group by lookback, hold) group by lookback""")
 def _(spark, d):
-    v = mk.vol_w(spark, d)
-    g = op.momentum_grid(v, LOOKBACKS, per_month=1).join(v.select("asset", "date", "ret"), ["asset", "date"])
+    # the grid is written once, with the returns; every holding period reads it
+    g = materialize(op.momentum_grid(mk.vol_w(spark, d), LOOKBACKS, per_month=1, keep=("ret",)), "lookback-grid")
     key = ("asset", "lookback")
     out = None
     for hold in (1, 2, 3):

@@ -50,3 +50,11 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     w = df.write.mode("overwrite")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows by key over all shuffle partitions, which adaptive execution leaves apart: for keyed Python work that is heavy per row.
+
+    A following groupBy on the same keys needs no further exchange.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)

@@ -24,3 +24,15 @@ def test_fit_recovers_parameters(a, g, b):
 def test_search_says_when_it_did_not_close_in():
     p, done = garch.pattern_search(lambda x: -x[0], [0.0], [1.0], lambda x: x[0] < 1e9, rounds=5)
     assert not done and p[0] == 5
+
+
+def test_walk_forward_rows_and_values(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+    r = simulate(0.1, 0.1, 0.7, 130, 3)
+    rows = [("a", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(x)) for i, x in enumerate(r)] + [("b", dt.date(2020, 1, 1), 0.1), ("c", dt.date(2020, 1, 1), None)]
+    got = garch.walk_forward_vol(spark.createDataFrame(rows, "asset string, date date, ret double"), "ret", 100, 20, 252).orderBy("date").collect()
+    assert len(got) == 30 and {x.asset for x in got} == {"a"} and {x.fit_status for x in got} <= {"converged", "not converged"}
+    p, _ = garch.fit_checked(r[:100])
+    assert [x.garch_vol for x in got[:20]] == pytest.approx((garch.sigmas(r[:120], p)[100:] * 252 ** 0.5).tolist())

@@ -105,3 +105,29 @@ def test_whole_transform_counts_every_row_once(spark):
     s = tables["spread"].collect()
     assert [(r.asset, r.near_contract_symbol, r.far_contract_symbol, r.close) for r in s] == [("AA", "AAH24.X", "AAM24.X", 5.0)]
     assert {(r.asset, r.reject_reason): r.row_count for r in tables["rejects"].collect()} == {("AA", "user_defined"): 1, ("AA", "incomplete_key"): 1, ("BB", "venue_unsupported"): 1}
+
+
+def test_stale_gaps_are_counted_and_reports_compared(spark):
+    from termflow.operators import book
+    month_ends = [dt.date(2015, m, 28) for m in range(1, 13)] + [dt.date(2016, m, 28) for m in (1, 6, 7)]
+    reb = spark.createDataFrame([("b", d) for d in month_ends] + [("c", dt.date(2015, 1, 28))], "book string, date date")
+    assert {(r.book, r.n_dates, r.n_stale_gaps) for r in book.stale_gaps(reb).collect()} == {("b", 15, 1), ("c", 1, 0)}
+    rows = None
+    for run, v in (("2024-01-05", [("b", 1.0, 10)]), ("2024-01-12", [("b", 1.5, 11), ("new", 2.0, 3)]), ("2024-01-19", [("b", None, 12)])):
+        x = book.report_rows(spark.createDataFrame(v, "book string, sharpe double, n int"), ["book"], run)
+        rows = x if rows is None else rows.unionByName(x)
+    got = {(r.run, r.book, r.metric): (r.prior_run, r.prior_value, r.delta) for r in book.against_prior(rows, ["book"]).collect()}
+    assert got["2024-01-05", "b", "sharpe"] == (None, None, None)
+    assert got["2024-01-12", "b", "sharpe"] == ("2024-01-05", 1.0, 0.5) and got["2024-01-12", "new", "n"] == ("2024-01-05", None, None)
+    assert got["2024-01-19", "b", "sharpe"] == ("2024-01-12", 1.5, None) and got["2024-01-19", "b", "n"] == ("2024-01-12", 11.0, 1.0)
+
+
+def test_known_expiries_take_the_last_listed_date_before(spark):
+    from termflow.operators import curve
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(0, 40, 2)]
+    rows = [("a", d, s, 2024, c, 10.0, 5.0 if s == "H" else 1.0) for d in days for s, c in (("H", "H"), ("M", "M"))]
+    c = spark.createDataFrame(rows, "asset string, date date, contract_symbol string, expiry_year int, expiry_code string, close double, volume double")
+    ex = spark.createDataFrame([("a", "H", dt.date(2024, 1, 22)), ("a", "M", dt.date(2024, 12, 1))], "asset string, contract_symbol string, expiry_date date")
+    got = {r.date: r.front_contract_symbol for r in curve.assign_front(c, 2, 3, expiry=ex).collect()}
+    # the expiry falls between the listed days 21 and 23: the roll comes three rows before the 21st
+    assert got[dt.date(2024, 1, 13)] == "H" and got[dt.date(2024, 1, 15)] == "M"
