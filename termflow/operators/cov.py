@@ -176,8 +176,8 @@ def gerber_correlation(panel: DataFrame, ret="ret", window=252, freq="monthly",
     return matrix_at(windows(panel, ret, window, freq), est)
 
 
-def gerber_covariance(panel: DataFrame, ret="ret", window=252, freq="monthly", min_frac=0.7, c=0.5) -> DataFrame:
-    """Co-movement scores made complete and positive semi-definite, scaled by window deviations."""
+def gerber_covariance(panel: DataFrame, ret="ret", window=252, freq="monthly", min_frac=0.7, c=0.5, repair=True) -> DataFrame:
+    """Co-movement scores made complete and (unless repair is off) positive semi-definite, scaled by window deviations."""
     def est(x):
         x = _covered(x, int(window * min_frac))
         if x.shape[1] < 2:
@@ -186,7 +186,7 @@ def gerber_covariance(panel: DataFrame, ret="ret", window=252, freq="monthly", m
         if len(names) < 2:
             return None
         s = x[names].std(ddof=1).to_numpy()
-        return names, nearest_psd(g) * np.outer(s, s)
+        return names, (nearest_psd(g) if repair else g) * np.outer(s, s)
     return matrix_at(windows(panel, ret, window, freq), est)
 
 

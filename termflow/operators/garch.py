@@ -94,11 +94,25 @@ def walk_forward_vol(panel: DataFrame, ret: str, warmup: int = 500, refit: int =
     return s.groupBy(key).applyInPandas(fold, f"{key} string, date date, garch_vol double, fit_status string")
 
 
-def dcc_path(streams: DataFrame, x: str = "pnl", key: str = "set_id") -> DataFrame:
+def filtered_vol(panel: DataFrame, ret: str, params: tuple[float, float, float], warmup: int = 500, ppy: int = 252, key: str = "asset") -> DataFrame:
+    """(key, date, garch_vol) of given parameters: the long-run variance is that of the first `warmup` returns, rows after them are given."""
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        r = pdf["r"].to_numpy(dtype=float)
+        sig = sigmas(r, (*params, float(np.mean(r[:warmup] ** 2)))) if len(r) > warmup else r
+        return pd.DataFrame({key: pdf[key], "date": pdf["date"], "garch_vol": sig * math.sqrt(ppy)}).iloc[warmup:]
+
+    s = spread(panel.where(F.col(ret).isNotNull()).select(key, "date", F.col(ret).alias("r")), key)
+    return s.groupBy(key).applyInPandas(fold, f"{key} string, date date, garch_vol double")
+
+
+def dcc_path(streams: DataFrame, x: str = "pnl", key: str = "set_id", volatility: tuple[float, float, float] | None = None,
+             dynamics: tuple[float, float] | None = None) -> DataFrame:
     """(set, date, i, j, corr, cov): dynamic conditional correlation of each stream set.
 
     One fold per set over complete rows: GJR variances per stream, then the two-parameter recursion
     around the unconditional correlation, its parameters picked by likelihood; `converged` tells whether that search closed in.
+    Given parameters (`volatility`: a, g, b of every stream, `dynamics`: a, b of the correlation) are taken as they are.
     """
     def correlations(z, qbar, a, b):
         path, q = np.empty((len(z), *qbar.shape)), qbar
@@ -112,7 +126,7 @@ def dcc_path(streams: DataFrame, x: str = "pnl", key: str = "set_id") -> DataFra
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         m = pdf.pivot(index="date", columns="stream", values=x).sort_index().dropna()
         r = m.to_numpy()
-        sg = np.column_stack([sigmas(c, fit(c)) for c in r.T])
+        sg = np.column_stack([sigmas(c, fit(c) if volatility is None else (*volatility, float(np.mean(c * c)))) for c in r.T])
         z = r / sg
         qbar = np.corrcoef(z.T)
 
@@ -125,7 +139,7 @@ def dcc_path(streams: DataFrame, x: str = "pnl", key: str = "set_id") -> DataFra
 
         ok = lambda p: (p[0] >= 0) & (p[1] >= 0) & (p[0] + p[1] < 0.9995)
         first = np.array([(a, b) for a in (0.01, 0.04, 0.1) for b in (0.3, 0.7, 0.88)]).T
-        p, converged = pattern_search(nll, first[:, int(np.argmin(nll(first)))], (0.02, 0.06), ok, 2e-3)
+        p, converged = (dynamics, True) if dynamics else pattern_search(nll, first[:, int(np.argmin(nll(first)))], (0.02, 0.06), ok, 2e-3)
         best = (None, correlations(z, qbar, *p))
         rows, names = [], list(m.columns)
         for i, ni in enumerate(names):

@@ -79,8 +79,8 @@ def tau_pvalue(tau: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2.0))
 
 
-def unit_root_tau(e: np.ndarray) -> float:
-    """Augmented Dickey-Fuller statistic without constant; lag count by AIC on a common sample."""
+def unit_root_tau(e: np.ndarray, lags: int | None = None) -> float:
+    """Augmented Dickey-Fuller statistic without constant; lag count by AIC on a common sample unless given."""
     d = np.diff(e)
     n = len(e)
     top = max(0, min(int(math.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 1))
@@ -96,13 +96,13 @@ def unit_root_tau(e: np.ndarray) -> float:
         X, _, res, m = regress(lags, top)
         return m * (math.log(2 * math.pi) + math.log(res @ res / m) + 1) + 2 * X.shape[1]
 
-    best = min(range(top + 1), key=aic)
+    best = min(range(top + 1), key=aic) if lags is None else lags
     X, beta, res, m = regress(best, best)
     s2 = res @ res / (m - X.shape[1])
     return float(beta[0] / math.sqrt(s2 * np.linalg.inv(X.T @ X)[0, 0]))
 
 
-def engle_granger(pairs: DataFrame, y: str, x: str, window: int = 252, step: int = 21, key: str = "pair") -> DataFrame:
+def engle_granger(pairs: DataFrame, y: str, x: str, window: int = 252, step: int = 21, key: str = "pair", lags: int | None = None) -> DataFrame:
     """(pair, date, stat, pvalue) for every step-th trailing window of jointly observed rows.
 
     Each row joins the at most ceil(window/step) windows that hold it; every (pair, window) is then an
@@ -121,7 +121,7 @@ def engle_granger(pairs: DataFrame, y: str, x: str, window: int = 252, step: int
         X = np.column_stack([pdf["x"].to_numpy(), np.ones(len(pdf))])
         try:
             beta, *_ = np.linalg.lstsq(X, yv, rcond=None)
-            tau = unit_root_tau(yv - X @ beta)
+            tau = unit_root_tau(yv - X @ beta, lags)
         except Exception:  # an unsolvable window is skipped
             return pd.DataFrame(columns=[key, "date", "stat", "pvalue"], dtype=object)
         return pd.DataFrame({key: [pdf[key].iloc[0]], "date": [pdf["date"].iloc[-1]], "stat": [tau], "pvalue": [tau_pvalue(tau)]})

@@ -59,6 +59,17 @@ def _(spark, d):
 cte("lw_holes", "select rd, i, j, case when month(rd)%5=0 and least(i,j)='NATION_1' and greatest(i,j)='NATION_3' then null else cov end as cov from lw_x")
 
 
+# Before the eigenvalue repair the scaled scores are plain products; the deviations are those of the window.
+cte("gsd", f"select rd, asset, stddev_samp(ret) as s from cwin group by rd, asset having count(ret)>={int(WIN * .7)}")
+
+
+@query("comovement_covariance_unrepaired", "P5", """select g.rd as rebalance_date, g.i, g.j, round(g.c*a.s*b.s,4) as cov from (
+ select a.rd, a.asset as i, b.asset as j, case when a.asset=b.asset then 1 else greatest(-1,least(1,sum(a.u*b.u)/nullif(sum(case when a.u<>0 or b.u<>0 then 1 else 0 end),0))) end as c
+  from gwin a join gwin b on a.rd=b.rd and a.date=b.date where a.u is not null and b.u is not null group by a.rd, a.asset, b.asset) g join gsd a on a.rd=g.rd and a.asset=g.i join gsd b on b.rd=g.rd and b.asset=g.j""")
+def _(spark, d):
+    return rounded(op.gerber_covariance(mk.ret_w(spark, d), window=WIN, repair=False), 4)
+
+
 @query("complete_matrix_dates", "F16", """select rd as rebalance_date, i, j, round(cov,4) as cov from lw_holes where rd not in (select rd from lw_holes where cov is null)""")
 def _(spark, d):
     a = dv.table(spark, d, "nation").select(F.col("n_name").alias("asset"))
@@ -67,10 +78,11 @@ def _(spark, d):
     return rounded(op.complete_dates(c, a), 4)
 
 
-@query("complete_submatrix_elimination", "F17")
+@query("complete_submatrix_elimination", "F17", """select a.rd as rebalance_date, a.asset as i, b.asset as j, case when a.asset=b.asset then 1 else round(greatest(-1,least(1,sum(a.u*b.u)/nullif(sum(case when a.u<>0 or b.u<>0 then 1 else 0 end),0))),6) end as cov
+ from gwin a join gwin b on a.rd=b.rd and a.date=b.date where a.u is not null and b.u is not null and a.asset<>'NATION_4' and b.asset<>'NATION_4' group by a.rd, a.asset, b.asset""")
 def _(spark, d):
     c = op.gerber_correlation(mk.ret_w(spark, d), window=WIN)
-    return op.complete_submatrix(c.withColumn("cov", F.when((F.col("i") == F.col("j")) | ((F.col("i") != "NATION_4") & (F.col("j") != "NATION_4")), F.col("cov"))))
+    return rounded(op.complete_submatrix(c.withColumn("cov", F.when((F.col("i") == F.col("j")) | ((F.col("i") != "NATION_4") & (F.col("j") != "NATION_4")), F.col("cov")))))
 
 
 @query("implied_pair_correlation", "P15", "select c.rd as rebalance_date, c.i, c.j, round(c.cov/sqrt(a.cov*b.cov),6) as corr from lw_x c join lw_x a on a.rd=c.rd and a.i=c.i and a.j=c.i join lw_x b on b.rd=c.rd and b.i=c.j and b.j=c.j where c.i<c.j")
@@ -97,6 +109,39 @@ def _(spark, d):
     return op.league_table(materialize(min_variance_scores(spark, d), "scores"))
 
 
+# Minimum variance of the shrunk matrix and of its diagonal: elimination step by step on [S | 1], no pivoting as S is positive definite.
+cte("mv_names", "select rd, list(i order by i) as names from (select distinct rd, i from lw_x) group by rd")
+cte("mv_m", """select e.e as estimator, rd, list(row order by i) as m from (select rd, i, e, list_append(list(case when e='shrunk' or i=j then cov else 0 end order by j), 1.0::double) as row
+  from lw_x cross join (values ('shrunk'),('diagonal')) t(e) group by rd, i, e) e group by e.e, rd""")
+cte("mv_g", """select estimator, rd, 0 as k, m from mv_m union all
+ select estimator, rd, k+1, list_transform(m, lambda r, i: case when i=k+1 then list_transform(r, lambda v: v/r[k+1]) else list_transform(r, lambda v, c: v-r[k+1]*m[k+1][c]/m[k+1][k+1]) end) from mv_g where k<len(m)""")
+cte("mv_w", """select g.estimator, g.rd, unnest(n.names) as asset, unnest(list_transform(g.m, lambda r: r[len(r)]/t.s)) as w, 1/t.s as forecast_var from (select * from mv_g where k=len(m)) g join mv_names n on n.rd=g.rd
+ join (select estimator, rd, list_sum(list_transform(m, lambda r: r[len(r)])) as s from mv_g where k=len(m)) t on t.estimator=g.estimator and t.rd=g.rd""")
+cte("mv_next", "select estimator, rd, lead(rd) over (partition by estimator order by rd) as nx from (select distinct estimator, rd from mv_w)")
+cte("mv_day", """select n.estimator, n.rd, p.date, sum(w.w*p.ret) as r, max(w.forecast_var) as fv from mv_next n join ret_w p on p.date>n.rd and p.date<=n.nx join mv_w w on w.estimator=n.estimator and w.rd=n.rd and w.asset=p.asset
+ group by n.estimator, n.rd, p.date having count(*)=count(p.ret)""")
+cte("mv_s", """select *, case when rv>0 and fv>0 then rv/fv-ln(rv/fv)-1 end as qlike from (select estimator, rd, max(fv) as fv, avg(r*r) as rv from mv_day group by estimator, rd)""")
+
+
+def diagonal_scores(spark, d):
+    r = materialize(mk.ret_w(spark, d).select("asset", "date", "ret"), "returns")
+    c = materialize(op.shrunk_covariance(r, window=WIN, min_frac=FRAC), "shrunk")
+    both = c.withColumn("estimator", F.lit("shrunk")).unionByName(c.withColumn("cov", F.when(F.col("i") == F.col("j"), F.col("cov")).otherwise(0.0)).withColumn("estimator", F.lit("diagonal")))
+    return materialize(op.forecast_accuracy(materialize(op.min_variance(both), "minvar"), r), "scores")
+
+
+@query("min_variance_shrunk_and_diagonal", "P14", "select estimator, rd as rebalance_date, round(fv,6) as forecast_var, round(rv,6) as realized_var, round(qlike,4) as qlike from mv_s")
+def _(spark, d):
+    return rounded(diagonal_scores(spark, d).drop("condition"), 6, qlike=4)
+
+
+@query("covariance_league_of_two", "P16", """with c as (select * from mv_s where qlike is not null and rd in (select rd from mv_s where qlike is not null group by rd having count(*)=2)),
+ w as (select rd, arg_min(estimator, qlike) as e from c group by rd)
+select c.estimator, round(avg(qlike),4) as mean_loss, count(*) as n, round(count(*) filter (where w.e=c.estimator)/count(*),5) as win_rate from c join w using (rd) group by c.estimator""")
+def _(spark, d):
+    return rounded(op.league_table(diagonal_scores(spark, d)), 4, win_rate=5)
+
+
 # ---- streams: one damped return series per sector
 
 
@@ -173,6 +218,28 @@ def _(spark, d):
     return garch.dcc_path(pairs.select("set_id", "date", F.inline(legs)))
 
 
+# The recursions with given parameters: variances per stream and pair, then the correlation around its unconditional level.
+cte("dc_lr", "select a, b, avg(xa*xa) as la, avg(xb*xb) as lb from stp group by a, b")
+cte("dc_v", """select p.a, p.b, p.t, la as va, lb as vb, xa, xb from stp p join dc_lr using (a, b) where t=1 union all
+ select p.a, p.b, p.t, la*(1-0.05-0.85-0.02)+(0.05+case when v.xa<0 then 0.04 else 0 end)*v.xa*v.xa+0.85*v.va, lb*(1-0.05-0.85-0.02)+(0.05+case when v.xb<0 then 0.04 else 0 end)*v.xb*v.xb+0.85*v.vb, p.xa, p.xb
+ from dc_v v join stp p on p.a=v.a and p.b=v.b and p.t=v.t+1 join dc_lr l on l.a=v.a and l.b=v.b""")
+cte("dc_z", "select *, xa/sqrt(va) as za, xb/sqrt(vb) as zb from dc_v")
+cte("dc_bar", "select a, b, covar_samp(za,zb)/(stddev_samp(za)*stddev_samp(zb)) as q from dc_z group by a, b")
+cte("dc_q", """select z.a, z.b, z.t, 1.0::double as qa, 1.0::double as qb, q as qc from dc_z z join dc_bar using (a, b) where t=1 union all
+ select d.a, d.b, z.t+1, 0.05+0.03*za*za+0.92*qa, 0.05+0.03*zb*zb+0.92*qb, 0.05*r.q+0.03*za*zb+0.92*qc from dc_q d join dc_z z on z.a=d.a and z.b=d.b and z.t=d.t join dc_bar r on r.a=d.a and r.b=d.b
+ where z.t<(select max(t) from stp m where m.a=d.a and m.b=d.b)""")
+
+
+@query("conditional_correlation_given", "P8", "select q.a || '+' || q.b as set_id, p.date, round(qc/sqrt(qa*qb),5) as corr, round(qc/sqrt(qa*qb)*sqrt(va*vb),8) as cov from dc_q q join dc_v v on v.a=q.a and v.b=q.b and v.t=q.t join stp p on p.a=q.a and p.b=q.b and p.t=q.t")
+def _(spark, d):
+    s = materialize(streams(spark, d), "streams")
+    other = s.select(F.col("stream").alias("other"), "date", F.col("pnl").alias("pnl2"))
+    pairs = s.join(other, "date").where("stream < other").withColumn("set_id", F.concat_ws("+", "stream", "other"))
+    legs = F.array(F.struct("stream", "pnl"), F.struct(F.col("other").alias("stream"), F.col("pnl2").alias("pnl")))
+    c = garch.dcc_path(pairs.select("set_id", "date", F.inline(legs)), volatility=(0.05, 0.04, 0.85), dynamics=(0.03, 0.92))
+    return rounded(c.where("i < j").select("set_id", "date", "corr", "cov"), 5, cov=8)
+
+
 @query("historical_tail_risk", "P17", """select s.stream, round(v,6) as "var", round(avg(pnl) filter (where pnl<=v),6) as es from st s join (select stream, quantile_cont(pnl,0.05) as v from st group by stream) q on s.stream=q.stream group by s.stream, v""")
 def _(spark, d):
     return rounded(risk.historical_tail(streams(spark, d), ["stream"]))

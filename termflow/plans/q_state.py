@@ -25,6 +25,17 @@ def _(spark, d):
     return garch.walk_forward_vol(mk.ret_w(spark, d), "ret", 104, 20, 52)
 
 
+cte("gv_n", "select asset, date, ret, row_number() over (partition by asset order by date) as t, count(*) over (partition by asset) as n from ret_w where ret is not null")
+cte("gv_lr", "select asset, avg(ret*ret) as lr from gv_n where t<=104 and n>104 group by asset")
+cte("gv_x", """select asset, cast(1 as bigint) as t, lr as s2 from gv_lr union all
+ select g.asset, n.t+1, lr*(1-0.05-0.85-0.02)+(0.05+case when ret<0 then 0.04 else 0 end)*ret*ret+0.85*s2 from gv_x g join gv_n n on n.asset=g.asset and n.t=g.t join gv_lr l on l.asset=g.asset where n.t<n.n""")
+
+
+@query("garch_filtered_vol", "V7", "select n.asset, n.date, round(sqrt(s2*52),6) as garch_vol from gv_x g join gv_n n on n.asset=g.asset and n.t=g.t where n.t>104")
+def _(spark, d):
+    return rounded(garch.filtered_vol(mk.ret_w(spark, d), "ret", (0.05, 0.04, 0.85), 104, 52))
+
+
 def don_sql(a, b):
     return f"""select asset, date, close as p, '{a}/{b}' as system, row_number() over (partition by asset order by date) as t, case when count(close) over x={a} then max(close) over x end as eh, case when count(close) over x={a} then min(close) over x end as el,
   case when count(close) over y={b} then max(close) over y end as xh, case when count(close) over y={b} then min(close) over y end as xl from panel_w
@@ -79,6 +90,26 @@ def _(spark, d):
     return op.cointegration_report(t, registry(spark, d).select("pair", "leg_y", "leg_x"))
 
 
+# The same test without lagged changes has a closed form; p by the published surface, its normal tail by Simpson's rule.
+cte("eg_w", "select k.pair, k.w, n.t, n.date, n.ly, n.lx from (select pair, unnest(range((max(t)-104)//26+1)) as w from kal_n group by pair having max(t)>=104) k join kal_n n on n.pair=k.pair and n.t>26*k.w and n.t<=26*k.w+104")
+cte("eg_b", "select pair, w, regr_slope(ly,lx) as b, regr_intercept(ly,lx) as a, max(date) as date from eg_w group by pair, w")
+cte("eg_e", "select w.pair, w.w, ly-a-b*lx as e, lag(ly-a-b*lx) over (partition by w.pair, w.w order by t) as l from eg_w w join eg_b using (pair, w)")
+cte("eg_t", """select pair, w, sxy/sxx/sqrt((syy-sxy*sxy/sxx)/(n-1)/sxx) as tau from (select pair, w, sum(l*(e-l)) as sxy, sum(l*l) as sxx, sum((e-l)*(e-l)) as syy, count(*) as n from eg_e where l is not null group by pair, w)""")
+cte("eg_p", """select pair, w, tau, case when tau>0.92 then 1.0 when tau<-18.86 then 0.0 else 0.5-sign(z)*-1*list_sum([case when i=0 or i=200 then 1 when i%2=1 then 4 else 2 end*exp(-0.5*pow(abs(z)*i/200,2)) for i in range(201)])*abs(z)/600/sqrt(2*pi()) end as p from (
+ select *, case when tau<=-2.62 then 2.92+1.5012*tau+0.039796*tau*tau else 2.1945+0.64695*tau-0.29198*tau*tau-0.042377*tau*tau*tau end as z from eg_t)""")
+
+
+@query("engle_granger_no_lags", "G39", "select p.pair, b.date, round(tau,5) as stat, round(p,5) as pvalue from eg_p p join eg_b b on b.pair=p.pair and b.w=p.w")
+def _(spark, d):
+    return rounded(op.engle_granger(pair_logs(spark, d), "ly", "lx", 104, 26, lags=0), 5)
+
+
+@query("cointegration_share_no_lags", "G40", "select s.pair, s.leg_y, s.leg_x, coalesce(n,0) as n_windows, round(f,6) as fraction from pairs s left join (select pair, count(*) as n, avg(case when p<0.05 then 1.0 else 0 end) as f from eg_p group by pair) e on e.pair=s.pair")
+def _(spark, d):
+    t = op.engle_granger(pair_logs(spark, d), "ly", "lx", 104, 26, lags=0)
+    return rounded(op.cointegration_report(t, registry(spark, d).select("pair", "leg_y", "leg_x")))
+
+
 CH = ["vol", "mom", "volume"]
 
 
@@ -124,6 +155,35 @@ def _(spark, d):
     return rounded(factor.total_r2(factor.residuals(x, factor.loadings(x, 1))), 5)
 
 
+# One factor: residuals of the power vector, then elimination on [mean Z'Z | mean d].
+cte("an_g", "select unnest(['const','mom','vol','volume']) as l, unnest(v) as g from pw where k=300")
+cte("an_d", "select x.date, x.l, x.x-g.g*f.f as d from xm x join an_g g using (l) join (select date, sum(x*g) as f from xm join an_g using (l) group by date) f on f.date=x.date")
+cte("an_zz", "select l, m, avg(zz) as zz from (select a.date, a.l, b.l as m, sum(a.z*b.z) as zz from char_w a join char_w b on a.asset=b.asset and a.date=b.date group by all) group by l, m")
+cte("an_m", "select list(row order by l) as m from (select z.l, list_append(list(zz order by m), max(d.d)) as row from an_zz z join (select l, avg(d) as d from an_d group by l) d on d.l=z.l group by z.l)")
+cte("an_e", """select 0 as k, m from an_m union all select k+1, list_transform(m, lambda r, i: case when i=k+1 then list_transform(r, lambda v: v/r[k+1]) else list_transform(r, lambda v, c: v-r[k+1]*m[k+1][c]/m[k+1][k+1]) end) from an_e where k<4""")
+cte("an_x", "select unnest(['const','mom','vol','volume']) as l, unnest(list_transform(m, lambda r: r[5])) as gamma from an_e where k=4")
+
+
+def one_factor(spark, d):
+    """(characteristics, anomaly loading) with one factor removed"""
+    from termflow.session import materialize
+    z = materialize(chars(spark, d), "chars")
+    x = materialize(factor.managed_portfolios(z), "portfolios")
+    return z, factor.anomaly_loading(factor.residuals(x, factor.loadings(x, 1)), factor.characteristic_products(z))
+
+
+@query("anomaly_loading_one_factor", "G46", "select l, round(gamma,6) as gamma, round(sum(gamma*gamma) over (),6) as statistic from an_x")
+def _(spark, d):
+    from pyspark.sql import Window as W, functions as F
+    g = one_factor(spark, d)[1]
+    return rounded(g.withColumn("statistic", F.sum(F.col("gamma") * F.col("gamma")).over(W.partitionBy(F.lit(0)))))
+
+
+@query("anomaly_signal_one_factor", "G46", "select asset, date, round(sum(z*gamma),6) as signal from char_w join an_x using (l) group by asset, date")
+def _(spark, d):
+    return rounded(factor.alpha_signal(*one_factor(spark, d)))
+
+
 @query("anomaly_alpha_test", "G46")
 def _(spark, d):
     from termflow.session import materialize
