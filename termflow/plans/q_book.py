@@ -119,14 +119,38 @@ def _(spark, d):
     return rounded(op.allocate(op.book_pnl(w, pr, pts, costs(spark, d)), {"ASIA": 0.5}, by=("point", "date")))
 
 
-@query("allocator_with_regime", "O8 J15")
+def walk_sql(rows, prl, ppy=52, hl=26):
+    """Recursion of one base-point walk over rows(book, t, a, s): diagonal risk, so each solve is elementwise."""
+    dec = f"(1-exp(-ln(2.0::double)/{hl}))"
+    return f"""select book, cast(0 as bigint) as t, list_transform(a, lambda v: 0.0::double) as x, 0.01::double/{ppy} as va from {rows} where t=1
+ union all select book, t, list_transform(x3, lambda v: greatest(-0.3,least(0.3,v*scale))), va from (select *, case when rv>1e-8 then greatest(0.1,least(5,least((0.1/rv)**2, cap))) else 1 end as scale from (
+  select *, sqrt(greatest(va,0)*{ppy}) as rv, case when list_max(list_transform(x3, lambda v: abs(v)))>0 then 0.3/list_max(list_transform(x3, lambda v: abs(v))) else 1e300 end as cap from (
+   select b.book, r.t, list_transform(r.a, lambda v, i: greatest(-0.3,least(0.3,(v+0.5*b.x[i])/(r.s[i]+0.5)))) as x3, case when q.pr is null then b.va else (1-{dec})*b.va+{dec}*list_dot_product(b.x, q.pr)**2 end as va
+   from {{own}} b join {rows} r on r.book=b.book and r.t=b.t+1 left join {prl} q on q.book=b.book and q.t=b.t)))"""
+
+
+def walk_ctes(name, raw):
+    """Every table of a walk over raw(book, date, a, s, assets) that holds only complete dates."""
+    cte(f"{name}_t", f"select *, row_number() over (partition by book order by date) as t, lead(date) over (partition by book order by date) as next from {raw} where book in (select book from {raw} group by book having count(*)>=20)")
+    cte(f"{name}_pr", f"select b.book, b.date, b.t, r.asset, case when b.next-b.date>60 then 0 else coalesce(sum(r.ret),0) end as pr from {name}_t b join ret_w r on list_contains(b.assets, r.asset) and r.date>b.date and r.date<=b.next group by b.book, b.date, b.t, r.asset, b.next")
+    cte(f"{name}_prl", f"select book, t, list(pr order by asset) as pr from {name}_pr group by book, t")
+    cte(f"{name}_x", walk_sql(f"{name}_t", f"{name}_prl").format(own=f"{name}_x"))
+    cte(f"{name}_w", f"select x.book, r.date, x.t, unnest(r.assets) as asset, unnest(x.x) as w from {name}_x x join {name}_t r on r.book=x.book and r.t=x.t")
+
+
+# Regimes act on the alphas before the walk; a book's inactive dates are no rebalance dates.
+cte("rg_raw", """select r.book, r.date, list_transform(r.a, lambda v: v*coalesce(c.alpha_multiplier,1)) as a, r.s, r.assets from bk_rows r left join act_x c on c.date=r.date+1 and c.book=r.book where coalesce(c.active, true)""")
+walk_ctes("rg", "rg_raw")
+
+
+@query("allocator_with_regime", "O8 J15", """select date, round(sum(pnl),6) as pnl from (select w.book, w.date, sum(w.w*p.pr) as pnl from rg_w w join rg_pr p on p.book=w.book and p.t=w.t and p.asset=w.asset group by 1, 2) group by date""")
 def _(spark, d):
     acts = regime_acts(spark, d).withColumn("date", F.date_sub("date", 1))
     p = base(spark, d)
     a = asof.apply_regime(alphas(p), acts)
     x = materialize(op.book_inputs(a, diagonal(p), p), "book-inputs")
     w = op.run_books(x, op.grid(x, POINTS[:1]))
-    return op.allocate(op.book_pnl(w, op.period_returns(p, x.select("book", "date"))))
+    return rounded(op.allocate(op.book_pnl(w, op.period_returns(p, x.select("book", "date")))))
 
 
 @query("asset_contributions", "O6 O11", "select book, point, date, asset, round(contribution,6) as contribution from bk_c")
@@ -228,6 +252,31 @@ def _(spark, d):
     return bt.sharpe_by_split(bt.split_tag(op.daily_mark(w, r), "1999-12-31", "2000-12-31", ("book", "point")), ["book"], ppy=52)
 
 
+# The swap with diagonal estimators, by month: sample and shrunk variances give different books from the same alphas.
+cte("sv_var", "select 'sample' as e, rd, i, sxx/(n-1) as v from cpair where i=j union all select 'shrunk', rd, i, cov from lw_x where i=j")
+cte("sv_raw", """select e || '|' || book as book, date, a, s, assets from (select v.e, r.book, r.date, r.a, r.assets, list(v.v order by v.i) as s from bk_rows r join sv_var v on v.rd=r.date and list_contains(r.assets, v.i) group by v.e, r.book, r.date, r.a, r.assets) where len(s)=len(a)""")
+walk_ctes("sv", "sv_raw")
+cte("sv_mark", """select g.book, g.date, coalesce(sum(g.h*r.ret),0) as pnl from (select book, asset, date, lag(held) over (partition by book, asset order by date) as h from (
+  select a.book, a.asset, c.date, last_value(w.w ignore nulls) over (partition by a.book, a.asset order by c.date) as held from (select distinct book, asset from sv_w) a cross join cal_n c left join sv_w w on w.book=a.book and w.asset=a.asset and w.date=c.date)) g
+  left join ret_w r on r.asset=g.asset and r.date=g.date group by g.book, g.date""")
+
+
+@query("book_variance_swap", "O10", f"""select book, {SPLITS_SQL} from (select *, row_number() over (partition by book, split order by date) as k from (select *, {SPLIT} as split from sv_mark))
+ where split='train' or k>1 or (split='validation' and exists (select 1 from pnl_w where date=date '1999-12-31')) or (split='test' and exists (select 1 from pnl_w where date=date '2000-12-31')) group by book""")
+def _(spark, d):
+    r = base(spark, d)
+    m = materialize(cv.moment_covariances(r, window=52, min_frac=0.3), "swap-moments")
+    out = None
+    for name in ("sample", "shrunk"):
+        c = m.select("rebalance_date", "i", "j", F.when(F.col("i") == F.col("j"), F.col(name)).otherwise(0.0).alias("cov"))
+        x = op.book_inputs(alphas(r), c, r).withColumn("book", F.concat_ws("|", F.lit(name), "book"))
+        out = x if out is None else out.unionByName(x)
+    x = materialize(out, "swap-inputs")
+    w = op.run_books(x, op.grid(x, POINTS[:1]))
+    t = bt.split_tag(op.daily_mark(w, r), "1999-12-31", "2000-12-31", ("book", "point"))
+    return rounded(bt.sharpe_by_split(t, ["book"], ppy=52), 5)
+
+
 @query("adopted_book_inputs", "O9 K5", """select book, date, len(a) as n_assets, round(list_sum(a),5) as alpha_sum from bk_rows where book in (select book from bk_rows group by book having count(*)>=20)""")
 def _(spark, d):
     x = inputs(base(spark, d))
