@@ -6,7 +6,8 @@ how labels follow each other. Weights are fitted by gradient ascent on the likel
 decoding labels the blocks of a page, and the blocks labelled as content make the text.
 
 Cases: null, empty or text-free html gives an empty text; broken markup is read as far as it goes (unclosed paragraphs end at
-the next block); scripts, styles, comments and hidden elements have no text; ties in decoding go to "not content"; repeated
+the next block, quotes count only in values, a bracket that opens no tag is text); scripts, styles, comments and hidden elements
+have no text; any markup is read in linear time; elements nested over 512 deep are siblings; ties in decoding go to "not content"; repeated
 rows give equal texts; an empty table gives an empty result; other columns stay.
 """
 from __future__ import annotations
@@ -29,8 +30,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe svg math head object canvas audio video".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Elements nested deeper than this become siblings, as in browsers.
+MAX_DEPTH = 512
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: One attribute; quotes count only after the equals sign.
+_ATTR = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_REST = re.compile(r"[\s/=]*")
+_KNOWN = frozenset("class id role style hidden aria-hidden aria-label".split())
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -49,6 +56,8 @@ def _names(attrs: str) -> tuple[frozenset[str], bool]:
     words, hidden = set(), False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
+        if name not in _KNOWN:
+            continue
         if name == "style":
             hidden |= bool(_HIDDEN.search(value.lower()))
         elif name == "hidden" or name == "aria-hidden":
@@ -60,13 +69,65 @@ def _names(attrs: str) -> tuple[frozenset[str], bool]:
     return frozenset(words), hidden
 
 
+class Scanner:
+    """Tags of a page from left to right in linear time, whatever quotes and brackets are left open."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.dead: set[int] = set()  # ends of attributes from which no tag end follows
+        self.ended: dict[str, int] = {}
+
+    def tag_end(self, at: int) -> int:
+        """Place of the bracket that closes the tag whose attributes start at `at`, -1 if none does."""
+        seen = []
+        while at <= self.last and at not in self.dead:
+            seen.append(at)
+            at = _REST.match(self.page, at).end()
+            if at > self.last:
+                break
+            if self.page[at] == ">":
+                return at
+            at = _ATTR.match(self.page, at).end()
+        self.dead.update(seen)
+        return -1
+
+    def find(self, what: str, at: int) -> int:
+        """Next place of a fixed text, remembered, so that a missing one is sought once."""
+        known = self.ended.get(what, -1)
+        if known < at:
+            known = self.page.find(what, at)
+            self.ended[what] = known = len(self.page) if known < 0 else known
+        return known
+
+    def end_of(self, tag: str, at: int) -> re.Match | None:
+        """The next end tag of a raw element."""
+        if self.ended.get("</" + tag, 0) < 0:
+            return None
+        m = _end_tag(tag).search(self.page, at)
+        if not m:
+            self.ended["</" + tag] = -1
+        return m
+
+
+@lru_cache(64)
+def _end_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
+_BODY = re.compile(r"<body[\s>]", re.I)
+_NONE: frozenset[str] = frozenset()
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """Leaf blocks in page order."""
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], bool]] = []  # tag, names, hidden
+    # tag, whether it or an element above is hidden, all tags and all names down to it
+    stack: list[tuple[str, bool, frozenset[str], frozenset[str]]] = []
+    count: dict[str, int] = {}
     parts: list[tuple[str, bool]] = []
+    scan = Scanner(page)
 
     def flush() -> None:
         if not parts:
@@ -74,51 +135,72 @@ def blocks_of(page: str | None) -> list[Block]:
         text = _SPACE.sub(" ", html_lib.unescape("".join(p for p, _ in parts))).strip()
         if text:
             linked = sum(len(p.strip()) for p, a in parts if a)
-            tags = frozenset(t for t, _, _ in stack)
-            names = frozenset().union(*(n for _, n, _ in stack))
-            leaf = next((t for t, _, _ in reversed(stack) if t in BLOCK), "body")
+            _, _, tags, names = stack[-1] if stack else ("", False, _NONE, _NONE)
+            leaf = next((t[0] for t in reversed(stack) if t[0] in BLOCK), "body")
             out.append(Block(text, tags, names, leaf, linked))
         parts.clear()
 
     def close(upto: int) -> None:
-        if any(t in BLOCK for t, _, _ in stack[upto:]):
+        if any(t[0] in BLOCK for t in stack[upto:]):
             flush()
+        for t in stack[upto:]:
+            count[t[0]] -= 1
         del stack[upto:]
 
+    def top(*tags: str) -> int:
+        """Place of the innermost open element of these, -1 for none."""
+        if not any(count.get(t) for t in tags):
+            return -1
+        return next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in tags)
+
     def say(text: str) -> None:
-        if text and not any(h for _, _, h in stack):
-            parts.append((text, any(t == "a" for t, _, _ in stack)))
+        if text and not (stack and stack[-1][1]):
+            parts.append((text, count.get("a", 0) > 0))
 
     at, n = 0, len(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            say(page[at:])
+        start = scan.find("<", at)
+        say(page[at:start])
+        if start >= n:
             break
-        say(page[at:m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                say(m[0][9:-3])
+        if page.startswith("<!--", start):
+            at = min(n, scan.find("-->", start + 4) + 3)
+            continue
+        if page.startswith("<![CDATA[", start):
+            end = scan.find("]]>", start)
+            say(page[start + 9:end])
+            at = min(n, end + 3)
             continue
-        tag = m[2].lower()
-        if m[1]:
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+        if page[start + 1:start + 2] in ("!", "?"):
+            at = min(n, scan.find(">", start) + 1)
+            continue
+        closing = page[start + 1:start + 2] == "/"
+        m = _NAME.match(page, start + 1 + closing)
+        end = scan.tag_end(m.end()) if m else -1
+        if end < 0:  # no tag
+            say("<")
+            at = start + 1
+            continue
+        at, tag, attrs = end + 1, m[0].lower(), page[m.end():end]
+        if closing:
+            i = top(tag)
             if i >= 0:
                 close(i)
             elif tag in BLOCK:
                 flush()
             continue
         if tag in RAW:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                if tag == "head" and not end:  # its end tag may be left out
-                    end = re.compile(r"(?=<body[\s>])", re.I).search(page, at)
-                if end or tag != "head":
-                    at = end.end() if end else n
-            if tag not in ("textarea", "iframe", "object", "svg", "math", "canvas", "audio", "video"):
-                continue
-            parts.append((" ", False))
+            if not attrs.endswith("/"):
+                stop = scan.end_of(tag, at)
+                if stop:
+                    at = stop.end()
+                elif tag != "head":
+                    at = n
+                elif scan.ended.get("<body", 0) >= 0:  # the end tag of a head may be left out
+                    body = _BODY.search(page, at)
+                    at, scan.ended["<body"] = (body.start(), 0) if body else (at, -1)
+            if tag in ("textarea", "iframe", "object", "svg", "math", "canvas", "audio", "video"):
+                parts.append((" ", False))
             continue
         if tag in VOID:
             if tag == "hr":
@@ -128,17 +210,21 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), -1)
+            i = top("p")
             if i >= 0:
                 close(i)
             if tag in CLOSES:
-                stop = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("ul", "ol", "dl", "table", "select")), -1)
-                i = next((i for i in range(stop + 1, len(stack)) if stack[i][0] in CLOSES[tag]), -1)
+                outer = top("ul", "ol", "dl", "table", "select")
+                i = next((i for i in range(outer + 1, len(stack)) if stack[i][0] in CLOSES[tag]), -1)
                 if i >= 0:
                     close(i)
-        if not m[3].endswith("/") or tag in BLOCK:
-            names, hidden = _names(m[3].lower() if "class" not in m[3].lower() else m[3])
-            stack.append((tag, names, hidden))
+        if not attrs.endswith("/") or tag in BLOCK:
+            if len(stack) >= MAX_DEPTH:
+                close(MAX_DEPTH - 1)
+            names, hidden = _names(attrs)
+            _, above, tags, all_names = stack[-1] if stack else ("", False, _NONE, _NONE)
+            stack.append((tag, above or hidden, tags if tag in tags else tags | {tag}, all_names if names <= all_names else all_names | names))
+            count[tag] = count.get(tag, 0) + 1
     flush()
     return out
 
@@ -339,6 +425,11 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[tuple[str, list[str]
         page = [story()] if bare else before + [story()] + [r.choice([side, advert, comments, comments, form, notice])() for _ in range(r.randint(0, 3))] + ([foot()] if r.random() < 0.9 else [])
         title = f"<head><meta charset='utf-8'><title>{few(2, 6)}</title><style>p{{margin:0}}</style></head>" if r.random() < 0.9 else ""
         out.append((f"<!DOCTYPE html><html>{title}<body>{''.join(page)}</body></html>", kept))
+    for _ in range(count // 5):  # pages that are nothing but a paragraph or two
+        kept = [r.choice([prose(), prose(20), sentence()]) for _ in range(r.choice([1, 1, 1, 2]))]
+        tag = r.choice(["p", "div", "section", ""])
+        body = "".join(f"<{tag}>{k}</{tag}>" for k in kept) if tag else "<hr>".join(kept)
+        out.append((r.choice(["<html><body>{}</body></html>", "<!DOCTYPE html><html><head><title>x</title></head><body>{}</body></html>", "<body>{}</body>", "{}"]).format(body), kept))
     return out
 
 

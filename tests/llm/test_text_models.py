@@ -1,6 +1,7 @@
 """Language identification, toxicity, resampling, html extraction: held-out accuracy, brute force and odd rows."""
 import collections
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -212,6 +213,43 @@ def test_extraction_from_broken_and_odd_pages(spark):
     assert html_extract.extract(df.where("1 = 0"), html_extract.train()).count() == 0
 
 
+@pytest.fixture(scope="module")
+def html_model():
+    return html_extract.train()
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<html><body><p class=x title=it's>One is here. And more.</p><p>I don't know. That is so.</p><p>Three. It isn't.</p></body></html>", "One is here. And more.\nI don't know. That is so.\nThree. It isn't."),
+    ("<html><body><p>Only one paragraph of prose here. It has two sentences.</p></body></html>", "Only one paragraph of prose here. It has two sentences."),
+    ("<body><div>Only one div of prose here. It has two sentences.</div></body>", "Only one div of prose here. It has two sentences."),
+    ("Just a text without markup. It goes on.", "Just a text without markup. It goes on."),
+    ("<p data-x='a > b' class=y>If 1 < 2 and 3 > 2, all is well. So it is.</p>", "If 1 < 2 and 3 > 2, all is well. So it is."),
+    ("<p title=\"open>Lost quote here. The text goes on.</p>", "Lost quote here. The text goes on."),
+    ("<p style='display:none'>Not this one. Never.</p><p data-style='display:none'>But this one. Always so.</p>", "But this one. Always so."),
+])
+def test_extraction_keeps_text_of_odd_markup(html_model, page, text):
+    assert html_extract.main_text(page, html_model) == text
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 50_000 + "x", "<div>word one." * 50_000, '<a b=">" ' * 100_000, '<a b="' * 100_000, "<head>" * 100_000, "<!--" * 100_000, "<" * 300_000, "</x" * 200_000, "<ul><li>x" * 30_000])
+def test_hostile_markup_is_read_in_linear_time(page):
+    t = time.time()
+    html_extract.blocks_of(page)
+    assert time.time() - t < 5
+
+
+def test_viterbi_equals_enumeration():
+    g = np.random.default_rng(5)
+    for n in range(1, 8):
+        crf = html_extract.Crf()
+        crf.index = {f"f{i}": i for i in range(6)}
+        crf.w, crf.pair, crf.first = g.normal(size=(6, 2)), g.normal(size=(2, 2)), g.normal(size=2)
+        fs = [[f"f{j}" for j in range(6) if g.random() < 0.5] + ["unknown"] for _ in range(n)]
+        s = [sum((crf.w[crf.index[x]] for x in f if x in crf.index), np.zeros(2)) for f in fs]
+        value = lambda y: crf.first[y[0]] + sum(s[i][y[i]] for i in range(n)) + sum(crf.pair[a][b] for a, b in zip(y, y[1:], strict=False))  # noqa: B023, E731
+        assert tuple(crf.decode(fs)) == max(np.ndindex(*[2] * n), key=value)
+
+
 def test_crf_marginals_agree_with_enumeration():
     crf = html_extract.Crf()
     g = np.random.default_rng(3)
