@@ -1,8 +1,8 @@
 """Toxicity scores on deobfuscated text.
 
-A noisy channel restores disguised words: each suspicious token (letters mixed with look-alike symbols, letters set apart,
-letters repeated) becomes a lattice of what each character may stand for, and Viterbi decoding under a character
-trigram model, counted over all texts, picks the restored spelling. The restored text is scored: words and word beginnings
+A noisy channel restores disguised words: each token with a look-alike symbol, separator, doubled letter or letter of another
+alphabet, and each run of letters set apart, becomes a lattice of what each character may stand for, and Viterbi decoding under a
+character trigram model, counted over all texts, picks the restored spelling. The restored text is scored: words and word beginnings
 carry the lower confidence bound of their log-odds in labelled rows, and a logistic function of the strongest ones
 gives the score.
 
@@ -38,41 +38,21 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
 SEPARATORS = " .-_*~^'"
 
 #: Nats: a look-alike, a dropped separator, a dropped repetition (alone, in a run of three or more), a symbol that parts words, a dropped symbol.
-COST_LOOK, COST_GAP, COST_REPEAT, COST_LONG, COST_BREAK, COST_DROP = 1.0, 0.5, 2.0, 0.3, 2.0, 6.0
+COST_LOOK, COST_GAP, COST_REPEAT, COST_LONG, COST_BREAK, COST_DROP = 1.0, 0.5, 4.5, 0.3, 2.0, 6.0
 BEAM = 48
 
-_CORE = re.compile(
-    r"(?<![^\W_])[^\W_]([ .\-_*~])[^\W_](?:\1[^\W_])+(?![^\W_])"  # letters set apart
-    r"|[^\W\d_][0-9@$!|+€£(¡*._\-~^]+[^\W\d_]"  # symbols between letters
-    r"|(?<!\S)[0-9@$!|+€£(¡]+[^\W\d_]"  # or before them
-    r"|([^\W\d_])\2\2", re.I)
-
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]] = True
-_SYMBOL = np.zeros(256, bool)
-_SYMBOL[[ord(c) for c in "0123456789@$!|+(*._-~^"]] = True
-_SYMBOL[[0xC2, 0xE2]] = True  # lead bytes of the other look-alikes
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
-
-
-def suspicious(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Rows that may hold a disguised word: a superset, from bytes alone."""
-    lead = (data & 0xC0) != 0x80
-    b = data[lead]
-    place = np.flatnonzero(lead)
-    if len(b) < 8:
-        return np.arange(len(off) - 1)
-    letter, symbol = _LETTER[b], _SYMBOL[b]
-    hit = np.zeros(len(b), bool)
-    hit[:-1] |= symbol[:-1] & letter[1:]
-    hit[:-2] |= letter[:-2] & (b[:-2] == b[1:-1]) & (b[1:-1] == b[2:])
-    one = letter | _DIGIT[b]
-    alone = one.copy()
-    alone[1:] &= ~one[:-1]
-    alone[:-1] &= ~one[1:]
-    hit[:-4] |= alone[:-4] & alone[2:-2] & alone[4:]
-    return np.unique(np.searchsorted(off, place[hit], "right") - 1)
+#: Letters of other alphabets that look like Latin ones.
+ALIKE = dict(zip("аеорсухіјѕԁкмтвнοαεινρυτκ", "aeopcyxijsdkmtbhoaeivputk", strict=True))
+#: Characters without width.
+UNSEEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF])
+
+_LOOK = "0-9@$|+€£¡!("
+#: Letters set apart by separators or white space of any kind.
+_APART = re.compile(r"(?<![^\W_])[^\W_](?:[\s.\-_*~^']{1,3}[^\W_](?![^\W_])){2,}")
+#: Words that may be disguised: a look-alike or separator beside a letter (a closing mark of punctuation is none), a doubled
+#: letter, alphabets mixed. The costs decide what is read.
+_ODD = re.compile(
+    rf"[^\W\d_][{_LOOK}*._\-~^']+[^\W_]|[{_LOOK}*]+[^\W\d_]|[^\W\d_][0-9@$|+€£]|([^\W\d_])\1|[a-z][\u0370-\u052f]|[\u0370-\u052f][a-z]", re.I)
 
 
 class Channel:
@@ -82,7 +62,7 @@ class Channel:
         self.model = model
         self.fold = fold_table()
         self.logp = lru_cache(1 << 18)(self._logp)
-        self.word = lru_cache(1 << 16)(self._word)
+        self.token = lru_cache(1 << 17)(self._token)
 
     def _logp(self, key: int) -> float:
         return float(self.model._logp(self.model.order, np.array([key], np.uint64))[0, 0])
@@ -93,18 +73,22 @@ class Channel:
         out = []
         if c.isalpha():
             out.append((c, 0.0))
+            if c in ALIKE:
+                out.append((ALIKE[c], COST_LOOK))
             if i and text[i - 1] == c:
                 long = (i > 1 and text[i - 2] == c) or text[i + 1:i + 2] == c
                 out.append(("", COST_LONG if long else COST_REPEAT))
         else:
+            gap = c in SEPARATORS or c.isspace()
             out += [(x, COST_LOOK) for x in LOOKS.get(c, "")]
-            if c in SEPARATORS:
+            if gap:
                 out.append(("", COST_GAP))
-            out.append((" ", 2 * COST_BREAK if c in LOOKS else COST_BREAK if c in SEPARATORS else 0.0))
+            out.append((" ", 2 * COST_BREAK if c in LOOKS else COST_BREAK if gap else 0.0))
             out.append(("", COST_DROP))
         return out
 
-    def _word(self, text: str) -> str:
+    def decode(self, text: str) -> tuple[float, str]:
+        """Score and spelling of the best path through the lattice of readings."""
         low = text.lower()
         edge = (EDGE << 16 | SPACE)
         beam: dict[int, tuple[float, str]] = {edge: (0.0, "")}
@@ -125,23 +109,16 @@ class Channel:
                     if new not in after or s > after[new][0]:
                         after[new] = (s, text_out)
             beam = dict(sorted(after.items(), key=lambda kv: -kv[1][0])[:BEAM]) if len(after) > BEAM else after
-        best = max(beam.items(), key=lambda kv: kv[1][0] + (self.logp(kv[0] << 16 | SPACE) if kv[0] & 0xFFFF != SPACE else 0))
-        return best[1][1].strip()
+        ends = [(v[0] + (self.logp(k << 16 | SPACE) if k & 0xFFFF != SPACE else 0.0), v[1].strip()) for k, v in beam.items()]
+        return max(ends, key=lambda e: e[0])
+
+    def _token(self, word: str) -> str:
+        return self.decode(word)[1] if _ODD.search(word) else word
 
     def restore(self, text: str) -> str:
-        """The text with each disguised word in its most likely spelling."""
-        out, at = [], 0
-        for m in _CORE.finditer(text):
-            start, end = m.span()
-            if start < at:
-                continue
-            while start > at and not text[start - 1].isspace():
-                start -= 1
-            while end < len(text) and not text[end].isspace():
-                end += 1
-            out += [text[at:start], self.word(text[start:end])]
-            at = end
-        return "".join([*out, text[at:]])
+        """The text with each disguised word in its most likely spelling; white space between words becomes one space."""
+        text = _APART.sub(lambda m: f" {self.decode(m[0])[1]} ", text.translate(UNSEEN))
+        return " ".join([self.token(w) for w in text.split()])
 
 
 class Features:
@@ -151,17 +128,7 @@ class Features:
         self.channel, self.shift = Channel(channel), np.uint64(64 - bits)
 
     def restored(self, column: pa.Array) -> pa.Array:
-        """Lower-case texts; those that may hold disguised words are decoded."""
-        rows: set[int] = set()
-        for first, _, data, off in blocks(column, lower=False):
-            rows.update((first + suspicious(data, off)).tolist())
-        if not rows:
-            return column
-        texts = column.to_pylist()
-        for i in rows:
-            if texts[i]:
-                texts[i] = self.channel.restore(texts[i])
-        return pa.array(texts, pa.string())
+        return pa.array([t and self.channel.restore(t) for t in column.to_pylist()], pa.string())
 
     def cells(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end, row, cell) for blocks of restored texts."""

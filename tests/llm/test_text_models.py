@@ -1,5 +1,7 @@
 """Language identification, toxicity, resampling, html extraction: held-out accuracy, brute force and odd rows."""
 import collections
+import random
+import itertools
 import math
 import time
 
@@ -122,20 +124,43 @@ def channel(spark, texts):
     return langid.Model(*langid.language_tables(charlm.count_grams(df, "text", "grp", 3), 3), 3)
 
 
-def test_noisy_channel_restores_disguises(spark):
-    words = "you are an idiot and a moron what a stupid loser this is trash and worthless pathetic clown here now"
-    c = toxicity.Channel(channel(spark, [words] * 3 + ["the house and the tree are in the garden of the other man"]))
-    for seen, meant in [("an i d i o t here", "idiot"), ("m.o.r.o.n", "moron"), ("l0s3r", "loser"), ("tr@sh", "trash"), ("st*upid", "stupid"), ("cl0wwwwn", "clown")]:
-        assert meant in c.restore(seen).split(), (seen, c.restore(seen))
-    assert c.restore("the house and the tree") == "the house and the tree"
-    assert c.restore("") == ""
+@pytest.fixture(scope="module")
+def noisy(spark):
+    words = "you are an idiot and a moron what a stupid loser this is trash and worthless pathetic clown here now imbecile troll dumbass scum"
+    return toxicity.Channel(channel(spark, [words] * 3 + ["the house and the tree are in the garden of the other man, all well"] * 3))
 
 
-def test_suspicious_rows_are_a_superset():
-    texts = ["plain words here", "l0ser", "i d i o t", "looong", "(a) and b", "$cum", "été à la", ""]
-    for _, _, data, off in textarr.blocks(pa.array(texts), lower=False):
-        rows = set(toxicity.suspicious(data, off).tolist())
-    assert {i for i, t in enumerate(texts) if toxicity._CORE.search(t)} <= rows and 0 not in rows
+@pytest.mark.parametrize("seen, meant", [
+    ("an i d i o t here", "idiot"), ("m.o.r.o.n", "moron"), ("l0s3r", "loser"), ("tr@sh", "trash"), ("st*upid", "stupid"), ("cl0wwwwn", "clown"),
+    ("dumba$$", "dumbass"), ("tro11", "troll"), ("imbecil3", "imbecile"), ('"1diot"', "idiot"), ("ssttuuppiidd", "stupid"), ("i  d  i  o  t", "idiot"),
+    ("m\no\nr\no\nn", "moron"), ("m-o.r_o n", "moron"), ("st\u200bup\u200bid", "stupid"), ("id\u0456\u043et", "idiot"), ("($cum)", "scum"), ("iddiot", "idiot"),
+])
+def test_noisy_channel_restores_disguises(noisy, seen, meant):
+    assert meant in noisy.restore(seen).split(), noisy.restore(seen)
+
+
+def test_noisy_channel_leaves_plain_text(noisy):
+    assert noisy.restore("the house and the tree") == "the house and the tree" and noisy.restore("all well") == "all well" and noisy.restore("") == ""
+    assert noisy.restore("you stupid! what a loser.") == "you stupid! what a loser."
+
+
+def test_decoding_is_the_best_of_all_paths(noisy):
+    r = random.Random(6)
+    for _ in range(250):
+        text = "".join(r.choice("idotslern013@$!.* ") for _ in range(r.randint(1, 6)))
+        best = None
+        for path in itertools.product(*[noisy._readings(text, i) for i in range(len(text))]):
+            state, score = charlm.EDGE << 16 | charlm.SPACE, 0.0
+            for said, cost in path:
+                score -= cost
+                if said and not (said == " " and state & 0xFFFF == charlm.SPACE):
+                    sym = int(noisy.fold[ord(said)])
+                    score += noisy.logp(state << 16 | sym)
+                    state = (state << 16 | sym) & 0xFFFFFFFF
+            if state & 0xFFFF != charlm.SPACE:
+                score += noisy.logp(state << 16 | charlm.SPACE)
+            best = score if best is None else max(best, score)
+        assert noisy.decode(text)[0] == pytest.approx(best)
 
 
 def test_toxicity_held_out_and_odd_rows(spark, sf):
