@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from termflow.functions.cols import div, ffill, gated, safe_log, seq
 from termflow.operators import xs
@@ -97,6 +97,11 @@ def long_run_value(panel: DataFrame, close="close", end=VALUE_END_MONTHS, window
     return to_panel(panel, per, "__v", align=align, out=out)
 
 
+def series_table(spark: SparkSession, names: dict[str, str]) -> DataFrame:
+    """(asset, series) of a map such as BOND_MATURITY or FX_COUNTRY."""
+    return spark.createDataFrame(list(names.items()), "asset string, series string")
+
+
 def yield_change_value(panel: DataFrame, yields: DataFrame, maturity: DataFrame, lag=VALUE_LAG_MONTHS, align="label", out="raw") -> DataFrame:
     """Yield now minus `lag` months ago by maturity; yields(series, date, value), maturity(asset, series)."""
     per = month_ends(yields, "value", "series").withColumn("__c", F.col("value") - month_lag("value", lag, "series"))
@@ -167,7 +172,7 @@ def window_center(first: int, last: int) -> tuple[float, float]:
     return (a + n / 2.0 - 1) % 365 + 1, n / 2.0
 
 
-def seasonal_weight(df: DataFrame, windows: dict[str, tuple[int, int]], amplitude=0.5, out="weight") -> DataFrame:
+def seasonal_weight(df: DataFrame, windows: dict[str, tuple[int, int]] = SEASONAL_WINDOWS, amplitude=0.5, out="weight") -> DataFrame:
     """1 outside an asset's window, rising as a raised cosine to 1 + amplitude at its center."""
     d = F.least(F.dayofyear("date"), F.lit(365)).cast("double")
     w: Column = F.lit(1.0)

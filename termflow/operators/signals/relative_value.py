@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from termflow.functions.cols import div, gated, safe_log, seq, trailing
 from termflow.operators.vol import realized_vol
@@ -18,6 +18,12 @@ PAIRS = [
     ("livecattle_feedercattle", "LiveCattle", "FeederCattle", "hedge"), ("corn_soybeans", "Corn", "Soybeans", "hedge"),
     ("crack_spread", "WTI Crude", "RBOB+HeatingOil", "crack"),
 ]
+
+
+def pair_registry(spark: SparkSession, hedge: bool | None = None) -> DataFrame:
+    """(pair, leg_y, leg_x, grp) of the two-legged pairs; hedge picks those with an estimated ratio, or with a fixed one."""
+    rows = [p for p in PAIRS if p[3] != "crack" and (hedge is None or (p[3] == "hedge") == hedge)]
+    return spark.createDataFrame(rows, "pair string, leg_y string, leg_x string, grp string")
 GALLONS_PER_BARREL = 42.0
 
 

@@ -28,6 +28,22 @@ def sector_table(spark: SparkSession, sectors: dict[str, list[str]] = SECTORS) -
     return spark.createDataFrame([(a, s) for s, m in sectors.items() for a in m], "asset string, sector string")
 
 
+def redundant_table(spark: SparkSession) -> DataFrame:
+    """(asset, scope) for compress: redundant in every family, or for trend signals only."""
+    rows = [(a, "all") for a in REDUNDANT_ALL] + [(a, "trend") for a in REDUNDANT_TREND]
+    return spark.createDataFrame(rows, "asset string, scope string")
+
+
+def blocked_table(spark: SparkSession) -> DataFrame:
+    """(asset) for liquid_universe: never traded, whatever the volume."""
+    return spark.createDataFrame([(a,) for a in BLOCKED], "asset string")
+
+
+def proxy_table(spark: SparkSession) -> DataFrame:
+    """(asset) for carry_panel: without quoted spreads, so carry comes from the next contract's price."""
+    return spark.createDataFrame([(a,) for a in PROXY_ASSETS], "asset string")
+
+
 def liquid_universe(bars: DataFrame, start: str, threshold: float = MIN_ADV, blocked: DataFrame | None = None) -> DataFrame:
     """(asset, adv, included): average volume since start against a floor; blocked assets never pass."""
     a = bars.where(F.col("date") >= F.to_date(F.lit(start))).groupBy("asset").agg(F.avg("volume").alias("adv"))

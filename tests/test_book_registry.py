@@ -77,3 +77,23 @@ def test_spec_sharpes_trade_each_key_alone(spark):
     cost = np.append(0, np.abs(np.diff(pos))) * 100 / 10_000
     pnl = (pos * ret - cost)[:41]
     assert got["good"].train == pytest.approx(pnl.mean() / pnl.std(ddof=1) * 252 ** 0.5) and got["bad"].train < 0
+
+
+def test_named_universes_fit_their_operators(spark):
+    from termflow.operators import universe
+    from termflow.operators.signals import cross_section, relative_value as rv
+    every = universe.sector_table(spark).select("asset")
+    trend = {r.asset for r in universe.compress(every, universe.redundant_table(spark), "trend").collect()}
+    rank = {r.asset for r in universe.compress(every, universe.redundant_table(spark), "rank").collect()}
+    assert rank - trend == {"Brent", "KC_Wheat"} and not {"Dow", "UltraBond", "US_5Y"} & rank
+    bars = every.select("asset", F.lit("2024-01-02").cast("date").alias("date"), F.lit(1e6).alias("volume"))
+    inside = {r.asset for r in universe.liquid_universe(bars, "2024-01-01", 1000.0, universe.blocked_table(spark)).where("included").collect()}
+    assert {r.asset for r in every.collect()} - inside == {"Coffee", "Cotton", "OrangeJuice"}
+    legs = rv.pair_registry(spark)
+    assert legs.count() == 10 and rv.pair_registry(spark, True).count() == 4 and rv.pair_registry(spark, False).count() == 6
+    known = {r.asset for r in every.collect()}
+    assert {x for r in legs.collect() for x in (r.leg_y, r.leg_x)} <= known and {r.asset for r in universe.proxy_table(spark).collect()} <= known
+    for names in (cross_section.BOND_MATURITY, cross_section.FX_COUNTRY):
+        assert {(r.asset, r.series) for r in cross_section.series_table(spark, names).collect()} == set(names.items()) and set(names) <= known
+    day = spark.createDataFrame([("Corn", dt.date(2024, 7, 16)), ("Gold", dt.date(2024, 7, 16))], "asset string, date date")
+    assert {r.asset: round(r.weight, 2) for r in cross_section.seasonal_weight(day).collect()} == {"Corn": 1.5, "Gold": 1.0}
