@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,7 @@ from pyspark.sql import types as T
 from termflow.llm.charlm import EDGE, SPACE, count_grams, fold_table
 from termflow.llm.langid import Model, language_tables
 from termflow.llm.textarr import blocks, prefixes, tokens
+from termflow.session import materialize
 
 #: Labelled rows the classifier is fitted on, drawn by hash (all, if fewer).
 FIT_ROWS = 24_000
@@ -40,20 +40,27 @@ SEPARATORS = " .-_*~^'"
 #: Nats: a look-alike, a dropped separator, a dropped repetition (alone, in a run of three or more), a symbol that parts words, a dropped symbol.
 COST_LOOK, COST_GAP, COST_REPEAT, COST_LONG, COST_BREAK, COST_DROP = 1.0, 0.5, 4.5, 0.3, 2.0, 6.0
 BEAM = 48
+#: Longer words are decoded in pieces.
+PIECE = 256
+#: Words, and n-grams, that a task's process remembers.
+MEMORY = 1 << 17
 
 #: Letters of other alphabets that look like Latin ones.
 ALIKE = dict(zip("аеорсухіјѕԁкмтвнοαεινρυτκ", "aeopcyxijsdkmtbhoaeivputk", strict=True))
 #: Characters without width.
-UNSEEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF])
+UNSEEN = re.compile("[\\u00ad\\u200b-\\u200f\\u2060\\ufeff]+")
 
 _LOOK = "0-9@$|+€£¡!("
 #: Letters set apart by separators or white space of any kind.
-_APART = re.compile(r"(?<![^\W_])[^\W_](?:[\s.\-_*~^']{1,3}[^\W_](?![^\W_])){2,}")
+_APART = re.compile(r"(?<![^\W_])[^\W_](?:[\s.\-_*~^']{1,3}[^\W_](?![^\W_])){2,80}")
 #: Words that may be disguised: a look-alike or separator beside a letter (a closing mark of punctuation is none), a doubled
 #: letter, alphabets mixed. The costs decide what is read.
 _ODD = re.compile(
     rf"[^\W\d_][{_LOOK}*._\-~^']+[^\W_]|[{_LOOK}*]+[^\W\d_]|[^\W\d_][0-9@$|+€£]|([^\W\d_])\1|[a-z][\u0370-\u052f]|[\u0370-\u052f][a-z]", re.I)
 
+#: Punctuation that may stand around a word without disguising it.
+_AROUND = ".,;:!?\"'()[]«»…"
+
 
 class Channel:
     """Decodes disguised words under a character model."""
@@ -61,11 +68,26 @@ class Channel:
     def __init__(self, model: Model):
         self.model = model
         self.fold = fold_table()
-        self.logp = lru_cache(1 << 18)(self._logp)
-        self.token = lru_cache(1 << 17)(self._token)
-
-    def _logp(self, key: int) -> float:
-        return float(self.model._logp(self.model.order, np.array([key], np.uint64))[0, 0])
+        self.known: dict[int, float] = {}  # plain tables: freed with the channel at once
+        self.told: dict[str, str] = {}
+
+    def logp(self, key: int) -> float:
+        got = self.known.get(key)
+        if got is None:
+            if len(self.known) >= MEMORY:
+                self.known.clear()
+            got = self.known[key] = float(self.model._logp(self.model.order, np.array([key], np.uint64))[0, 0])
+        return got
+
+    def token(self, word: str) -> str:
+        got = self.told.get(word)
+        if got is None:
+            if len(self.told) >= MEMORY:
+                self.told.clear()
+            got = self._token(word)
+            if len(word) <= 64:
+                self.told[word] = got
+        return got
 
     def _readings(self, text: str, i: int) -> list[tuple[str, float]]:
         """What the character may stand for, with its cost; "" drops it."""
@@ -89,46 +111,59 @@ class Channel:
 
     def decode(self, text: str) -> tuple[float, str]:
         """Score and spelling of the best path through the lattice of readings."""
-        low = text.lower()
-        edge = (EDGE << 16 | SPACE)
-        beam: dict[int, tuple[float, str]] = {edge: (0.0, "")}
+        low, logp, fold = text.lower(), self.logp, self.fold
+        beam: dict[int, tuple[float, str]] = {EDGE << 16 | SPACE: (0.0, "")}
         for i in range(len(low)):
             after: dict[int, tuple[float, str]] = {}
             for said, cost in self._readings(low, i):
+                sym = int(fold[ord(said)]) if said else 0
                 for state, (score, out) in beam.items():
-                    s = score - cost
-                    if said:
-                        sym = int(self.fold[ord(said)])
-                        if sym == SPACE and state & 0xFFFF == SPACE:
-                            new, text_out = state, out
-                        else:
-                            s += self.logp(state << 16 | sym)
-                            new, text_out = (state << 16 | sym) & 0xFFFFFFFF, out + said
+                    if not said or (sym == SPACE and state & 0xFFFF == SPACE):
+                        new, s = state, score - cost
                     else:
-                        new, text_out = state, out
-                    if new not in after or s > after[new][0]:
-                        after[new] = (s, text_out)
+                        key = state << 16 | sym
+                        new, s, out = key & 0xFFFFFFFF, score - cost + logp(key), out + said
+                    old = after.get(new)
+                    if old is None or s > old[0]:
+                        after[new] = (s, out)
             beam = dict(sorted(after.items(), key=lambda kv: -kv[1][0])[:BEAM]) if len(after) > BEAM else after
-        ends = [(v[0] + (self.logp(k << 16 | SPACE) if k & 0xFFFF != SPACE else 0.0), v[1].strip()) for k, v in beam.items()]
+        ends = [(v[0] + (logp(k << 16 | SPACE) if k & 0xFFFF != SPACE else 0.0), v[1].strip()) for k, v in beam.items()]
         return max(ends, key=lambda e: e[0])
 
     def _token(self, word: str) -> str:
-        return self.decode(word)[1] if _ODD.search(word) else word
+        if not _ODD.search(word):
+            return word
+        core = word.strip(_AROUND)
+        low = core.lower()
+        if core.isalpha() and len(low) == len(core) and not ALIKE.keys() & set(low):
+            pairs = [i for i in range(len(low) - 1) if low[i] == low[i + 1]]
+            if len(pairs) == 1:
+                return word if self._keeps(low, pairs[0]) else word.replace(core, low[:pairs[0]] + low[pairs[0] + 1:], 1)
+        return "".join([self.decode(word[i:i + PIECE])[1] for i in range(0, len(word), PIECE)])
+
+    def _keeps(self, low: str, i: int) -> bool:
+        """What decode() finds for letters of which only low[i] and the next are equal: its two paths differ in three terms."""
+        prev, b, c = (int(self.fold[ord(x)]) for x in (low[i - 1] if i else " ", low[i], low[i + 2] if i + 2 < len(low) else " "))
+        before = prev << 16 | b
+        return self.logp(before << 16 | b) + self.logp((b << 16 | b) << 16 | c) >= self.logp(before << 16 | c) - COST_REPEAT
 
     def restore(self, text: str) -> str:
         """The text with each disguised word in its most likely spelling; white space between words becomes one space."""
-        text = _APART.sub(lambda m: f" {self.decode(m[0])[1]} ", text.translate(UNSEEN))
+        if not text.isascii():
+            text = UNSEEN.sub("", text)
+        text = _APART.sub(lambda m: f" {self.decode(m[0])[1]} ", text)
         return " ".join([self.token(w) for w in text.split()])
 
 
 class Features:
     """Hash cells of the words and word beginnings of restored texts."""
 
-    def __init__(self, channel: Model, bits: int = CELL_BITS):
-        self.channel, self.shift = Channel(channel), np.uint64(64 - bits)
+    def __init__(self, channel: Model | None, bits: int = CELL_BITS):
+        """Without a channel the texts are taken as restored already."""
+        self.channel, self.shift = channel and Channel(channel), np.uint64(64 - bits)
 
     def restored(self, column: pa.Array) -> pa.Array:
-        return pa.array([t and self.channel.restore(t) for t in column.to_pylist()], pa.string())
+        return pa.array([t and self.channel.restore(t) for t in column.to_pylist()], pa.string()) if self.channel else column
 
     def cells(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end, row, cell) for blocks of restored texts."""
@@ -185,11 +220,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 class Scorer:
     def __init__(self, channel: Model, weights: np.ndarray, coef: np.ndarray | None, base: float):
         self.channel, self.at, self.kept, self.coef, self.base, self.cells = channel, np.flatnonzero(weights), weights[weights != 0], coef, base, len(weights)
+        self.held: tuple[Features, np.ndarray] | None = None
 
     def ready(self) -> tuple[Features, np.ndarray]:
-        w = np.zeros(self.cells)
-        w[self.at] = self.kept
-        return Features(self.channel, int(self.cells).bit_length() - 1), w
+        """Made once in each process that reads the broadcast, for all its tasks."""
+        if self.held is None:
+            w = np.zeros(self.cells)
+            w[self.at] = self.kept
+            self.held = Features(self.channel, int(self.cells).bit_length() - 1), w
+        return self.held
 
     def score(self, features: Features, weights: np.ndarray, column: pa.Array) -> np.ndarray:
         if self.coef is None:
@@ -211,8 +250,15 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text: str
     train = docs.select(id_col, text).join(F.broadcast(some), id_col).select(text, "y", (F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(2))).cast("int").alias("fold"))
     shared, cells = spark.sparkContext.broadcast(channel), 1 << bits
 
+    def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = Channel(shared.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([t and c.restore(t) for t in b.column(0).to_pylist()], pa.string()), b.column(1), b.column(2)], b.schema.names)
+
+    train = materialize(train.mapInArrow(clear, train.schema), "toxicity-train")  # decoded once, read twice
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Features(shared.value, bits)
+        f = Features(None, bits)
         held: dict[int, list[np.ndarray]] = {}
         size = np.zeros(4, np.int64)
         for b in batches:
@@ -245,7 +291,7 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text: str
     halves = spark.sparkContext.broadcast(other)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Features(shared.value, bits)
+        f = Features(None, bits)
         for b in batches:
             fold, x = b.column(2).to_numpy(), np.zeros((b.num_rows, 3))
             for first, end, row, cell in f.cells(b.column(0)):

@@ -144,6 +144,24 @@ def test_noisy_channel_leaves_plain_text(noisy):
     assert noisy.restore("you stupid! what a loser.") == "you stupid! what a loser."
 
 
+def test_single_pairs_are_decided_as_by_decoding(noisy):
+    r = random.Random(7)
+    seen = set()
+    for _ in range(3000):
+        w = "".join(r.choice("idotslernaf") for _ in range(r.randint(2, 9)))
+        if sum(a == b for a, b in zip(w, w[1:], strict=False)) == 1:
+            assert noisy._token(w) == noisy.decode(w)[1] and noisy._token(f'"{w}!') == f'"{noisy.decode(w)[1]}!'
+            seen.add(noisy._token(w) == w)
+    assert seen == {True, False}
+
+
+@pytest.mark.parametrize("text", ["a b c d " * 40_000, "ab1" * 60_000, "oo" * 100_000, "a." * 100_000, "i  d\n" * 40_000])
+def test_very_long_disguises_take_linear_time(noisy, text):
+    t = time.time()
+    noisy.restore(text)
+    assert time.time() - t < 20
+
+
 def test_decoding_is_the_best_of_all_paths(noisy):
     r = random.Random(6)
     for _ in range(250):
