@@ -5,7 +5,6 @@ from termflow.functions.calendar import month_code
 from termflow.functions.cols import rounded
 from termflow.operators import combos, ingest as op
 from termflow.plans.registry import cte, query
-from termflow.session import materialize
 from termflow.sources import driver_views as dv
 
 # Raw rows: instrument = part, one bar per (part, day), prices in 1e-9 units; some bars carry the
